@@ -1,7 +1,7 @@
 """Benchmark decontamination by template canonicalisation.
 
 Texts become canonical tokens: words (A-Z lower-cased, punctuation dropped), with typed placeholders for numbers (<num>),
-units after a number (<unit>) and names (<name>: capitalised words inside a sentence); neighbouring numbers, and
+units after a number (<unit>) and names (<name>: runs of up to NAME_WORDS capitalised words inside a sentence); neighbouring numbers, and
 neighbouring names, are one slot. Windows of WINDOW tokens with LITERAL words at least are hash-joined with those of the
 benchmark items. Hits of a text and an item that lie on one diagonal (within DRIFT tokens) are a match if they cover
 `coverage` of the item's windows and the slots are consistent: equal values of the item have equal values in the text, and
@@ -26,7 +26,7 @@ from tidewater.llm import kernel
 from tidewater.llm.common import within
 from tidewater.session import ready
 
-WINDOW, MIN_TOKENS, LITERAL, DRIFT = 8, 5, 4, 4
+WINDOW, MIN_TOKENS, LITERAL, DRIFT, NAME_WORDS = 8, 5, 4, 4, 3
 #: Windows of a block of the benchmark.
 BLOCK = 500_000
 #: Unit names.
@@ -82,7 +82,10 @@ class Canon:
             lead = raw[words.start]
             second = raw[np.minimum(words.start + 1, len(raw) - 1)]
             upper = ((lead >= 65) & (lead <= 90)) | ((lead == 0xC3) & (second >= 0x80) & (second <= 0x9E) & (second != 0x97))
-            kind[upper & ~opens & ~first & (kind == 0)] = NAME
+            # in longer runs capitals are a style (headings, shouting), whatever the sentence
+            edge = np.flatnonzero(np.concatenate([[True], (upper[1:] != upper[:-1]) | first[1:]]))
+            run = np.repeat(np.diff(np.append(edge, n)), np.diff(np.append(edge, n)))
+            kind[upper & (run <= NAME_WORDS) & ~opens & ~first & (kind == 0)] = NAME
             drop = np.zeros(n, bool)
             drop[1:] = (kind[1:] == kind[:-1]) & ((kind[1:] == NUM) | (kind[1:] == NAME)) & ~first[1:]
         else:
