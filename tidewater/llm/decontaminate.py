@@ -1,6 +1,6 @@
 """Benchmark decontamination by template canonicalisation.
 
-Texts become canonical tokens: words (A-Z lower-cased, punctuation dropped), with typed placeholders for numbers (<num>),
+Texts become canonical tokens: words (Latin letters lower-cased, punctuation dropped), with typed placeholders for numbers (<num>),
 units after a number (<unit>) and names (<name>: runs of up to NAME_WORDS capitalised words inside a sentence); neighbouring numbers, and
 neighbouring names, are one slot. Windows of WINDOW tokens with LITERAL words at least are hash-joined with those of the
 benchmark items. Hits of a text and an item that lie on one diagonal (within DRIFT tokens) are a match if they cover
@@ -62,6 +62,8 @@ class Canon:
     def __init__(self, column):
         raw, offsets = kernel.column_bytes(column)
         low = kernel.LOWER[raw]
+        if len(raw) > 1:  # capitals of Latin-1, whose bytes differ in the second one
+            low[1:][(raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E) & (raw[1:] != 0x97)] += 0x20
         words = kernel.Runs(raw, offsets, _INSIDE[raw])
         self.raw = raw
         value = kernel.Hasher(low)(words.start, words.end)

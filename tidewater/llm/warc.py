@@ -170,7 +170,7 @@ def write(
     records = rows.select("id", F.sha1(F.coalesce("payload", F.lit("")).cast("binary")).alias("sha"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("canon"), "url", "payload")
     both = notes.unionAll(records).withColumn("shard", shard_of("id"))
     both = both.select("shard", "id", "sha", "kind", "canon", "url", "payload")
-    dealt = both.repartition("shard").sortWithinPartitions("shard", "id", "sha", "kind", "url")
+    dealt = both.repartition(len(bounds) + 1, "shard").sortWithinPartitions("shard", "id", "sha", "kind", "url")
     files = materialise(dealt.mapInArrow(_write(folder, roll, level), "name string, shard int, seq int, records long, bytes long"), "warc-files")
     names = [r.asDict() for r in files.orderBy("shard", "seq").collect()]  # one row a file
     write_committed(f"{folder}/manifest.json", uuid.uuid4().hex[:8], [json.dumps({"files": names}).encode()])
