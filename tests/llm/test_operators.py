@@ -1,0 +1,341 @@
+"""Each operator against a plain version, and on odd tables: nulls, empty and very long texts, repeats, no rows, clashing names."""
+
+from __future__ import annotations
+
+import random
+import zlib
+
+import brute
+import numpy as np
+import pytest
+
+from tidewater.llm import bpe, decontaminate, flatids, kernel, licenses, minhash, pii, quality, tokens, urls, warc
+from tidewater.llm.queries import vocabulary
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, node int, shard int, start int, label string, __t int"
+PIECES, BYTES = vocabulary("piece_bpe_32k.model"), vocabulary("byte_bpe_50k.json")
+
+
+def _texts():
+    r = random.Random(5)
+    words = ["".join(r.choice(["an", "the", "or", "is", "lo", "ré", "ñu", "ß"]) for _ in range(r.randint(1, 4))) for _ in range(300)]
+    prose = [" ".join(r.choice(words) for _ in range(r.randint(30, 200))) for _ in range(20)]
+    near = prose[0].split()
+    near[40:42] = ["quite", "other"]
+    odd = ["", "   \n\t", "one", "a b c d", "A B c D", "x" * 20_000, "\n".join(["same line here"] * 50), " ".join(["again and again the same eight words here"] * 10), "# $ % " * 60, "日本語 テキスト　全角", "\x00nul ▁ mark"]
+    mail = ["write to a.b+c@mail.example.com or x@y_z@q.org, card 4111 1111 1111 1111; call +1 (555) 123-4567 at 10.0.0.255 not 1.2.3.256", "1.2.3.4.5.6.7.8 " + "7" * 5000 + " a@b.c.@d.e.f " + "1 2 " * 3000, 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" ok']
+    legal = ["Text.\nReleased under the MIT License.\nMIT license", "Licensed under CC BY-NC 4.0.", "the GNU General Public License, Apache License"]
+    long = " ".join(r.choice(words) for _ in range(30_000))
+    return prose + [" ".join(near), prose[1], prose[1], None, None, long] + odd + mail + legal
+
+
+def _rows():
+    texts = _texts()
+    out = [(i, t, "en" if i % 3 else None, "s" if i % 2 else None, 1, "k", 1, 2, 3, "l", 4) for i, t in enumerate(texts)]
+    return [*out, out[2], (None, "null id text of some words here", "en", "s", 1, "k", 1, 2, 3, "l", 4), (None, None, None, None, None, None, None, None, None, None, None)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(_rows(), SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def _by_text(docs, out, *cols):
+    """Values by id where ids are single."""
+    return {r.doc_id: tuple(r[c] for c in cols) for r in out.collect() if r.doc_id not in (None, 2)}
+
+
+def _single():
+    return [(r[0], r[1]) for r in _rows() if r[0] not in (None, 2)]
+
+
+def test_quality(docs, none):
+    out = quality.judge(docs, min_rows=5)
+    got = _by_text(docs, out, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    for i, t in _single():
+        want = brute.quality_base(t)
+        assert got[i][:5] == want, i
+        assert got[i][5] == (want[0] < 20 or 100 * want[4] > 30 * want[0])
+        assert not (got[i][5] and got[i][6])
+    assert out.count() == len(_rows())
+    assert quality.judge(none).count() == 0
+
+
+def test_quality_rejects_outliers_and_keeps_the_rest(spark):
+    r = random.Random(3)
+    rows = []
+    for i in range(400):
+        words = ["".join(r.choice("aeioubcdlmnrst") for _ in range(r.randint(2, 8))) for _ in range(r.randint(60, 200))]
+        rows.append((i, " ".join(w + "###" if i % 10 == 0 else w for w in words), "en", "s"))
+    out = {x.doc_id: x.kept for x in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(out[i] == (i % 10 != 0) for i in out)
+
+
+def test_mcd_matches_plain_steps(spark):
+    """The estimate equals concentration steps done in NumPy with the same bins."""
+    r = np.random.default_rng(1)
+    x = np.round(r.normal([1.6, 0, 0.1, 0], [0.3, 0.1, 0.05, 0.02], (300, 4)) * quality.SCALE).astype(int)
+    df = spark.createDataFrame([("g", *map(int, v)) for v in x], "grp string, x_chars long, x_symbols long, x_lines long, x_repeat long")
+    got = quality.mcd(df, 0.75, 3).first()
+    y = x / quality.SCALE
+    mid = np.array([np.sort(c)[(len(c) + 1) // 2 - 1] for c in y.T])
+    inv = np.diag([1 / f**2 for f in quality.FEATURES.values()])
+    for _ in range(3):
+        d = np.einsum("ni,ij,nj->n", y - mid, inv, y - mid)
+        cell = np.floor(np.log(np.maximum(d, 1e-4)) * 32)
+        limit = np.sort(cell)[int(np.ceil(0.75 * len(d))) - 1]
+        own = y[cell <= limit]
+        mid = own.mean(axis=0)
+        inv = np.linalg.inv(quality.consistency(0.75) * np.cov(own.T, bias=True) + np.diag([f**2 for f in quality.FEATURES.values()]))
+    assert np.allclose([got[f"m{i}"] for i in range(4)], mid, atol=1e-6)
+    assert np.allclose([got[f"v{i}{j}"] for i in range(4) for j in range(i, 4)], [inv[i, j] for i in range(4) for j in range(i, 4)], rtol=1e-3, atol=1e-3)
+
+
+def test_near_duplicates(docs, none):
+    rows = [(r[0], r[1]) for r in _rows() if r[0] is not None]
+    want = brute.near_components(rows)
+    out = minhash.near_duplicates(docs.where("doc_id is not null"))
+    by = {}
+    for (i, t), c in zip(rows, want, strict=True):
+        by[i] = (len(brute.shingles(t)), c, i == c)
+    for r in out.collect():
+        assert (r.n_shingles, r.component_id, r.kept) == by[r.doc_id], r
+    assert minhash.near_duplicates(docs).count() == len(_rows())
+    assert minhash.near_duplicates(none).count() == 0
+
+
+def test_near_duplicates_in_large_groups(spark, monkeypatch):
+    """Chains and stars of edits, with blocks of a few members."""
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    r = random.Random(9)
+    base = [f"w{i}" for i in range(150)]
+    rows = [(1000, " ".join(base))]
+    for i in range(80):
+        t = list(base)
+        for k in r.sample(range(150), r.randint(1, 6)):
+            t[k] = f"e{i}x{k}"
+        rows.append((i, " ".join(t)))
+    got = {x.doc_id: x.component_id for x in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i, _ in rows] == brute.near_components(rows)
+
+
+def test_bayes_bounds():
+    least = minhash.least_matches(0.85, 1e-7)
+    assert least == sorted(least)
+    assert least[-1] < 0.85 * minhash.K
+
+
+@pytest.mark.parametrize("dropout", [0.0, 0.1, 0.5, 1.0])
+def test_sentencepiece(docs, dropout):
+    out = tokens.encode(docs, PIECES, dropout, seed=3, keep=("n_tokens", "ids", "lossless"))
+    assert all(r.lossless for r in out.collect())
+    back = _by_text(docs, tokens.decode(out.select("doc_id", "ids"), PIECES), "text")
+    assert all(back[i][0] == (t or "") for i, t in _single())
+
+
+def test_sentencepiece_without_dropout_is_the_library(docs):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    got = _by_text(docs, tokens.encode(docs, PIECES, 0.0), "ids")
+    assert all(got[i][0] == sp.encode(t or "") for i, t in _single() if "▁" not in (t or ""))
+
+
+def test_dropout_equals_the_heap():
+    """Many segments at once give what one heap and linked list give, candidate by candidate."""
+    model, r = bpe.load(PIECES), random.Random(2)
+    segments = [[int(model.of_char[ord(c)]) for c in "".join(r.choice("antherios▁é") for _ in range(r.randint(1, 70)))] for _ in range(300)]
+    starts = np.concatenate([[0], np.cumsum([len(s) for s in segments])])
+    keys = kernel.mix(np.arange(300, dtype=np.uint64))
+    for below in (0, 1 << 29, 1 << 31):
+        sym, merges = bpe.merge_many(model, np.array(sum(segments, [])), starts, keys, below)
+        for k, s in enumerate(segments):
+            left, _, n = bpe.merge_one(model, s, int(keys[k]), below)
+            own = sym[starts[k] : starts[k + 1]]
+            assert own[own >= 0].tolist() == left and merges[k] == n
+
+
+def test_dropout_varies(spark):
+    rows = [(i, "international organisations understand " * 8) for i in range(40)]
+    out = tokens.encode(spark.createDataFrame(rows, "doc_id long, text string"), PIECES, 0.2, seed=1).collect()
+    assert len({tuple(r.ids) for r in out}) > 30 and all(r.lossless for r in out)
+
+
+def test_token_counts(docs, none):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    got = _by_text(docs, tokens.token_counts(docs, PIECES, 100), "n_bytes", "n_tokens", "over_limit")
+    for i, t in _single():
+        n = len(sp.encode(t or ""))
+        assert got[i] == (len((t or "").encode()), n, n > 100)
+    assert tokens.token_counts(none, PIECES).count() == 0
+
+
+def test_token_files(docs, none, tmp_path):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(BYTES)
+    folder = f"file://{tmp_path}/a"
+    flatids.write(docs.where("doc_id is not null"), folder, BYTES)
+    got = sorted(flatids.read(docs.sparkSession, folder).collect(), key=lambda r: r.start)
+    rows = sorted(((r[0], r[1] or "") for r in _rows() if r[0] is not None))
+    at = 0
+    assert [r.doc_id for r in got] == [i for i, _ in rows]
+    for r, (_, t) in zip(got, rows, strict=True):
+        ids = [*lib.encode(t, add_special_tokens=False).ids, 2]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+    flatids.write(docs, f"{folder}-n", BYTES)
+    assert flatids.read(docs.sparkSession, f"{folder}-n").count() == len(_rows())
+    flatids.write(none, f"{folder}-0", BYTES)
+    assert flatids.read(docs.sparkSession, f"{folder}-0").count() == 0
+
+
+def test_pii(docs, none):
+    got = _by_text(docs, pii.detect(docs), "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+    for i, t in _single():
+        want = brute.base_spans(t)
+        counts = tuple(sum(k == x for x, _, _ in want) for k in pii.BASE)
+        assert got[i][:5] == (*counts, brute.sha(brute.joined(want))), (i, want, got[i])
+        assert got[i][5].startswith(brute.joined(want))
+    assert pii.detect(none).count() == 0
+
+
+def test_pii_redacts(spark):
+    text = 'é mail a@b.co, token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" and 10.0.0.1.'
+    rows = [(i, text, "x") for i in range(30)] + [(99, None, "x"), (98, "plain", "x")]
+    out = {r.doc_id: r for r in pii.redact(spark.createDataFrame(rows, "doc_id long, text string, kept string")).collect()}
+    assert out[0].text == 'é mail [EMAIL], token = "[SECRET]" and [IP].' and out[0].kept == "x"
+    assert out[99].text is None and out[98].text == "plain"
+
+
+def test_votes_tell_good_labelers_from_bad():
+    r = random.Random(4)
+    counts: dict = {}
+    for _ in range(4000):
+        truth = r.random() < 0.4
+        v = tuple((1 if truth else -1) if r.random() < acc else (-1 if truth else 1) for acc in (0.95, 0.85, 0.55))
+        counts[("secret", *v, 4, 2)] = counts.get(("secret", *v, 4, 2), 0) + 1
+    _, rel = pii.aggregate_votes([(*k, n) for k, n in counts.items()])
+    assert rel["v_regex"][1][1] > rel["v_gazetteer"][1][1] > rel["v_context"][1][1]
+
+
+def test_leaks(spark, none):
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("aeioubcdlmnrst") for _ in range(6))
+    item = f"If Anna Berg buys 12 apples and {word()} {word()} {word()} sells 12 pears for 30 euros how many {word()} {word()} remain with Anna Berg"
+    items = [(1, item), (2, " ".join(word() for _ in range(30))), (3, None), (4, "too short"), (5, "one two three four five six")]
+    filler = lambda: " ".join(word() for _ in range(60))
+    changed = item.replace("Anna Berg", "Lars").replace("12", "1,700").replace("30 euros", "45 dollars")
+    broken = item.replace("Anna Berg buys 12", "Lars buys 7").replace("sells 12", "sells 9")
+    texts = [filler() + ". " + item + ". " + filler(), "Then: " + changed + ".", "Then: " + broken + ".", filler(), None, "", items[1][1].upper(), filler() + " " + " ".join(items[1][1].split()[:20]), "one two three four five six", filler() * 200 + items[1][1]]
+    docs = spark.createDataFrame([(i, t, "k") for i, t in enumerate(texts)] + [(0, texts[0], "k")], "doc_id long, text string, kept string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = [(x.doc_id, x.item_id, x.n_changed > 0) for x in decontaminate.leaks(docs, bench).collect()]
+    assert sorted(got) == [(0, 1, False), (0, 1, False), (1, 1, True), (6, 2, False), (7, 2, False), (8, 5, False), (9, 2, False)]
+    assert sorted(x.doc_id for x in decontaminate.clean(docs, bench).collect()) == [2, 3, 4, 5]
+    assert decontaminate.leaks(none, bench).count() == 0
+    assert decontaminate.leaks(docs, bench.limit(0)).count() == 0
+
+
+def _contained(text, percent=80):
+    import re
+
+    best, labels = 0.0, set()
+    for line in (text or "").translate(brute.LOWER).split("\n"):
+        ws = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", line)
+        for s in range(0, len(ws), licenses.STRIDE):
+            block = set(ws[s : s + licenses.BLOCK])
+            for t, label in licenses.TEMPLATES.items():
+                own = set(t.split())
+                if 100 * len(own & block) >= percent * len(own):
+                    labels.add(label)
+                    best = max(best, len(own & block) / len(own))
+    return labels, best
+
+
+def test_licenses(docs, none):
+    got = _by_text(docs, licenses.scan(docs), "n_base", "base_labels", "labels", "score")
+    for i, t in _single():
+        more, best = _contained(t)
+        base = set(filter(None, got[i][1].split(",")))
+        assert set(filter(None, got[i][2].split(","))) == base | more
+        assert abs(got[i][3] - (1.0 if got[i][0] else best)) < 1e-12
+    assert licenses.scan(none).count() == 0
+
+
+def test_license_join_finds_every_block(spark):
+    """Blocks of template words at random, near the threshold."""
+    r = random.Random(8)
+    names = licenses.vocabulary()
+    texts = ["\n".join(" ".join(r.sample(t.split(), max(1, len(t.split()) - r.randint(0, 4))) + r.sample(names, 5)) for t in r.choices(list(licenses.TEMPLATES), k=4)) for _ in range(100)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for x in licenses.scan(docs).collect():
+        more, best = _contained(texts[x.doc_id])
+        assert more <= set(x.labels.split(",")) and (x.n_base or abs(x.score - best) < 1e-12)
+
+
+def test_warc(spark, tmp_path):
+    import base64
+    import hashlib
+
+    rows = [(1, "http://a/1", "same"), (2, None, "same"), (9, "u", "same"), (3, "u\r\nX: y", None), (4, "u", ""), (5, "u", "é" * 50_000), (5, "u", "é" * 50_000), (-(1 << 62), "u", "low"), (1 << 62, "u", "high"), (None, "u", "same"), (None, "u", "lone")]
+    pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, kept string")
+    warc.write(pages, f"file://{tmp_path}/w", per_shard=3, roll=200)
+    got = sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.read(spark, f"file://{tmp_path}/w").collect()), key=repr)
+    b32 = lambda t: base64.b32encode(hashlib.sha1(t.encode()).digest()).decode()
+    canon = {"same": 9, "": 4, "é" * 50_000: 5, "low": -(1 << 62), "high": 1 << 62, "lone": None}
+    want, seen = [], set()
+    for i, _, t in rows:
+        t = t or ""
+        first = i == canon[t] and (i, t) not in seen
+        seen.add((i, t))
+        want.append((i, len(t.encode()), b32(t), "response" if first else "revisit", None if first else canon[t]))
+    assert got == sorted(want, key=repr)
+    names = sorted(p.name for p in (tmp_path / "w").iterdir())
+    first = {n: (tmp_path / "w" / n).read_bytes() for n in names}
+    warc.write(pages.repartition(5), f"file://{tmp_path}/v", per_shard=3, roll=200)
+    assert {p.name: p.read_bytes() for p in (tmp_path / "v").iterdir()} == first
+    warc.write(pages.limit(0), f"file://{tmp_path}/e")
+    assert warc.read(spark, f"file://{tmp_path}/e").count() == 0
+
+
+def test_shard_bounds_refine_crowded_ranges(spark):
+    ids = [*range(5000), *(10**15 + 7 * i for i in range(3000)), -5]
+    bounds = warc.shard_bounds(spark.createDataFrame([(i,) for i in ids], "id long"), 500)
+    sizes = np.bincount(np.searchsorted(bounds, ids, side="right"))
+    assert sizes.max() <= 625 and bounds == sorted(bounds)
+
+
+def test_urls(spark):
+    assert urls.split_url("HTTPS://A.Example.ORG:80/x/y?z=1#f") == ("a.example.org:80", "/x/y")
+    assert urls.split_url("http://Q?x") == ("q", "") and urls.split_url("none") == ("", "") == urls.split_url(None)
+    rules = urls.RULES
+    for url, rule, verdict in (("http://a.org/", "org/", "allow"), ("http://example.org/es/1", "example.org/es/", "block"), ("http://m.example.org/en/12", "example.org/en/1", "block"), ("http://xcom/fr/", None, None), ("http://a.com/fr/x", "com/fr/", "allow"), ("http://a.org", None, None)):
+        assert urls.match_rule(*urls.split_url(url), rules) == (rule, verdict)
+    rows = [(i, u, "k") for i, u in enumerate(["http://a.org/1", None, "x", "http://b.com/de/1", "http://c.net/" + "a" * 10_000])] + [(0, "http://a.org/1", "k"), (None, "http://z.net/1", "k")]
+    out = urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string, host string"))
+    assert out.count() == len(rows) and {r.verdict for r in out.collect()} <= {"allow", "block"}
+    assert urls.filter_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+def test_url_trees_learn_held_out_urls(spark):
+    r = random.Random(1)
+
+    def make(bad):
+        host = "".join(r.choice("abcdefgh0123456789-" if bad else "abcdefghij") for _ in range(r.randint(12, 24) if bad else r.randint(4, 9)))
+        query = "?" + "&".join(f"p{k}={r.randint(0, 10**6)}" for k in range(r.randint(2, 5))) if bad and r.random() < 0.7 else ""
+        return f"http://{host}.{'xyz' if bad and r.random() < 0.6 else 'com'}/{r.choice(['a', 'b/c', 'news/2'])}{query}"
+
+    truth = [i % 3 == 0 for i in range(3000)]
+    made = [make(b) for b in truth]
+    labelled = spark.createDataFrame([(u, int(b)) for u, b in list(zip(made, truth, strict=True))[:2000]], "url string, block int")
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(made) if i >= 2000], "page_id long, url string")
+    got = urls.filter_urls(pages, labelled, rules=()).collect()
+    assert sum((r.verdict == "block") == truth[r.page_id] for r in got) > 0.95 * len(got)
