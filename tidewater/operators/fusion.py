@@ -24,9 +24,15 @@ def rrf(lists: list[DataFrame], keys: list[str], k: int = 60, carry: list[str] |
     return out.select(*keys, *(F.col(f"__f.{c}").alias(c) for c in carry), "_relevance_score", F.col("__f.__list").alias("__list"), F.col("__f.__rank").alias("__rank"))
 
 
-def best(fused: DataFrame, n: int, keys: list[str]) -> DataFrame:
-    """The n best; ties by first list, first rank, key."""
-    return fused.orderBy(F.desc("_relevance_score"), "__list", "__rank", *keys).limit(n).drop("__list", "__rank")
+def order(keys: list[str]) -> list:
+    """Best first; ties by first list, first rank, key."""
+    return [F.desc("_relevance_score"), "__list", "__rank", *keys]
+
+
+def best(fused: DataFrame, n: int, keys: list[str], marks: bool = False) -> DataFrame:
+    """The n best; marks: with the columns that break ties."""
+    out = fused.orderBy(*order(keys)).limit(n)
+    return out if marks else out.drop("__list", "__rank")
 
 
 def linear(text_hits: DataFrame, vector_hits: DataFrame, keys: list[str], weight: float) -> DataFrame:

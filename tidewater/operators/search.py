@@ -96,9 +96,10 @@ class Engine:
             a, b = self._fts(spec, spec.n, False, False), self._near(self.text_vectors, any_q, spec.n, spec.filter)
             if spec.weight is not None and not spec.rerank:
                 fused = fusion.linear(a, b, self.keys, spec.weight).orderBy(F.desc("_relevance_score"), *self.keys).limit(spec.n)
+                fused = fused.withColumns({"__list": F.lit(0), "__rank": F.lit(0)})
             else:
                 lists = [fusion.ranked(a, 0, [F.desc("_score"), *map(F.col, self.keys)]), fusion.ranked(b, 1, [F.col("_distance"), *map(F.col, self.keys)])]
-                fused = fusion.best(fusion.rrf(lists, self.keys), spec.n, self.keys)
+                fused = fusion.best(fusion.rrf(lists, self.keys), spec.n, self.keys, marks=True)
             hits = self.chunks.join(F.broadcast(fused), self.keys)  # at most 2 n rows
         else:
             k, lists = 3 * spec.n, []
@@ -108,9 +109,9 @@ class Engine:
                 if v is not None and q is not None:
                     lists.append(fusion.ranked(self._near(v, q, k, spec.filter), i, [F.col("_distance"), *map(F.col, self.keys)]))
             rest = [x for x in self.keys if x not in self.fusion_keys]
-            fused = fusion.best(fusion.rrf(lists, self.fusion_keys, carry=rest), spec.n, self.fusion_keys)
+            fused = fusion.best(fusion.rrf(lists, self.fusion_keys, carry=rest), spec.n, self.fusion_keys, marks=True)
             hits = self.chunks.join(F.broadcast(fused), self.keys)  # at most n rows
         if spec.rerank:
             scorer = self.scorer or fusion.overlap_score(F.col("text"), T.query_terms(spec.q))
-            return fusion.rerank(hits.drop("_relevance_score"), scorer, [F.col(k) for k in self.keys])
-        return hits.orderBy(F.desc("_relevance_score"), *self.keys)
+            return fusion.rerank(hits.drop("_relevance_score"), scorer, ["__list", "__rank", *self.keys]).drop("__list", "__rank")
+        return hits.orderBy(*fusion.order(self.keys)).drop("__list", "__rank")

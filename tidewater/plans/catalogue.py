@@ -516,7 +516,7 @@ def duration_fmt(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", T.duration(F.col("n_chars") / 3).alias("code"))
 
 
-@_query("bytes_fmt", "select doc_id, case when n_chars < 1024 then n_chars || ' B' else printf('%.1f kB', n_chars / 1024) end as code from documents where n_chars < 1048576")
+@_query("bytes_fmt", "select doc_id, case when n_chars < 1024 then n_chars || ' B' else printf('%.1f kB', round(n_chars / 1024, 1)) end as code from documents where n_chars < 1048576")
 def bytes_fmt(spark, sf_dir):
     return documents(spark, sf_dir).where("n_chars < 1048576").select("doc_id", T.bytes_fmt(F.col("n_chars")).alias("code"))
 
