@@ -175,3 +175,19 @@ def test_point_lookup_and_alignments(spark):
     seg = ingest.parse_alignments(F.col("j"), schema)
     at = parsed.select(*(ingest.point_in_interval(seg, F.lit(t)).alias(str(int(t * 10))) for t in (0.0, 2.0, 3.5))).first()
     assert at[0].start == 0.0 and at[1] is None and at[2].start == 3.0
+
+
+def test_download_resumes_and_isolates_failures(spark, tmp_path):
+    from tidewater.sources import download
+
+    manifest = spark.createDataFrame([("a", "u1"), ("b", "bad"), ("c", "u3")], "name string, url string")
+    listing = spark.createDataFrame([("a", 5), ("b", 0)], "name string, length long")
+
+    def opener(url, timeout):
+        if url == "bad":
+            raise OSError("gone")
+        return url.encode()
+
+    got = {r.key: (r.status, r.error) for r in download.fetch(manifest, listing, f"file://{tmp_path}", opener=opener).collect()}
+    assert got == {"a": ("skipped", None), "b": ("failed", "gone"), "c": ("ok", None)}
+    assert [p.name for p in tmp_path.iterdir()] == ["c"] and (tmp_path / "c").read_bytes() == b"u3"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewater.functions import media
+from tidewater.functions import lookup, media
 from tidewater.functions import text as T
 from tidewater.operators import embed, fts, fusion, ingest, maintain, search, vector
 from tidewater.streaming import windows
@@ -593,6 +593,37 @@ def jpeg_dims(spark, sf_dir):
     return media.jpeg_sizes(p, "page_id", "jpeg").withColumnRenamed("id", "page_id")
 
 
+@_query(
+    "language_codes",
+    """select doc_id, case lang when 'en' then 'eng' when 'fr' then 'fra' when 'de' then 'ger' else lang end as code, lang as language, case lang when 'en' then 'facebook/wav2vec2-base-960h' end as model from documents""",
+)
+def language_codes(spark, sf_dir):
+    code = F.when(F.col("lang") == "en", "eng").when(F.col("lang") == "fr", "fra").when(F.col("lang") == "de", "ger").otherwise(F.col("lang"))
+    return documents(spark, sf_dir).select("doc_id", code.alias("code"), lookup.language(code).alias("language"), lookup.default_model(lookup.language(code)).alias("model"))
+
+
+@_query(
+    "event_labels",
+    """select event_id, 'transcript-' || strftime(ts, '%Y%m%d-%H%M%S') || '-' || event_type as name, regexp_full_match(event_type, '[a-z_]{2,10}') as valid,
+case event_type when 'click' then 100.0 when 'error' then 0.0 else least(100.0, (event_id % 5 + 1) / 4 * 100) end::double as progress,
+case when event_id % 2 + event_id % 3 % 2 = 2 then 'green' when event_id % 2 + event_id % 3 % 2 = 1 then 'amber' else 'red' end as tone, greatest(5.0, least(20.0, value))::double as clamped from events""",
+)
+def event_labels(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    status = F.when(F.col("event_type") == "click", "done").when(F.col("event_type") == "error", "error").otherwise("transcribing")
+    return e.select(
+        "event_id", T.export_name(F.col("ts"), F.col("event_type")).alias("name"), T.valid_label(F.col("event_type")).alias("valid"), T.progress(status, F.col("event_id") % 5, F.lit(4)).alias("progress"),
+        T.tone(F.col("event_id") % 2 == 1, F.col("event_id") % 3 == 1).alias("tone"), T.clamp(F.col("value"), 5.0, 20.0).alias("clamped"),
+    )
+
+
+@_query("media_classes", r"""select page_id, case when page_id % 3 = 0 then 'video' when page_id % 3 = 1 then 'audio' else 'other' end as class, case when page_id % 3 = 0 then 'video/mp4' when page_id % 3 = 1 then 'audio/ogg' else 'application/octet-stream' end as mime,
+case when page_id % 3 = 0 then 'mp4' when page_id % 3 = 1 then 'ogg' else 'audio' end as ext from pages""")
+def media_classes(spark, sf_dir):
+    name = F.concat(F.lit("in/x."), F.element_at(F.array(F.lit("MP4"), F.lit("ogg"), F.lit("bin")), (F.col("page_id") % 3 + 1).cast("int")))
+    return table(spark, sf_dir, "pages").select("page_id", media.media_class(name).alias("class"), media.mime(name).alias("mime"), media.audio_extension(media.mime(name)).alias("ext"))
+
+
 # --- time windows
 
 
