@@ -72,6 +72,12 @@ def test_queries(chunks, spark, tmp_path):
     assert a == b
 
 
+def test_phrase_frequencies(spark):
+    df = spark.sql("select split('a a a b a b c a b', ' ') as t")
+    got = df.select(*(fts.frequency(F.col("t"), u).alias(str(i)) for i, u in enumerate([("a", "a"), ("a", "b"), ("a", "b", "c"), ("b", "b"), ("a",), ("x", "a")]))).first()
+    assert tuple(got) == (2, 3, 1, 0, 5, 0)
+
+
 def test_filters(chunks):
     assert search.where(" ") is None
     assert _keys(chunks.where(search.where(namn="_1"))) == [("d1", 0, 0), ("d1", 0, 1), ("d2", 0, 0), ("d2", 1, 0)]

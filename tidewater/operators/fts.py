@@ -55,9 +55,17 @@ def parse(query: str) -> Query:
 
 
 def frequency(tokens: Column, unit: tuple[str, ...]) -> Column:
-    """How often a word, or the words of a phrase one after another, stand among the tokens."""
+    """How often a word, or the words of a phrase one after another, stand among the tokens (a stored column, not an expression)."""
     if len(unit) == 1:
-        return F.size(F.filter(tokens, lambda t: t == unit[0]))
+        return F.size(tokens) - F.size(F.array_remove(tokens, unit[0]))
+    every = F.array_contains(tokens, unit[0])
+    for w in unit[1:]:
+        every = every & F.array_contains(tokens, w)
+    if len(set(unit)) == len(unit):  # such a phrase never overlaps itself; each token stands between spaces of its own
+        line = F.concat(F.lit(" "), F.array_join(tokens, "  "), F.lit(" "))
+        phrase = " " + "  ".join(unit) + " "
+        count = ((F.length(line) - F.length(F.replace(line, F.lit(phrase), F.lit("")))) / len(phrase)).cast("int")
+        return F.when(every, count).otherwise(0)
 
     def here(t: Column, i: Column) -> Column:
         ok = t == unit[0]
@@ -65,7 +73,7 @@ def frequency(tokens: Column, unit: tuple[str, ...]) -> Column:
             ok = ok & (F.try_element_at(tokens, i + 1 + k) == w)
         return F.coalesce(ok, F.lit(False))
 
-    return F.when(F.array_contains(tokens, unit[0]), F.size(F.filter(tokens, here))).otherwise(0)
+    return F.when(every, F.size(F.filter(tokens, here))).otherwise(0)
 
 
 def _idf(n: Column, df: Column) -> Column:
@@ -136,7 +144,7 @@ def batch_search(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id
     """The k best rows for each query of a frame (query id, array of distinct terms): a join on terms, then a ranked window."""
     from pyspark.sql import Window
 
-    words = docs.select(key, F.size(T.tokens(F.col(text))).alias("dl"), T.tokens(F.col(text)).alias("t"))
+    words = docs.select(key, T.tokens(F.col(text)).alias("t")).select(key, F.size("t").alias("dl"), "t")
     wanted = queries.select(query_id, F.explode(F.array_distinct(query_terms)).alias("term"))
     tf = words.select(key, "dl", F.explode("t").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi").groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))

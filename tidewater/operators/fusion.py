@@ -37,8 +37,9 @@ def best(fused: DataFrame, n: int, keys: list[str], marks: bool = False) -> Data
 
 def linear(text_hits: DataFrame, vector_hits: DataFrame, keys: list[str], weight: float) -> DataFrame:
     """weight * (1 - distance) + (1 - weight) * score / best score over the union; a missing branch gives 0."""
-    top = text_hits.agg(F.max("_score").alias("__top"))
-    a = text_hits.select(*keys, "_score").join(F.broadcast(top)).select(*keys, (F.col("_score") / F.col("__top")).alias("__a"), F.lit(None).cast("double").alias("__b"))
+    # text_hits is a top-k list, so one window over it is small
+    top = text_hits.select(*keys, "_score", F.max("_score").over(Window.partitionBy(F.lit(0))).alias("__top"))
+    a = top.select(*keys, (F.col("_score") / F.col("__top")).alias("__a"), F.lit(None).cast("double").alias("__b"))
     b = vector_hits.select(*keys, F.lit(None).cast("double").alias("__a"), (1 - F.col("_distance")).alias("__b"))
     both = a.unionByName(b).groupBy(*keys).agg(F.max("__a").alias("__a"), F.max("__b").alias("__b"))
     score = weight * F.coalesce("__b", F.lit(0.0)) + (1 - weight) * F.coalesce("__a", F.lit(0.0))

@@ -86,9 +86,8 @@ tf as (select doc_id, len(t) as dl, {_phrase_tf('tf', ['of', 'the'])} from tok),
 select doc_id, tf::bigint as phrase_tf, round(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)), 6) as _score from tf, df, corpus where tf > 0""",
 )
 def fts_phrase(spark, sf_dir):
-    docs = documents(spark, sf_dir)
-    found = fts.bm25(docs, fts.parse('"of the"'))
-    return found.select("doc_id", fts.frequency(T.tokens(F.col("text")), ("of", "the")).cast("long").alias("phrase_tf"), F.round("_score", 6).alias("_score"))
+    found = fts.bm25(documents(spark, sf_dir), fts.parse('"of the"')).withColumn("t", T.tokens(F.col("text")))
+    return found.select("doc_id", fts.frequency(F.col("t"), ("of", "the")).cast("long").alias("phrase_tf"), F.round("_score", 6).alias("_score"))
 
 
 @_query(
