@@ -91,15 +91,16 @@ def bm25(docs: DataFrame, query: Query | list[str], text: str = "text", fold: bo
     units = query.scored()
     every = list(dict.fromkeys(units + query.must_not))
     source = T.fold(F.lower(text)) if fold else F.col(text)
-    toks = docs.withColumn("__t", T.tokens(source))
-    counted = toks.select(*docs.columns, F.size("__t").alias("__dl"), *(frequency(F.col("__t"), u).alias(f"__f{i}") for i, u in enumerate(every)))
+    # the row number is a barrier: the optimizer moves no filter below it, which would tokenise a row once for each condition
+    toks = docs.withColumns({"__t": T.tokens(source), "__row": F.monotonically_increasing_id()})
+    counted = toks.select(*docs.columns, "__row", F.size("__t").alias("__dl"), *(frequency(F.col("__t"), u).alias(f"__f{i}") for i, u in enumerate(every)))
     # one row of corpus statistics
     stats = counted.agg(F.count("*").alias("__n"), F.avg("__dl").alias("__avg"), *(F.count_if(F.col(f"__f{i}") > 0).alias(f"__df{i}") for i in range(len(every))))
     score = F.lit(0.0)
     for i in range(len(units)):
         w = _idf(F.col("__n"), F.col(f"__df{i}")) * _weight(F.col(f"__f{i}"), F.col("__dl"), F.col("__avg"))
         score = score + F.when(F.col(f"__f{i}") > 0, w).otherwise(0.0)
-    hit = F.lit(bool(not units))
+    hit = F.lit(not units)
     for i in range(len(units)):
         hit = hit | (F.col(f"__f{i}") > 0)
     at = {u: i for i, u in enumerate(every)}
@@ -107,7 +108,7 @@ def bm25(docs: DataFrame, query: Query | list[str], text: str = "text", fold: bo
         hit = hit & (F.col(f"__f{at[u]}") > 0)
     for u in query.must_not:
         hit = hit & (F.col(f"__f{at[u]}") == 0)
-    found = counted.where(hit).join(F.broadcast(stats))  # stats is one row
+    found = counted.where(hit & (F.col("__row") >= 0)).join(F.broadcast(stats))  # stats is one row
     return found.select(*docs.columns, score.alias("_score"))
 
 
