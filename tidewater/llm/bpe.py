@@ -1,9 +1,11 @@
 """Byte-pair merging for SentencePiece BPE models, with heaps and linked lists, for many short segments at once.
 
 A text (with its dummy prefix and spaces as U+2581) falls into segments: no piece of the vocabulary holds the two
-characters at a segment's edge side by side, so merges never cross it. Equal segments of a slice are worked once. Short
-segments keep their symbols in linked lists of one common array; each turn pops the lowest-ranked adjacent pair (leftmost of
-equals) of every segment that still has one. Long segments go one by one through a binary heap and a linked list.
+characters at a segment's edge side by side, so merges never cross it. Equal segments of a slice are worked once.
+
+Counting takes each segment through a binary heap and a linked list, and keeps the counts of up to STORE segments. Encoding
+keeps the symbols of short segments in linked lists of one common array; each turn pops the lowest-ranked adjacent pair
+(leftmost of equals) of every segment that still has one. Its long segments go through a heap as well.
 
 A keyed hash can skip merges: each candidate (key of the segment's occurrence, place of its first character, resulting piece)
 is skipped or not by a hash of just these, however the candidates are visited.
@@ -20,6 +22,8 @@ from tidewater.llm import kernel
 U = np.uint64
 NONE = np.int64(1) << np.int64(62)
 LONG = 48
+#: Segments whose counts a worker process keeps.
+STORE = 500_000
 UNDER = "▁"
 _C1, _C2, _C3 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
 _M = (1 << 64) - 1
@@ -85,6 +89,7 @@ class Model:
                 at = (at + 1) & (size - 1)
             self.keys[at], self.values[at] = k, (rank, piece)
         self.pairs = pairs
+        self.counted: dict[int, int] = {}
         spelled = [b"" if p.type in (2, 3) else bytes([int(p.piece[3:5], 16)]) if p.type == 6 else p.piece.replace(UNDER, " ").encode() for p in proto.pieces]
         self.piece_len = np.array([len(x) for x in spelled], np.int64)
         self.piece_at = np.concatenate([[0], np.cumsum(self.piece_len)[:-1]])
@@ -280,19 +285,30 @@ def load(path: str) -> Model:
     return _models[path]
 
 
+def count_segment(model: Model, symbols: np.ndarray, points: np.ndarray) -> int:
+    """Tokens of one segment: symbols less merges, where a character that stays outside all pieces counts its UTF-8 bytes."""
+    left, at, merges = merge_one(model, symbols.tolist())
+    left = np.array(left)
+    alone = np.array(at)[~model.is_piece[left] | (left == 0)]
+    return len(symbols) - merges + int((byte_lengths(points[alone]) - 1).sum())
+
+
 def count_tokens(model: Model, texts: list[str]) -> np.ndarray:
-    """Tokens of each text: symbols less merges, where a character outside all pieces counts its UTF-8 bytes. No identifiers are made."""
+    """Tokens of each text. No identifiers are made."""
     cut = Cut(model, texts)
     if len(cut.starts) < 2:
         return np.zeros(len(texts), np.int64)
     some, kind = cut.distinct()
-    at, starts, symbols = cut.gather(some)
-    left, merges = merge_many(model, symbols, starts)
-    # characters that stay alone and are no piece are spelled in bytes
-    alone = (left >= 0) & ~model.is_piece[np.maximum(left, 0)] | (left == 0)
-    points = np.where(alone, byte_lengths(cut.points[at]) - 1, 0)
-    more = np.add.reduceat(points, starts[:-1])
-    each = np.diff(starts) - merges + more
+    known, each = model.counted, np.empty(len(some), np.int64)
+    for k, (h, s) in enumerate(zip(cut.hash[some].tolist(), some.tolist(), strict=True)):
+        n = known.get(h)
+        if n is None:
+            a, b = cut.starts[s], cut.starts[s + 1]
+            n = count_segment(model, cut.symbols[a:b], cut.points[a:b])
+            if len(known) >= STORE:
+                known.clear()
+            known[h] = n
+        each[k] = n
     return np.bincount(cut.row, weights=each[kind], minlength=len(texts)).astype(np.int64)
 
 
