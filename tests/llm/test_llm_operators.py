@@ -124,6 +124,20 @@ def test_near_duplicates_in_large_groups(spark, monkeypatch):
     assert [got[i] for i, _ in rows] == brute.near_components(rows)
 
 
+def test_dealt_blocks_hold_all_pairs_of_components(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 3)
+    label = {i: 0 if i < 15 else i if i < 23 else 23 for i in range(26)}
+    name = lambda i: bytes([i]) * 16
+    rows = [(0, 7, name(i), 5, name(k)) for i, k in label.items()] + [(1, 8, name(i), 5, name(0)) for i in range(9)]
+    units = {}
+    for x in minhash.deal(spark.createDataFrame(rows, "band int, key long, node binary, n_shingles long, label binary")).collect():
+        assert x.band == 0
+        units.setdefault((x.lo, x.hi), []).append((x.node[0], x.blk))
+    met = {(a, b) for (lo, hi), own in units.items() for a, i in own for b, j in own if a < b and (lo == hi or i != j)}
+    assert {(a, b) for a in label for b in label if a < b and label[a] != label[b]} <= met
+    assert max(map(len, units.values())) < len(label)
+
+
 def test_bayes_bounds():
     least = minhash.least_matches(0.85, 1e-7)
     assert least == sorted(least)

@@ -2,10 +2,13 @@
 
 A document's set is its distinct windows of five words (A-Z lower-cased; fewer words: the whole sequence as one window; no
 word: empty, linked with nothing). Equal sets are one class. Classes that share a band of their MinHash signature meet in
-that band's bucket; large buckets are cut into blocks and worked pair of blocks by pair of blocks. In a block, signature
-batches are compared one after another; a pair is dropped as soon as the posterior probability that its similarity reaches
-the threshold falls under `miss`. Survivors are verified exactly on their full sets unless verified links of the block
-already join them. Components of the verified links are found by alternating star contractions.
+that band's bucket. Signature batches are compared one after another; a pair is dropped as soon as the posterior probability
+that its similarity reaches the threshold falls under `miss`. Survivors are verified exactly on their full sets unless
+verified links already join them. Components of the verified links are found by alternating star contractions.
+
+Members of a large bucket are first compared with a few of its members (HUBS, PASSES times), which joins most of a group of
+near copies in linear work. Then the members outside the bucket's largest component, in blocks, meet all its members, so
+that no pair of different components is left out.
 
 Defined results: a null text is an empty text; documents without words have n_shingles 0 and are their own component;
 repeated rows and equal doc_ids are handled row by row (a class is a set, not an id); null doc_ids never name a component
@@ -30,6 +33,8 @@ K = 250
 WORDS = 5
 #: Block bounds: classes, and shingles, that one side of a block pair holds on average.
 BLOCK, BLOCK_SHINGLES = 192, 1 << 20
+#: Members of a large bucket that its members are compared with first, and how often that is done.
+HUBS, PASSES = 4, 2
 _RNG = np.random.default_rng(20240229)
 _A = _RNG.integers(1, 1 << 63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, K, dtype=np.uint64)
@@ -134,15 +139,29 @@ def _find(parent: list[int], x: int) -> int:
     return x
 
 
-def block_links(sets, sigs, side, band: int, percent: int, least: list[int]):
-    """Index pairs of verified links of a block (side None: all pairs; else pairs across sides), as far as they join new classes."""
+def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Exact verification of two sets."""
+    both = np.concatenate([a, b])
+    both.sort()
+    inter = int((both[1:] == both[:-1]).sum())
+    return 100 * inter >= percent * (len(both) - inter)
+
+
+def block_links(sets, sigs, side, band: int, percent: int, least: list[int], label: np.ndarray | None = None):
+    """Index pairs of verified links of a block (side None: all pairs; else pairs across sides), as far as they join new classes.
+
+    label: components that are known, whose inner pairs are left out."""
     n, out = len(sets), []
     sizes = np.array([len(s) for s in sets])
     keys = band_keys(sigs) if band else None
-    parent = list(range(n))
+    if label is None:
+        label = np.arange(n)
+    _, first, kind = np.unique(label, return_index=True, return_inverse=True)
+    parent = first[kind].tolist()
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for i in range(n - 1):
         j = np.arange(i + 1, n)
+        j = j[label[j] != label[i]]
         if side is not None:
             j = j[side[j] != side[i]]
         j = j[(100 * np.minimum(sizes[j], sizes[i]) >= percent * np.maximum(sizes[j], sizes[i]))]
@@ -165,10 +184,7 @@ def block_links(sets, sigs, side, band: int, percent: int, least: list[int]):
         a, b = _find(parent, i), _find(parent, j)
         if a == b:
             continue
-        both = np.concatenate([sets[i], sets[j]])
-        both.sort()
-        inter = int((both[1:] == both[:-1]).sum())
-        if 100 * inter >= percent * (len(both) - inter):
+        if similar(sets[i], sets[j], percent):
             parent[a] = b
             out.append((i, j))
     return out
@@ -184,23 +200,24 @@ def _links(percent: int, miss: float):
             if len(rows) < 2:
                 return []
             own: dict[bytes, tuple] = {}
-            for node, blk, shingles, sig in rows:
-                own.setdefault(node, (blk, shingles, sig))
+            for node, *rest in rows:
+                own.setdefault(node, rest)
             nodes = sorted(own)
             sets = [np.frombuffer(own[x][1], np.uint64) for x in nodes]
             sigs = np.array([np.frombuffer(own[x][2], np.uint32) for x in nodes])
             side = None if unit[2] == unit[3] else np.array([own[x][0] for x in nodes])
-            return [(nodes[i], nodes[j]) for i, j in block_links(sets, sigs, side, unit[0], percent, least)]
+            label = np.unique([own[x][3] for x in nodes], return_inverse=True)[1]
+            return [(nodes[i], nodes[j]) for i, j in block_links(sets, sigs, side, unit[0], percent, least, label)]
 
         rows, unit, out = [], None, []
         for batch in batches:
             heads = list(zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True))
-            node, blk, shingles, sig = (batch.column(i) for i in range(4, 8))
+            own = [batch.column(i) for i in range(4, 9)]
             for r, head in enumerate(heads):
                 if head != unit:
                     out += flush(rows, unit)
                     rows, unit = [], head
-                rows.append((node[r].as_py(), blk[r].as_py(), shingles[r].as_py(), sig[r].as_py()))
+                rows.append(tuple(c[r].as_py() for c in own))
             if len(out) > 5000:
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], names=["u", "v"])
                 out = []
@@ -210,6 +227,57 @@ def _links(percent: int, miss: float):
     return run
 
 
+def _star_links(percent: int, miss: float):
+    """(node, hub, shingles, sig, hub_shingles, hub_sig) -> verified links."""
+    least = least_matches(percent / 100, miss)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for node, hub, *own in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                a, b = (np.frombuffer(own[i], np.uint64) for i in (0, 2))
+                if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+                    continue
+                match = np.cumsum((np.frombuffer(own[1], np.uint32) == np.frombuffer(own[3], np.uint32)).reshape(-1, BATCH).sum(axis=1))
+                if (match >= least).all() and similar(a, b, percent):
+                    out.append((node, hub))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], names=["u", "v"])
+
+    return run
+
+
+def hub_links(large: DataFrame, sets: DataFrame, seed: int, percent: int, miss: float) -> DataFrame:
+    """Verified links u, v of members of buckets with HUBS members of their bucket. large: band, key, node, label."""
+    some = [F.min_by(F.struct("node", "label"), F.xxhash64("node", F.lit(seed + i))) for i in range(HUBS)]
+    hubs = materialise(large.groupBy("band", "key").agg(F.array_distinct(F.array(*some)).alias("hubs")), "hubs")
+    pairs = large.join(hubs, ["band", "key"]).select("node", "label", F.explode("hubs").alias("h")).where("label <> h.label")
+    pairs = pairs.select("node", F.col("h.node").alias("hub")).distinct()
+    others = sets.select(F.col("node").alias("hub"), F.col("shingles").alias("hub_shingles"), F.col("sig").alias("hub_sig"))
+    rows = pairs.join(sets, "node").join(others, "hub").select("node", "hub", "shingles", "sig", "hub_shingles", "hub_sig")
+    return rows.mapInArrow(_star_links(percent, miss), "u binary, v binary")
+
+
+def _blocks(n, s):
+    return F.greatest(F.ceil(n / BLOCK), F.ceil(s / BLOCK_SHINGLES), F.lit(1)).cast("int")
+
+
+def deal(large: DataFrame) -> DataFrame:
+    """band, key, lo, hi, node, blk, label: the members of each pair of blocks of a bucket in which components can meet."""
+    per = large.groupBy("band", "key", "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    whole = per.groupBy("band", "key").agg(F.max(F.struct("n", "label", "s")).alias("top"), F.sum("n").alias("n"), F.sum("s").alias("s"))
+    whole = whole.where("n > top.n").select(
+        "band", "key", F.col("top.label").alias("top"), _blocks(F.col("n") - F.col("top.n"), F.col("s") - F.col("top.s")).alias("outer"), _blocks(F.col("top.n"), F.col("top.s")).alias("inner")
+    )
+    own = large.join(materialise(whole, "buckets"), ["band", "key"]).withColumn("in", F.col("label") == F.col("top"))
+    among = lambda n: F.pmod(F.xxhash64("node", F.lit(3)), F.col(n).cast("long")).cast("int")
+    own = own.withColumn("blk", F.when(F.col("in"), F.col("outer") + among("inner")).otherwise(among("outer")))
+    last = F.when(F.col("in"), F.col("outer")).otherwise(F.col("outer") + F.col("inner")) - 1
+    own = own.select("band", "key", "node", "blk", "label", F.explode(F.sequence(F.lit(0), last)).alias("other"))
+    return own.select("band", "key", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"), "node", "blk", "label")
+
+
 def components(links: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """node, label: the smallest node of each node's component. Large-star and small-star contractions until nothing changes."""
     edges = links.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where("u > v").distinct()
@@ -243,19 +311,28 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", per
     units = buckets.groupBy("n", "s", "h1", "h2").agg(F.min(F.struct("band", "key")).alias("first"))
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int")
     units = units.select("first.band", "first.key", blocks.alias("blocks"))
-    members = materialise(banded.join(units, ["band", "key"]).select("band", "key", "blocks", "node"), "members")
+    members = materialise(banded.join(units, ["band", "key"]).select("band", "key", "blocks", "node", "n_shingles"), "members")
     wanted = materialise(members.select("node").distinct().join(classes.select("node", "rep"), "node"), "wanted")
     side = F.broadcast(wanted) if wanted.count() <= 500_000 else wanted
     sets = pick.join(side, pick.doc_id.eqNullSafe(side.rep)).select("doc_id", "text", "node")
     sets = materialise(sets.mapInArrow(_sets, "node binary, shingles binary, sig binary"), "sets")
-    own = F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks").cast("long")).cast("int")
-    dealt = members.withColumn("blk", own).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("band", "key", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"), "node", "blk")
+    links, dealt = [], members.where("blocks = 1").select("band", "key", F.lit(0).alias("lo"), F.lit(0).alias("hi"), "node", F.lit(0).alias("blk"), F.col("node").alias("label"))
+    large = members.where("blocks > 1").select("band", "key", "node", "n_shingles")
+    if not large.isEmpty():
+        labelled = large.withColumn("label", F.col("node"))
+        for p in range(PASSES):
+            links.append(materialise(hub_links(labelled, sets, 100 * (p + 1), percent, miss), "links"))
+            found = links[0] if p == 0 else found.unionAll(links[p])
+            labelled = large.join(components(found), "node", "left").withColumn("label", F.coalesce("label", "node"))
+            labelled = materialise(labelled.select("band", "key", "node", "n_shingles", "label"), "members")
+        dealt = dealt.unionAll(deal(labelled))
     unit = ["band", "key", "lo", "hi"]
-    worked = dealt.join(sets, "node").select(*unit, "node", "blk", "shingles", "sig")
+    worked = dealt.join(sets, "node").select(*unit, "node", "blk", "shingles", "sig", "label")
     worked = worked.repartition(*unit).sortWithinPartitions(*unit)
-    links = worked.mapInArrow(_links(percent, miss), "u binary, v binary")
-    labels = components(links)
+    more = worked.mapInArrow(_links(percent, miss), "u binary, v binary")
+    for some in links:
+        more = more.unionAll(some)
+    labels = components(more)
     named = classes.select("node", "rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = named.where("label is not null").groupBy("label").agg(F.min("rep").alias("component"))
     named = named.join(least, "label").select("node", "component")
