@@ -31,16 +31,20 @@ from tidewater.session import ready
 DATE = datetime.datetime(2024, 1, 1, tzinfo=datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 FANOUT = 1024
+#: Shards of a table at most; those of larger tables take more records each.
+SHARDS = 1 << 16
 
 
 def shard_bounds(ids: DataFrame, per_shard: int) -> list[int]:
     """Ascending ids at which a new shard begins. ids: one column `id` of non-null longs.
 
     A shard is a run of ranges of ids; ranges with more than per_shard / 4 rows are cut FANOUT ways, again and again, until
-    they are small or hold one id. The driver sees counts of ranges only: FANOUT at first, then of crowded ranges' parts."""
+    they are small or hold one id. The driver sees counts of ranges only: FANOUT at first, then of crowded ranges' parts, and
+    bounds of about SHARDS shards at most."""
     lo, hi, n = ids.agg(F.min("id"), F.max("id"), F.count("*")).first()
     if not n:
         return []
+    per_shard = max(per_shard, -(-n // SHARDS))
     width = max(1, -(-(hi - lo + 1) // FANOUT))
     cell = lambda w: F.floor((F.col("id").cast("decimal(20,0)") - F.lit(lo)) / F.lit(w)).cast("long")
     counts = {lo + r.c * width: (width, r["count"]) for r in ids.groupBy(cell(width).alias("c")).count().collect()}
