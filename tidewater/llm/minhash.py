@@ -6,9 +6,9 @@ that band's bucket. Signature batches are compared one after another; a pair is
 that its similarity reaches the threshold falls under `miss`. Survivors are verified exactly on their full sets unless
 verified links already join them. Components of the verified links are found by alternating star contractions.
 
-Members of a large bucket are first compared with a few of its members (HUBS, PASSES times), which joins most of a group of
-near copies in linear work. Then the members outside the bucket's largest component, in blocks, meet all its members, so
-that no pair of different components is left out.
+A large bucket is first worked block by block, each block with the same few members of the bucket besides (HUBS), which
+joins most of a group of near copies in linear work. Then the members outside the bucket's largest component, in blocks, meet
+all its members, so that no pair of different components is left out.
 
 Defined results: a null text is an empty text; documents without words have n_shingles 0 and are their own component;
 repeated rows and equal doc_ids are handled row by row (a class is a set, not an id); null doc_ids never name a component
@@ -21,7 +21,7 @@ import hashlib
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm import kernel
@@ -33,8 +33,8 @@ K = 250
 WORDS = 5
 #: Block bounds: classes, and shingles, that one side of a block pair holds on average.
 BLOCK, BLOCK_SHINGLES = 192, 1 << 20
-#: Members of a large bucket that its members are compared with first, and how often that is done.
-HUBS, PASSES = 4, 2
+#: Members of a large bucket that all its members are compared with first.
+HUBS = 4
 _RNG = np.random.default_rng(20240229)
 _A = _RNG.integers(1, 1 << 63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, K, dtype=np.uint64)
@@ -227,36 +227,19 @@ def _links(percent: int, miss: float):
     return run
 
 
-def _star_links(percent: int, miss: float):
-    """(node, hub, shingles, sig, hub_shingles, hub_sig) -> verified links."""
-    least = least_matches(percent / 100, miss)
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            out = []
-            for node, hub, *own in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                a, b = (np.frombuffer(own[i], np.uint64) for i in (0, 2))
-                if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
-                    continue
-                match = np.cumsum((np.frombuffer(own[1], np.uint32) == np.frombuffer(own[3], np.uint32)).reshape(-1, BATCH).sum(axis=1))
-                if (match >= least).all() and similar(a, b, percent):
-                    out.append((node, hub))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], names=["u", "v"])
-
-    return run
+def _among(n) -> Column:
+    """The block of a node, of n."""
+    return F.pmod(F.xxhash64("node", F.lit(3)), F.col(n).cast("long")).cast("int")
 
 
-def hub_links(large: DataFrame, sets: DataFrame, seed: int, percent: int, miss: float) -> DataFrame:
-    """Verified links u, v of members of buckets with HUBS members of their bucket. large: band, key, node, label."""
-    some = [F.min_by(F.struct("node", "label"), F.xxhash64("node", F.lit(seed + i))) for i in range(HUBS)]
-    hubs = materialise(large.groupBy("band", "key").agg(F.array_distinct(F.array(*some)).alias("hubs")), "hubs")
-    pairs = large.join(hubs, ["band", "key"]).select("node", "label", F.explode("hubs").alias("h")).where("label <> h.label")
-    pairs = pairs.select("node", F.col("h.node").alias("hub")).distinct()
-    others = sets.select(F.col("node").alias("hub"), F.col("shingles").alias("hub_shingles"), F.col("sig").alias("hub_sig"))
-    rows = pairs.join(sets, "node").join(others, "hub").select("node", "hub", "shingles", "sig", "hub_shingles", "hub_sig")
-    return rows.mapInArrow(_star_links(percent, miss), "u binary, v binary")
+def deal_blocks(members: DataFrame) -> DataFrame:
+    """band, key, lo, hi, node, blk, label: each bucket's members by block, and its hubs in every block of large buckets."""
+    own = members.select("band", "key", "node", _among("blocks").alias("blk"))
+    some = [F.min_by("node", F.xxhash64("node", F.lit(100 + i))) for i in range(HUBS)]
+    hubs = members.where("blocks > 1").groupBy("band", "key").agg(F.array_distinct(F.array(*some)).alias("hubs"), F.max("blocks").alias("blocks"))
+    hubs = hubs.select("band", "key", "blocks", F.explode("hubs").alias("node"))
+    hubs = hubs.select("band", "key", "node", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("blk"))
+    return own.unionAll(hubs).select("band", "key", F.col("blk").alias("lo"), F.col("blk").alias("hi"), "node", "blk", F.col("node").alias("label"))
 
 
 def _blocks(n, s):
@@ -271,8 +254,7 @@ def deal(large: DataFrame) -> DataFrame:
         "band", "key", F.col("top.label").alias("top"), _blocks(F.col("n") - F.col("top.n"), F.col("s") - F.col("top.s")).alias("outer"), _blocks(F.col("top.n"), F.col("top.s")).alias("inner")
     )
     own = large.join(materialise(whole, "buckets"), ["band", "key"]).withColumn("in", F.col("label") == F.col("top"))
-    among = lambda n: F.pmod(F.xxhash64("node", F.lit(3)), F.col(n).cast("long")).cast("int")
-    own = own.withColumn("blk", F.when(F.col("in"), F.col("outer") + among("inner")).otherwise(among("outer")))
+    own = own.withColumn("blk", F.when(F.col("in"), F.col("outer") + _among("inner")).otherwise(_among("outer")))
     last = F.when(F.col("in"), F.col("outer")).otherwise(F.col("outer") + F.col("inner")) - 1
     own = own.select("band", "key", "node", "blk", "label", F.explode(F.sequence(F.lit(0), last)).alias("other"))
     return own.select("band", "key", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"), "node", "blk", "label")
@@ -316,23 +298,21 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", per
     side = F.broadcast(wanted) if wanted.count() <= 500_000 else wanted
     sets = pick.join(side, pick.doc_id.eqNullSafe(side.rep)).select("doc_id", "text", "node")
     sets = materialise(sets.mapInArrow(_sets, "node binary, shingles binary, sig binary"), "sets")
-    links, dealt = [], members.where("blocks = 1").select("band", "key", F.lit(0).alias("lo"), F.lit(0).alias("hi"), "node", F.lit(0).alias("blk"), F.col("node").alias("label"))
+    unit = ["band", "key", "lo", "hi"]
+
+    def links_of(dealt: DataFrame) -> DataFrame:
+        worked = dealt.join(sets, "node").select(*unit, "node", "blk", "shingles", "sig", "label")
+        worked = worked.repartition(*unit).sortWithinPartitions(*unit)
+        return materialise(worked.mapInArrow(_links(percent, miss), "u binary, v binary"), "links")
+
+    links = links_of(deal_blocks(members))
+    labels = components(links)
     large = members.where("blocks > 1").select("band", "key", "node", "n_shingles")
     if not large.isEmpty():
-        labelled = large.withColumn("label", F.col("node"))
-        for p in range(PASSES):
-            links.append(materialise(hub_links(labelled, sets, 100 * (p + 1), percent, miss), "links"))
-            found = links[0] if p == 0 else found.unionAll(links[p])
-            labelled = large.join(components(found), "node", "left").withColumn("label", F.coalesce("label", "node"))
-            labelled = materialise(labelled.select("band", "key", "node", "n_shingles", "label"), "members")
-        dealt = dealt.unionAll(deal(labelled))
-    unit = ["band", "key", "lo", "hi"]
-    worked = dealt.join(sets, "node").select(*unit, "node", "blk", "shingles", "sig", "label")
-    worked = worked.repartition(*unit).sortWithinPartitions(*unit)
-    more = worked.mapInArrow(_links(percent, miss), "u binary, v binary")
-    for some in links:
-        more = more.unionAll(some)
-    labels = components(more)
+        labelled = large.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        more = links_of(deal(labelled.select("band", "key", "node", "n_shingles", "label")))
+        if not more.isEmpty():
+            labels = components(links.unionAll(more))
     named = classes.select("node", "rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = named.where("label is not null").groupBy("label").agg(F.min("rep").alias("component"))
     named = named.join(least, "label").select("node", "component")
