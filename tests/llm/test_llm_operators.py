@@ -126,6 +126,7 @@ def test_near_duplicates_in_large_groups(spark, monkeypatch):
 
 def test_dealt_blocks_hold_all_pairs_of_components(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 3)
+    monkeypatch.setattr(minhash, "WIDE", 1)
     label = {i: 0 if i < 15 else i if i < 23 else 23 for i in range(26)}
     name = lambda i: bytes([i]) * 16
     rows = [(0, 7, name(i), 5, name(k)) for i, k in label.items()] + [(1, 8, name(i), 5, name(0)) for i in range(9)]

@@ -33,6 +33,8 @@ K = 250
 WORDS = 5
 #: Block bounds: classes, and shingles, that one side of a block pair holds on average.
 BLOCK, BLOCK_SHINGLES = 192, 1 << 20
+#: A block of members outside the largest component, and of those that they meet, is so many times as large: members move less.
+WIDE = 4
 #: Members of a large bucket that all its members are compared with first.
 HUBS = 4
 _RNG = np.random.default_rng(20240229)
@@ -243,7 +245,7 @@ def deal_blocks(members: DataFrame) -> DataFrame:
 
 
 def _blocks(n, s):
-    return F.greatest(F.ceil(n / BLOCK), F.ceil(s / BLOCK_SHINGLES), F.lit(1)).cast("int")
+    return F.greatest(F.ceil(n / (WIDE * BLOCK)), F.ceil(s / BLOCK_SHINGLES), F.lit(1)).cast("int")
 
 
 def deal(large: DataFrame) -> DataFrame:
