@@ -17,7 +17,7 @@ from tidewater.llm import bpe, kernel
 from tidewater.llm.common import within
 from tidewater.session import ready
 
-SLICE = 3 << 20
+SLICE = 1 << 20
 
 
 def _texts(column) -> list[str]:
