@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,32 +28,76 @@ def knn(vectors: DataFrame, query: list[float] | None, k: int, keys: list[str],
     return best if where is None else best.where(where)
 
 
+#: Queries that one scan serves on average.
+QUERIES = 1024
+
+
+def query_blocks(queries: DataFrame, size: int = QUERIES):
+    """(ids, unit vectors) of the queries (query_id, query) in blocks by hash, each about `size` rows, one on the driver at a time."""
+    import numpy as np
+
+    parts = max(1, -(-queries.count() // size))
+    for p in range(parts):
+        rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == p).where("query is not null").select(F.col("query_id").cast("long"), "query").collect()
+        if rows:
+            q = np.array([r[1] for r in rows], float)
+            yield np.array([r[0] for r in rows]), q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+
+
+def nearest_of(d, key, k: int):
+    """(query index, row index) of the k smallest distances of each query (a column of d), ties by key."""
+    import numpy as np
+
+    n = len(d)
+    if not d.size:
+        return np.empty(0, int), np.empty(0, int)
+    edge = np.partition(d, min(k, n) - 1, axis=0)[min(k, n) - 1]
+    q, i = np.nonzero((d <= edge).T)
+    order = np.lexsort((key[i], d[i, q], q))
+    q, i = q[order], i[order]
+    place = np.arange(len(q)) - np.searchsorted(q, q)
+    return q[place < k], i[place < k]
+
+
+def ranked_nearest(part: DataFrame, k: int, key: str, distance: str = "_distance") -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy(distance, key)
+    return part.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def matrix(column):
+    """The rows of a list column without nulls, as doubles."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
+    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
+
+
 def batch_knn(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """query_id, key, _distance, rank: the k nearest rows of each query (query_id, query), a stated set that goes to all tasks.
+    """query_id, key, _distance, rank: the k nearest rows of each query (query_id, query), exactly. Integer keys.
 
-    Each task keeps its k best a query before anything is shuffled."""
+    Queries go to the tasks in blocks; each task keeps its k best a query before anything is shuffled. No query: no rows."""
     from tidewater.session import ready
 
-    rows = queries.select("query_id", "query").collect()
-    ids, width = [r[0] for r in rows], queries.schema["query_id"].dataType.simpleString()
-
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        q = np.array([r[1] for r in rows], float)
-        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-        for b in batches:
-            x = np.array(b.column(1).to_pylist(), float).reshape(b.num_rows, q.shape[1])
-            norm = np.linalg.norm(x, axis=1)
-            d = np.round(1 - (x / np.maximum(norm, 1e-300)[:, None]) @ q.T, 5) + 0.0
-            keep = b.column(0).to_numpy(zero_copy_only=False)
-            out = [(ids[j], int(keep[i]), float(d[i, j])) for j in range(len(ids)) for i in np.lexsort((keep, d[:, j]))[:k]]
-            yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", key, "_distance"])
-
-    part = ready(vectors).where(F.col(column).isNotNull()).select(F.col(key).cast("long").alias(key), column).mapInArrow(run, f"query_id {width}, {key} long, _distance double")
-    order = Window.partitionBy("query_id").orderBy("_distance", key)
-    return part.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    rows = ready(vectors).where(F.col(column).isNotNull()).select(F.col(key).cast("long").alias(key), column)
+    schema = f"query_id long, {key} long, _distance double"
+
+    def against(ids, q):
+        def run(batches):
+            import numpy as np
+            import pyarrow as pa
+
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                x = matrix(b.column(1))
+                d = np.round(1 - (x / np.maximum(np.linalg.norm(x, axis=1), 1e-300)[:, None]) @ q.T, 5) + 0.0
+                keep = b.column(0).to_numpy(zero_copy_only=False)
+                j, i = nearest_of(d, keep, k)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[j]), pa.array(keep[i]), pa.array(d[i, j])], names=["query_id", key, "_distance"])
+
+        return rows.mapInArrow(run, schema)
+
+    parts = [against(*block) for block in query_blocks(queries)]
+    part = reduce(DataFrame.unionAll, parts) if parts else vectors.sparkSession.createDataFrame([], schema)
+    return ranked_nearest(part, k, key)
 
 
 def truncate(vector: Column, dims: int) -> Column:
