@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import pytest
 
-from tidewater.operators import vector
+from tidewater.operators import quantise, vector
 
 
 @pytest.fixture(scope="module")
@@ -37,3 +39,37 @@ def test_batch_knn_in_blocks(some, size, monkeypatch):
     assert got == {i: _exact(x, x[i], 5) for i in [*range(0, 400, 20), 10]}
     assert vector.batch_knn(df, q.where("query_id < 0"), 5).count() == 0
     assert len(_found(vector.batch_knn(df.where("vec_id < 3"), q, 5))[0]) == 3
+
+
+@pytest.mark.parametrize("stored", [False, True])
+def test_quantised_index(some, stored, tmp_path):
+    x, df = some
+    q = df.where("vec_id % 20 = 0").selectExpr("vec_id as query_id", "embedding as query")
+    index = quantise.IVFPQ(cells=12, subvectors=8).build(df, path=f"{tmp_path}/codes" if stored else None)
+    assert index.codes.count() == 400
+    whole = _found(index.search(q, 5, nprobes=12, refine=80))
+    assert whole == {i: _exact(x, x[i], 5) for i in range(0, 400, 20)}  # all cells, all rows ranked again: exact
+    part = _found(index.search(q, 5, nprobes=2))
+    assert all(len(v) == 5 and v[0] in (i, 10) for i, v in part.items())  # each finds itself
+    assert index.search(q.where("query_id < 0"), 5).count() == 0
+
+
+def test_quantised_index_refuses(spark, some):
+    with pytest.raises(ValueError, match="nulls"):
+        quantise.IVFPQ(subvectors=1).build(spark.createDataFrame([(1, [1.0]), (2, None)], "vec_id long, embedding array<float>"))
+    with pytest.raises(ValueError, match="no vectors"):
+        quantise.IVFPQ(subvectors=1).build(some[1].where("vec_id < 0"))
+    with pytest.raises(ValueError, match="divide"):
+        quantise.IVFPQ(subvectors=3).build(some[1])
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no driver tables here")
+def test_recall_of_the_registered_query(spark):
+    from tidewater.plans import catalogue
+
+    sf = "/root/testdata/sf0.1"
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    q = e.where("vec_id % 20 = 0").selectExpr("vec_id as query_id", "embedding as query")
+    got, want = (_found(x) for x in (catalogue.queries()["vec_ivf_pq_knn"](spark, sf), vector.batch_knn(e, q, 10)))
+    recall = np.mean([len(set(got[i]) & set(want[i])) / 10 for i in want])
+    assert recall >= 0.9, recall
