@@ -241,6 +241,16 @@ def test_votes_tell_good_labelers_from_bad():
     assert rel["v_regex"][1][1] > rel["v_gazetteer"][1][1] > rel["v_context"][1][1]
 
 
+def test_leaks_of_copies_whose_last_slot_runs_on(spark):
+    item = "which train goes first from Oslo to Bergen and then late at night goes on all the way from Bergen back to Oslo"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    # the second has two towns for one, but holds most of the item word for word; the third shares its template only
+    texts = ["we ask " + item + " Tomorrow we rest", "we ask " + item.replace("Oslo", "Paris", 1), item.replace("Oslo", "Paris", 1).replace("Bergen", "Turku", 2).replace("Turku", "Malmo", 1)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x.n_changed for x in decontaminate.leaks(docs, bench).collect()}
+    assert got == {0: 0, 1: 0}
+
+
 def test_leaks(spark, none):
     r = random.Random(6)
     word = lambda: "".join(r.choice("aeioubcdlmnrst") for _ in range(6))

@@ -6,7 +6,8 @@ neighbouring names, are one slot. Windows of WINDOW tokens with LITERAL words at
 benchmark items. Hits of a text and an item that lie on one diagonal (within DRIFT tokens) are a match if they cover
 `coverage` of the item's windows and the slots are consistent: equal values of the item have equal values in the text, and
 different ones different. So a question with other numbers, names or units is caught, and a text that only shares its
-template is not.
+template is not. Where slots are not consistent, the windows whose slots are unchanged must reach the coverage alone: a copy
+stays one if a word after its end runs into its last slot.
 
 The benchmark is the query set: it is worked in blocks of at most BLOCK windows, each of which one pass over the texts
 takes along, whatever its size.
@@ -172,6 +173,11 @@ class Index:
                 yield row, self.ids[item], *best
 
     def _judge(self, item: int, group: list):
+        """The group's measures if its slots are consistent; else those of its windows whose slots are all unchanged, which always are."""
+        same = lambda h: all(mine == theirs for _, mine, theirs in h[2])
+        return self._consistent(item, group) or self._consistent(item, [h for h in group if same(h)])
+
+    def _consistent(self, item: int, group: list):
         places = {p for _, p, _ in group}
         forth, back, slots, changed = {}, {}, set(), set()
         for _, _, pairs in group:
@@ -181,6 +187,8 @@ class Index:
                     return None
                 if mine != theirs:
                     changed.add(at)
+        if not places:
+            return None
         return len(places), len(places) / self.total[item], len(slots), len(changed)
 
 
