@@ -1,6 +1,7 @@
 """License scans: phrases, and an exact set-similarity join of text blocks with license templates.
 
-A text block is a window of up to BLOCK words of one line, one window each STRIDE words. A template is found in a block
+A text block is a window of up to BLOCK words, one window each STRIDE words of the whole text, whatever its lines, and of each
+line: the first find notices that are wrapped, the second those that only a window from a line's start holds. A template is found in a block
 when the block's words contain at least `percent` of the template's distinct words. The join orders template words by
 their frequency in all documents (rarest first), looks only for blocks that hold a word of a template's prefix, and drops
 pairs by length and position bounds before counting; it finds every pair that meets the threshold.
@@ -157,14 +158,14 @@ def _scan(counts: dict[str, int], percent: int):
                 if len(start):
                     ends = np.flatnonzero(data == 10)
                     line = np.searchsorted(ends, words.start)
-                    key = line + words.row  # changes with each line and each row
-                    opens = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
-                    of_line = np.searchsorted(opens, start, side="right") - 1
                     blocks = set()
-                    for i, ln in zip(start.tolist(), of_line.tolist(), strict=True):
-                        a, b = int(opens[ln]), int(opens[ln + 1])
-                        hi = (i - a) // STRIDE
-                        blocks.update((a + s * STRIDE, min(b, a + s * STRIDE + BLOCK)) for s in (hi - 1, hi) if s >= 0)
+                    for key in (words.row, line + words.row):  # changes with each row; with each line and each row
+                        opens = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
+                        within_of = np.searchsorted(opens, start, side="right") - 1
+                        for i, k in zip(start.tolist(), within_of.tolist(), strict=True):
+                            a, b = int(opens[k]), int(opens[k + 1])
+                            hi = (i - a) // STRIDE
+                            blocks.update((a + s * STRIDE, min(b, a + s * STRIDE + BLOCK)) for s in (hi - 1, hi) if s >= 0)
                     for a, b in blocks:
                         inside = sorted({x for x in ranks[a:b].tolist() if x >= 0})
                         for t, n in block_matches(inside, ready, index).items():
