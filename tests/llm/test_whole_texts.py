@@ -6,7 +6,7 @@ import random
 import re
 
 import brute
-from tidewater.llm import licenses
+from tidewater.llm import decontaminate, licenses
 
 WRAPPED = {
     "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that",
@@ -47,3 +47,17 @@ def test_license_notices_over_several_lines(spark):
         found, best = _licensed(t)
         assert set(filter(None, got[i].labels.split(","))) == found | set(filter(None, got[i].base_labels.split(",")))
         assert abs(got[i].score - (1.0 if got[i].n_base else best)) < 1e-12
+
+
+def test_leaks_of_items_with_few_plain_words(spark):
+    items = ["What is 17 times 23?", "12 * 7 = 84", "Who wrote Hamlet", "1 2 3 4 5 6 7 8 9 10 11 12", "too short", "", None, "...", "Did Ada Lovelace meet Charles Babbage in 1833 or in London 1834"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = [f"Some words go before it: {t} Some more follow." for t in items[:5]]
+    # an answer that runs into the last slot; other numbers; a changed order; a part
+    texts += ["What is 17 times 23? 391", "What is 18 times 23?", "12 * 8 = 84", "What is 23 times 17?", "wrote Hamlet", "nothing of the kind", "", None, "we ask " + items[8] + " 12 times"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((x.doc_id, x.item_id, x.n_windows, x.coverage, x.n_changed) for x in decontaminate.leaks(docs, bench).collect())
+    assert [x[:2] for x in got] == [(0, 0), (1, 1), (2, 2), (3, 3), (4, 4), (5, 0), (13, 8)]
+    assert all(x[3] == 1.0 and x[4] == 0 for x in got)
+    left = sorted(x.doc_id for x in decontaminate.clean(docs, bench).collect())
+    assert left == [6, 7, 8, 9, 10, 11, 12]

@@ -9,11 +9,14 @@ different ones different. So a question with other numbers, names or units is ca
 template is not. Where slots are not consistent, the windows whose slots are unchanged must reach the coverage alone: a copy
 stays one if a word after its end runs into its last slot.
 
+Besides, every item is held word for word: its windows of WINDOW words, or all its words if they are fewer, without slots and
+without a least number of literal words. Hits of these are grouped and covered likewise; nothing in them can have changed.
+
 The benchmark is the query set: it is worked in blocks of at most BLOCK windows, each of which one pass over the texts
 takes along, whatever its size.
 
-Defined results: null texts are empty and match nothing; items shorter than WINDOW tokens are one window of their own length
-if they have MIN_TOKENS; shorter ones match nothing. Rows with equal ids are judged each and give a row each where they
+Defined results: null texts are empty and match nothing; items shorter than WINDOW tokens are one window of their own length,
+those under MIN_TOKENS word for word only; items without a word match nothing. Rows with equal ids are judged each and give a row each where they
 match. Empty tables give an empty result.
 """
 
@@ -95,6 +98,7 @@ class Canon:
             drop = np.zeros(0, bool)
         keep = np.flatnonzero(~drop)
         self.kind, self.row, self.start = kind[keep], words.row[keep], words.start[keep]
+        self.first, self.word, self.word_row, self.word_of = keep, value, words.row, words.of
         # a slot of several words ends where its last one does
         self.end = words.end[np.append(keep[1:], n) - 1] if n else words.end
         self.hash = np.where(self.kind == 0, value[keep], np.array([0, *_MARK.values()], np.uint64)[self.kind])
@@ -107,10 +111,41 @@ class Canon:
         ok = words[at + size] - words[at] >= min(LITERAL, size)
         return h[ok], at[ok]
 
+    def literal(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hash and first word of each window of words as they stand."""
+        return kernel.windows(self.word, self.word_of, size)
+
     def slots(self, at: int, size: int) -> list[tuple[int, str]]:
         return [(t - at, self.raw[self.start[t] : self.end[t]].tobytes().decode("utf-8", "replace").lower()) for t in range(at, at + size) if self.kind[t]]
 
 
+class Table:
+    """Windows by size and hash."""
+
+    def __init__(self):
+        self.entries: dict[int, dict[int, list]] = {}
+
+    def add(self, size: int, key: int, entry: tuple):
+        self.entries.setdefault(size, {}).setdefault(key, []).append(entry)
+
+    def close(self) -> Table:
+        self.keys = {s: np.array(sorted(by), np.uint64) for s, by in self.entries.items()}
+        self.near = {}
+        for s, keys in self.keys.items():
+            self.near[s] = np.zeros(1 << 22, bool)
+            self.near[s][(keys >> np.uint64(42)).astype(np.int64)] = True
+        return self
+
+    def hits(self, size: int, h: np.ndarray, at: np.ndarray):
+        """(entries, place) of the windows that the table has."""
+        keys = self.keys[size]
+        maybe = self.near[size][(h >> np.uint64(42)).astype(np.int64)]
+        h, at = h[maybe], at[maybe]
+        hit = keys[np.minimum(np.searchsorted(keys, h), len(keys) - 1)] == h
+        for key, a in zip(h[hit].tolist(), at[hit].tolist(), strict=True):
+            yield self.entries[size][key], a
+
+
 class Index:
     """Windows of some benchmark items by hash: what a pass over the texts takes along."""
 
@@ -118,60 +153,72 @@ class Index:
         import pyarrow as pa
 
         canon = Canon(pa.array([t or "" for _, t in items], pa.string()))
-        lens = np.diff(canon.of)
-        self.sizes = sorted({int(min(x, WINDOW)) for x in lens.tolist() if x >= MIN_TOKENS})
+        lens, words = np.diff(canon.of), np.diff(canon.word_of)
+        self.ids = [i for i, _ in items]
         self.total: dict[int, int] = {}
-        entries: dict[int, dict[int, list]] = {}
-        for size in self.sizes:
-            by = entries.setdefault(size, {})
+        self.templates, self.literals = Table(), Table()
+        for size in sorted({int(min(x, WINDOW)) for x in lens.tolist() if x >= MIN_TOKENS}):
             h, at = canon.windows(size)
             for key, a in zip(h.tolist(), at.tolist(), strict=True):
                 r = int(canon.row[a])
                 if min(int(lens[r]), WINDOW) != size:
                     continue
                 self.total[r] = self.total.get(r, 0) + 1
-                by.setdefault(key, []).append((r, a - int(canon.of[r]), canon.slots(a, size)))
-        self.ids = [i for i, _ in items]
-        self.entries = entries
-        self.keys = {s: np.array(sorted(by), np.uint64) for s, by in entries.items()}
-        self.near = {}
-        for s, keys in self.keys.items():
-            self.near[s] = np.zeros(1 << 22, bool)
-            self.near[s][(keys >> np.uint64(42)).astype(np.int64)] = True
+                self.templates.add(size, key, (r, a - int(canon.of[r]), canon.slots(a, size)))
+        for size in sorted({int(min(x, WINDOW)) for x in words.tolist() if x}):
+            h, at = canon.literal(size)
+            for key, a in zip(h.tolist(), at.tolist(), strict=True):
+                r = int(canon.word_row[a])
+                if min(int(words[r]), WINDOW) == size:
+                    self.literals.add(size, key, (r, a - int(canon.word_of[r])))
+        self.words = words.tolist()
+        slot = np.flatnonzero(canon.kind)
+        self.slot_words: dict[int, list[int]] = {}
+        for r, w in zip(canon.row[slot].tolist(), (canon.first[slot] - canon.word_of[canon.row[slot]]).tolist(), strict=True):
+            self.slot_words.setdefault(r, []).append(w)
+        self.templates.close()
+        self.literals.close()
 
     def matches(self, column, coverage: float):
         """(row, item, windows found, coverage, slots, changed slots) of one string column."""
         canon = Canon(column)
-        found: dict[tuple[int, int], list] = {}
-        for size in self.sizes:
-            keys = self.keys[size]
-            if not len(keys):
-                continue
-            h, at = canon.windows(size)
-            maybe = self.near[size][(h >> np.uint64(42)).astype(np.int64)]
-            h, at = h[maybe], at[maybe]
-            hit = keys[np.minimum(np.searchsorted(keys, h), len(keys) - 1)] == h
-            for key, a in zip(h[hit].tolist(), at[hit].tolist(), strict=True):
+        found: dict[tuple[int, int], tuple[list, list]] = {}
+        for size in self.templates.entries:
+            for entries, a in self.templates.hits(size, *canon.windows(size)):
                 row = int(canon.row[a])
                 mine = None
-                for item, place, slots in self.entries[size][key]:
+                for item, place, slots in entries:
                     if slots and mine is None:
                         mine = canon.slots(a, size)
                     pairs = [(place + k, v, w) for (k, v), (_, w) in zip(slots, mine, strict=True)] if slots else []
-                    found.setdefault((row, item), []).append((a - int(canon.of[row]) - place, place, pairs))
-        for (row, item), hits in sorted(found.items()):
-            hits.sort(key=lambda x: x[0])
-            best, group = None, []
-            for i, h in enumerate(hits):
-                group.append(h)
-                if i + 1 == len(hits) or hits[i + 1][0] - h[0] > DRIFT:
-                    got = self._judge(item, group)
-                    if got and got[1] >= coverage and (best is None or got[1] > best[1]):
-                        best = got
-                    group = []
+                    found.setdefault((row, item), ([], []))[0].append((a - int(canon.of[row]) - place, place, pairs))
+        for size in self.literals.entries:
+            for entries, a in self.literals.hits(size, *canon.literal(size)):
+                row = int(canon.word_row[a])
+                for item, place in entries:
+                    found.setdefault((row, item), ([], []))[1].append((a - int(canon.word_of[row]) - place, place, []))
+        for (row, item), kinds in sorted(found.items()):
+            best = None
+            for hits, judge in zip(kinds, (self._judge, self._literal), strict=True):
+                hits.sort(key=lambda x: x[0])
+                group = []
+                for i, h in enumerate(hits):
+                    group.append(h)
+                    if i + 1 == len(hits) or hits[i + 1][0] - h[0] > DRIFT:
+                        got = judge(item, group)
+                        if got and got[1] >= coverage and (best is None or got[1] > best[1]):
+                            best = got
+                        group = []
             if best:
                 yield row, self.ids[item], *best
 
+    def _literal(self, item: int, group: list):
+        """The measures of windows that stand word for word."""
+        places = {p for _, p, _ in group}
+        size = min(self.words[item], WINDOW)
+        slots = sum(any(w - k in places for k in range(size)) for w in self.slot_words.get(item, ()))
+        return len(places), len(places) / (self.words[item] - size + 1), slots, 0
+
     def _judge(self, item: int, group: list):
         """The group's measures if its slots are consistent; else those of its windows whose slots are all unchanged, which always are."""
         same = lambda h: all(mine == theirs for _, mine, theirs in h[2])
