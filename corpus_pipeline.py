@@ -14,6 +14,10 @@ from tidewater.llm.common import materialise
 from tidewater.llm.queries import vocabulary
 
 
+#: Percent of their windows of five words that near copies share.
+NEAR = 80
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     judged = quality.judge(docs).where("kept").select(F.col("doc_id").alias("__id")).distinct()
@@ -22,7 +26,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: that with the smallest id."""
-    kept = minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__id")).distinct()
+    kept = minhash.near_duplicates(docs, percent=NEAR).where("kept").select(F.col("doc_id").alias("__id")).distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
 
 

@@ -6,7 +6,8 @@ import random
 import re
 
 import brute
-from tidewater.llm import decontaminate, licenses
+import corpus_pipeline
+from tidewater.llm import decontaminate, licenses, minhash
 
 WRAPPED = {
     "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that",
@@ -61,3 +62,30 @@ def test_leaks_of_items_with_few_plain_words(spark):
     assert all(x[3] == 1.0 and x[4] == 0 for x in got)
     left = sorted(x.doc_id for x in decontaminate.clean(docs, bench).collect())
     assert left == [6, 7, 8, 9, 10, 11, 12]
+
+
+def test_pipeline_drops_near_copies_from_80_percent(spark):
+    r = random.Random(3)
+    rows, percents = [], set()
+    for g in range(20):
+        base = [f"g{g}w{i}" for i in range(150)]
+        rows.append((2 * g, " ".join(base)))
+        for k in (20, 70, 120) if g % 2 else (20, 70, 100, 120):  # windows shared: 81.4 %, 75.3 %
+            base[k + r.randint(-3, 3)] = f"e{g}x{k}"
+        rows.append((2 * g + 1, " ".join(base)))
+        a, b = (brute.shingles(t) for _, t in rows[-2:])
+        percents.add(int(100 * len(a & b) / len(a | b)))
+    assert percents == {81, 75}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = {x.doc_id for x in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+    want = {i for (i, _), c in zip(rows, brute.near_components(rows, 80), strict=True) if i == c}
+    assert left == want and len(want) == 30
+    assert minhash.near_duplicates(docs).where("kept").count() == 40  # the contract of op6
+
+
+def test_bands_follow_the_threshold():
+    for percent in (80, 85, 90):
+        n = minhash.bands_of(percent)
+        miss = lambda k: (1 - (percent / 100) ** minhash.ROWS) ** k  # noqa: B023, E731
+        assert miss(n) <= minhash.UNMET < miss(n - 1)
+    assert minhash.bands_of(85) == 25

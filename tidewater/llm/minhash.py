@@ -28,7 +28,9 @@ from tidewater.llm import kernel
 from tidewater.llm.common import materialise, within
 from tidewater.session import ready
 
-ROWS, BANDS, BATCH = 5, 25, 25
+ROWS, BATCH = 5, 25
+#: A pair at the threshold shares no band with this probability at most.
+UNMET = 4.5e-7
 K = 250
 WORDS = 5
 #: Block bounds: classes, and shingles, that one side of a block pair holds on average.
@@ -70,36 +72,47 @@ def signatures(sets: list[np.ndarray], k: int = K) -> np.ndarray:
     return out
 
 
-def band_keys(sig: np.ndarray) -> np.ndarray:
-    key = np.zeros((len(sig), BANDS), np.uint64)
+def bands_of(percent: int) -> int:
+    """The bands that a threshold needs."""
+    n = math.ceil(math.log(UNMET) / math.log1p(-((percent / 100) ** ROWS))) if percent < 100 else 1
+    if n * ROWS > K:
+        raise ValueError(f"{K} hashes are too few for a threshold of {percent} %")
+    return n
+
+
+def band_keys(sig: np.ndarray, bands: int) -> np.ndarray:
+    key = np.zeros((len(sig), bands), np.uint64)
     for r in range(ROWS):
-        key = kernel.mix(key + sig[:, r : ROWS * BANDS : ROWS].astype(np.uint64) + np.uint64(1))
-    return kernel.mix(key + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+        key = kernel.mix(key + sig[:, r : ROWS * bands : ROWS].astype(np.uint64) + np.uint64(1))
+    return kernel.mix(key + np.arange(bands, dtype=np.uint64)).view(np.int64)
 
 
 def node_of(s: np.ndarray) -> bytes | None:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
 
 
-def _sketch(batches):
-    import pyarrow as pa
+def _sketch(bands: int):
+    def run(batches):
+        import pyarrow as pa
 
-    for whole in batches:
-        for batch in within(whole):
-            sets = shingle_sets(batch)
-            full = [s for s in sets if len(s)]
-            keys = band_keys(signatures(full, ROWS * BANDS))
-            has = np.array([len(s) > 0 for s in sets])
-            offsets = np.concatenate([[0], np.cumsum(has * BANDS)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array([node_of(s) for s in sets], pa.binary()),
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel())),
-                ],
-                names=["doc_id", "node", "n_shingles", "bands"],
-            )
+        for whole in batches:
+            for batch in within(whole):
+                sets = shingle_sets(batch)
+                full = [s for s in sets if len(s)]
+                keys = band_keys(signatures(full, ROWS * bands), bands)
+                has = np.array([len(s) > 0 for s in sets])
+                offsets = np.concatenate([[0], np.cumsum(has * bands)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0),
+                        pa.array([node_of(s) for s in sets], pa.binary()),
+                        pa.array([len(s) for s in sets], pa.int64()),
+                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel())),
+                    ],
+                    names=["doc_id", "node", "n_shingles", "bands"],
+                )
+
+    return run
 
 
 def _sets(batches):
@@ -155,7 +168,7 @@ def block_links(sets, sigs, side, band: int, percent: int, least: list[int], lab
     label: components that are known, whose inner pairs are left out."""
     n, out = len(sets), []
     sizes = np.array([len(s) for s in sets])
-    keys = band_keys(sigs) if band else None
+    keys = band_keys(sigs, band) if band else None
     if label is None:
         label = np.arange(n)
     _, first, kind = np.unique(label, return_index=True, return_inverse=True)
@@ -285,7 +298,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", per
     """doc_id, n_shingles, component_id, kept: a row a document."""
     pick = ready(docs).select(F.col(id).alias("doc_id"), F.col(text).alias("text"))
     kind = pick.schema["doc_id"].dataType.simpleString()
-    sketch = materialise(pick.mapInArrow(_sketch, f"doc_id {kind}, node binary, n_shingles long, bands array<long>"), "sketch")
+    sketch = materialise(pick.mapInArrow(_sketch(bands_of(percent)), f"doc_id {kind}, node binary, n_shingles long, bands array<long>"), "sketch")
     classes = sketch.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
     classes = materialise(classes, "classes")
     banded = classes.select("node", "n_shingles", F.posexplode("bands").alias("band", "key"))
