@@ -7,7 +7,9 @@ import re
 
 import brute
 import corpus_pipeline
-from tidewater.llm import decontaminate, licenses, minhash
+import numpy as np
+from tidewater.llm import bpe, decontaminate, kernel, licenses, minhash
+from tidewater.llm.queries import vocabulary
 
 WRAPPED = {
     "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that",
@@ -89,3 +91,31 @@ def test_bands_follow_the_threshold():
         miss = lambda k: (1 - (percent / 100) ** minhash.ROWS) ** k  # noqa: B023, E731
         assert miss(n) <= minhash.UNMET < miss(n - 1)
     assert minhash.bands_of(85) == 25
+
+
+def test_merge_dropout_is_drawn_for_each_occurrence():
+    """Each occurrence is what one heap gives under its own key; a frequent word gets many segmentations, others under another seed."""
+    model = bpe.load(vocabulary("piece_bpe_32k.model"))
+    texts = ["internationalisation " * 40 + "é▁" * (k % 3) + " x" * k + "y" * 60 * (k % 2) for k in range(50)]
+    seen = []
+    for seed in (1, 2):
+        keys = kernel.mix(np.arange(len(texts), dtype=np.uint64) + np.uint64(1000 * seed))
+        below = int(0.1 * 2**32)
+        ids, of = bpe.encode(model, texts, keys, below)
+        cut = bpe.Cut(model, texts, literal=True)
+        words: dict = {}
+        for row in range(len(texts)):
+            want, own = [], np.flatnonzero(cut.row == row)
+            for ordinal, s in enumerate(own.tolist()):
+                a, b = cut.starts[s], cut.starts[s + 1]
+                key = kernel.mix(keys[row : row + 1] + np.array([ordinal], np.uint64) * np.uint64(bpe._C3))[0]
+                left, at, _ = bpe.merge_one(model, cut.symbols[a:b].tolist(), int(key), below)
+                got = []
+                for x, i in zip(left, at, strict=True):
+                    alone = not x or not model.is_piece[x]
+                    got += model.byte_ids[list(chr(cut.points[a + i]).encode())].tolist() if alone else [x]
+                words.setdefault(cut.points[a:b].tobytes(), set()).add(tuple(got))
+                want += got
+            assert ids[of[row] : of[row + 1]].tolist() == want
+        seen.append(max(words.values(), key=len))
+    assert all(len(x) > 16 for x in seen) and seen[0] != seen[1]

@@ -8,7 +8,8 @@ keeps the symbols of short segments in linked lists of one common array; each tu
 (leftmost of equals) of every segment that still has one. Its long segments go through a heap as well.
 
 A keyed hash can skip merges: each candidate (key of the segment's occurrence, place of its first character, resulting piece)
-is skipped or not by a hash of just these, however the candidates are visited.
+is skipped or not by a hash of just these, however the candidates are visited. An occurrence's key comes from its text's key
+and its place in the text. Equal segments share their work only where none of the candidates is skipped.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from tidewater.llm import kernel
 U = np.uint64
 NONE = np.int64(1) << np.int64(62)
 LONG = 48
+#: Symbols that are merged at once under keys.
+PART = 1 << 18
 #: Segments whose counts a worker process keeps.
 STORE = 500_000
 UNDER = "▁"
@@ -154,10 +157,10 @@ def merge_one(model: Model, symbols: list[int], key: int = 0, below: int = 0) ->
     return [sym[i] for i in left], left, merges
 
 
-def merge_many(model: Model, symbols: np.ndarray, starts: np.ndarray, keys: np.ndarray | None = None, below: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def merge_many(model: Model, symbols: np.ndarray, starts: np.ndarray, keys: np.ndarray | None = None, below: int = 0, met: list | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Segments one after another, `starts` with one offset more than segments. Returns (symbols with -1 where merged away, merges by segment).
 
-    keys and below: the key of each segment, and the bound under which a candidate's hash skips it."""
+    keys and below: the key of each segment, and the bound under which a candidate's hash skips it. met gets (segment, place, piece) of the short segments' candidates."""
     sym = symbols.astype(np.int64)
     count = np.zeros(len(starts) - 1, np.int64)
     length = np.diff(starts)
@@ -190,6 +193,8 @@ def merge_many(model: Model, symbols: np.ndarray, starts: np.ndarray, keys: np.n
         has = np.flatnonzero(j >= 0)
         rank, piece = model.lookup(cur[i[has]], cur[j[has]])
         ok = rank >= 0
+        if met is not None:
+            met.append((live[seg[i[has[ok]]]], place[i[has[ok]]], piece[ok]))
         if below:
             ok[ok] = skip_hash(own[seg[i[has[ok]]]], place[i[has[ok]]].astype(U), piece[ok].astype(U)) >= U(below)
         at = has[ok]
@@ -257,10 +262,9 @@ class Cut:
         a, b = self.starts[:-1], self.starts[1:]
         self.hash = kernel.mix((sums[b] - sums[a]) * kernel.powers(kernel._P_INV, n)[a] + (b - a).astype(U) * kernel._Q)
 
-    def distinct(self, extra: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(a segment of each kind, the kind of each segment); extra: more bits that tell kinds apart."""
-        h = self.hash if extra is None else kernel.mix(self.hash ^ (extra * U(_C2)))
-        _, some, kind = np.unique(h, return_index=True, return_inverse=True)
+    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
+        """(a segment of each kind, the kind of each segment)."""
+        _, some, kind = np.unique(self.hash, return_index=True, return_inverse=True)
         return some, kind
 
     def gather(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -312,24 +316,58 @@ def count_tokens(model: Model, texts: list[str]) -> np.ndarray:
     return np.bincount(cut.row, weights=each[kind], minlength=len(texts)).astype(np.int64)
 
 
-def encode(model: Model, texts: list[str], keys: np.ndarray | None = None, below: int = 0, variants: int = 16) -> tuple[np.ndarray, np.ndarray]:
+def skips(kind: np.ndarray, n_kinds: int, met: list, keys: np.ndarray, below: int) -> np.ndarray:
+    """Which occurrences have a skipped candidate among those of their kind (segment, place, piece)."""
+    of_kind, place, piece = (np.concatenate(x) for x in zip(*met, strict=True)) if met else (np.zeros(0, np.int64),) * 3
+    order = np.argsort(of_kind, kind="stable")
+    place, piece = place[order].astype(U), piece[order].astype(U)
+    first = np.searchsorted(of_kind[order], np.arange(n_kinds + 1))
+    n = np.diff(first)[kind]
+    out = np.zeros(len(kind), bool)
+    ends = np.cumsum(n)
+    for lo, hi in parts(n):
+        own = np.repeat(np.arange(lo, hi), n[lo:hi])
+        c = np.arange(len(own)) - (ends[own] - n[own] - (ends[lo] - n[lo])) + first[kind[own]]
+        out[own[skip_hash(keys[own], place[c], piece[c]) < U(below)]] = True
+    return out
+
+
+def parts(sizes: np.ndarray):
+    """Bounds of runs of items whose sizes add up to PART at most, one item at least."""
+    ends, lo = np.cumsum(sizes), 0
+    while lo < len(sizes):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PART, side="right")))
+        yield lo, hi
+        lo = hi
+
+
+def encode(model: Model, texts: list[str], keys: np.ndarray | None = None, below: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(token ids of all texts, offsets of texts). keys: uint64 of each text; below: of 2**32, the bound under which merges are skipped.
 
-    The key of a segment's occurrence comes from its text's key and its place among the segments, in `variants` kinds, and
-    its characters; so equal segments recur with varied merges while a kind is worked once a slice."""
+    The key of a segment's occurrence comes from its text's key and its place among the segments. A kind of segment is worked
+    once a slice for the occurrences without a skipped candidate, whose merges are then those without keys; each other
+    occurrence is worked by itself."""
     cut = Cut(model, texts, literal=True)
     if len(cut.starts) < 2:
         return np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
-    seg_keys = None
+    some, kind = cut.distinct()
+    at, starts, symbols = cut.gather(some)
+    met: list | None = [] if below else None
+    left, _ = merge_many(model, symbols, starts, met=met)
     if below:
         ordinal = np.arange(len(cut.row)) - np.searchsorted(cut.row, cut.row)
-        variant = kernel.mix(keys[cut.row] + ordinal.astype(U) * U(_C3)) % U(variants)
-        some, kind = cut.distinct(variant + U(1))
-        seg_keys = kernel.mix(cut.hash[some] + variant[some] * U(_C2))
-    else:
-        some, kind = cut.distinct()
-    at, starts, symbols = cut.gather(some)
-    left, _ = merge_many(model, symbols, starts, seg_keys, below)
+        seg_keys = kernel.mix(keys[cut.row] + ordinal.astype(U) * U(_C3))
+        length = np.diff(cut.starts)
+        own = np.flatnonzero((length > LONG) | skips(kind, len(some), met, seg_keys, below))
+        kind[own] = len(some) + np.arange(len(own))
+        ats, lefts, lens = [at], [left], [np.diff(starts)]
+        for lo, hi in parts(length[own]):
+            at, starts, symbols = cut.gather(own[lo:hi])
+            ats.append(at)
+            lefts.append(merge_many(model, symbols, starts, seg_keys[own[lo:hi]], below)[0])
+            lens.append(np.diff(starts))
+        at, left = np.concatenate(ats), np.concatenate(lefts)
+        starts = np.concatenate([[0], np.cumsum(np.concatenate(lens))])
     # the ids of each kind
     keep = np.flatnonzero(left >= 0)
     ids, points = left[keep], cut.points[at[keep]]
