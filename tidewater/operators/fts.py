@@ -141,17 +141,26 @@ def expand(vocab: DataFrame, terms: list[str], distance: int) -> list[str]:
     return list(dict.fromkeys(out))
 
 
+#: Terms of all queries of a batch, up to which they are broadcast.
+BROADCAST_TERMS = 500_000
+
+
 def batch_search(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", text: str = "text", query_id: str = "item_id", query_terms: str = "terms") -> DataFrame:
-    """The k best rows for each query of a frame (query id, array of distinct terms): a join on terms, then a ranked window."""
+    """The k best rows for each query of a frame (query id, array of distinct terms): a join on terms, then a ranked window.
+
+    A row's terms stay in one partition, so that its scores for all queries add up where they arise; query terms are broadcast
+    if they are few."""
     from pyspark.sql import Window
 
     words = docs.select(key, T.tokens(F.col(text)).alias("t")).select(key, F.size("t").alias("dl"), "t")
     wanted = queries.select(query_id, F.explode(F.array_distinct(query_terms)).alias("term"))
-    tf = words.select(key, "dl", F.explode("t").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi").groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
+    few = F.broadcast if wanted.count() <= BROADCAST_TERMS else lambda side: side
+    found = words.select(key, "dl", F.explode("t").alias("term")).join(few(wanted.select("term").distinct()), "term", "left_semi")
+    tf = found.repartition(key).groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     stats = words.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     w = _idf(F.col("n"), F.col("df")) * _weight(F.col("tf"), F.col("dl"), F.col("avgdl"))
-    scored = tf.join(df, "term").join(F.broadcast(stats)).join(wanted, "term").groupBy(query_id, key).agg(F.round(F.sum(w), 6).alias("_score"))
+    scored = tf.join(few(df), "term").join(F.broadcast(stats)).join(few(wanted), "term").groupBy(query_id, key).agg(F.round(F.sum(w), 6).alias("_score"))
     order = Window.partitionBy(query_id).orderBy(F.desc("_score"), key)
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

@@ -127,7 +127,7 @@ s as (select item_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf
 r as (select *, row_number() over (partition by item_id order by s desc, doc_id) as rank from s) select item_id, doc_id, s as _score, rank::bigint as rank from r where rank <= 5""",
 )
 def fts_query_batch(spark, sf_dir):
-    queries = table(spark, sf_dir, "benchmark").select("item_id", F.slice(T.query_terms_col(F.col("text")), 1, 3).alias("terms"))
+    queries = table(spark, sf_dir, "benchmark").select("item_id", T.query_terms_col(F.col("text")).alias("terms"))
     return fts.batch_search(documents(spark, sf_dir), queries, 5).withColumn("rank", F.col("rank").cast("long"))
 
 
