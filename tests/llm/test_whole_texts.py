@@ -119,3 +119,17 @@ def test_merge_dropout_is_drawn_for_each_occurrence():
             assert ids[of[row] : of[row + 1]].tolist() == want
         seen.append(max(words.values(), key=len))
     assert all(len(x) > 16 for x in seen) and seen[0] != seen[1]
+
+
+def test_leaks_of_excerpts_and_of_copies_in_parts(spark):
+    r = random.Random(12)
+    words = lambda n: [" ".join(["".join(r.choice("aeioubcdlmnrst") for _ in range(7))]) for _ in range(n)]
+    long, mid = words(250), words(60)
+    bench = spark.createDataFrame([(0, " ".join(long)), (1, " ".join(mid))], "item_id long, text string")
+    thirds = [mid[:20], words(9), mid[20:40], words(30), mid[40:]]
+    texts = [words(50) + long[80:170] + words(50), [w for t in thirds for w in t], words(9) + long[:20] + words(9), words(9) + long[:19] + words(9), mid[40:] + words(9) + mid[20:36]]
+    texts += [mid[:18] + words(5) + words(40), words(300)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {(x.doc_id, x.item_id): (x.n_windows, x.n_changed) for x in decontaminate.leaks(docs, bench).collect()}
+    assert got == {(0, 0): (83, 0), (1, 1): (39, 0), (2, 0): (13, 0), (4, 1): (13, 0)}
+    assert sorted(x.doc_id for x in decontaminate.clean(docs, bench).collect()) == [3, 5, 6]

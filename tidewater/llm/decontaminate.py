@@ -12,6 +12,9 @@ stays one if a word after its end runs into its last slot.
 Besides, every item is held word for word: its windows of WINDOW words, or all its words if they are fewer, without slots and
 without a least number of literal words. Hits of these are grouped and covered likewise; nothing in them can have changed.
 
+Hits of several diagonals count together where their places ascend in the text and in the item alike: a copy with insertions
+or deletions. RUN windows at consecutive places of one diagonal are a match whatever they cover of the item.
+
 The benchmark is the query set: it is worked in blocks of at most BLOCK windows, each of which one pass over the texts
 takes along, whatever its size.
 
@@ -22,6 +25,8 @@ match. Empty tables give an empty result.
 
 from __future__ import annotations
 
+import bisect
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +36,8 @@ from tidewater.llm.common import within
 from tidewater.session import ready
 
 WINDOW, MIN_TOKENS, LITERAL, DRIFT, NAME_WORDS = 8, 5, 4, 4, 3
+#: Windows at consecutive places of an item that are a match whatever the item's length.
+RUN = 13
 #: Windows of a block of the benchmark.
 BLOCK = 500_000
 #: Unit names.
@@ -146,6 +153,48 @@ class Table:
             yield self.entries[size][key], a
 
 
+def ascending(hits: list) -> list:
+    """The most hits whose places ascend in the text and in the item alike, however far apart they are in the text."""
+    ends, last, before = [], [], {}
+    order = sorted(hits, key=lambda h: (h[0] + h[1], -h[1]))
+    for i, (_, place, _) in enumerate(order):
+        k = bisect.bisect_left(ends, place)
+        before[i] = last[k - 1] if k else -1
+        ends[k : k + 1], last[k : k + 1] = [place], [i]
+    out, i = [], last[-1] if last else -1
+    while i >= 0:
+        out.append(order[i])
+        i = before[i]
+    return out[::-1]
+
+
+def runs(hits: list):
+    """Runs of RUN hits at consecutive places of one diagonal whose slots are consistent, each as long as that holds."""
+    lines: dict[int, dict[int, tuple]] = {}
+    for h in hits:
+        lines.setdefault(h[0], {})[h[1]] = h
+    for line in lines.values():
+        run: list = []
+        for place in sorted(line):
+            if run and place != run[-1][1] + 1:
+                if len(run) >= RUN:
+                    yield run
+                run = []
+            run.append(line[place])
+            if line[place][2] and not one_to_one(run):
+                if len(run) > RUN:
+                    yield run[:-1]
+                while not one_to_one(run):
+                    run = run[1:]
+        if len(run) >= RUN:
+            yield run
+
+
+def one_to_one(group: list) -> bool:
+    forth, back = {}, {}
+    return all(forth.setdefault(mine, theirs) == theirs and back.setdefault(theirs, mine) == mine for _, _, pairs in group for _, mine, theirs in pairs)
+
+
 class Index:
     """Windows of some benchmark items by hash: what a pass over the texts takes along."""
 
@@ -198,8 +247,9 @@ class Index:
                 for item, place in entries:
                     found.setdefault((row, item), ([], []))[1].append((a - int(canon.word_of[row]) - place, place, []))
         for (row, item), kinds in sorted(found.items()):
+            judges = list(zip(kinds, (self._judge, self._literal), strict=True))
             best = None
-            for hits, judge in zip(kinds, (self._judge, self._literal), strict=True):
+            for hits, judge in judges:
                 hits.sort(key=lambda x: x[0])
                 group = []
                 for i, h in enumerate(hits):
@@ -209,6 +259,10 @@ class Index:
                         if got and got[1] >= coverage and (best is None or got[1] > best[1]):
                             best = got
                         group = []
+            if not best:
+                joined = [got for hits, judge in judges if (got := judge(item, ascending(hits))) and got[1] >= coverage]
+                joined = joined or [got for hits, judge in judges for run in runs(hits) if (got := judge(item, run))]
+                best = max(joined, key=lambda x: x[1], default=None)
             if best:
                 yield row, self.ids[item], *best
 
