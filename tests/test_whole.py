@@ -72,3 +72,22 @@ def test_query_batch_is_its_sql_without_the_cut(spark):
     want = {(r[0], r[1]): r[2:] for r in c.sql(f"select item_id, doc_id, rank, _score from ({sql.replace('[1:3]', '')})").fetchall()}
     got = {(x.item_id, x.doc_id): (x["rank"], x._score) for x in catalogue.queries()["fts_query_batch"](spark, DATA).collect()}
     assert got.keys() == want.keys() and all(abs(got[k][1] - want[k][1]) < 2e-6 for k in want)
+
+
+def _edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, old = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_fuzzy_terms_and_sizes_of_all_rows(spark, tmp_path):
+    terms = ["erand", "\u00e9rand", "er\u00e4nd", "\u00e9r\u00e4nd", "\u00e9r\u00e4n\u00f0", "erands", "thth\u00e9r", "th\u00fe\u00e9r", "other", "errands", "\u65e5\u672c"]
+    docs = [(0, " ".join(terms), 5), (1, " ".join(terms[:4]), 2048), (2, "x", 1048576), (3, "x", 5 * 1048576 // 2)]
+    spark.createDataFrame(docs, "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(x.query_term, x.term, x.distance, x.df) for x in catalogue.queries()["fts_fuzzy"](spark, str(tmp_path)).collect()}
+    assert got == {(q, t, _edits(q, t), 1 + (t in terms[:4])) for q in ("thther", "erand") for t in terms if _edits(q, t) <= 2}
+    sizes = {x.doc_id: x.code for x in catalogue.queries()["bytes_fmt"](spark, str(tmp_path)).collect()}
+    assert sizes == {0: "5 B", 1: "2.0 kB", 2: "1.0 MB", 3: "2.5 MB"}

@@ -98,7 +98,7 @@ n as (select q, term, levenshtein(term, q) as d, df, row_number() over (partitio
 select q as query_term, term, d::bigint as distance, df::bigint as df from n where r <= 50""",
 )
 def fts_fuzzy(spark, sf_dir):
-    vocab = fts.vocabulary(documents(spark, sf_dir)).where(~F.col("term").rlike(r"[^\x00-\x7F]"))
+    vocab = fts.vocabulary(documents(spark, sf_dir))
     out = None
     for q in ("thther", "erand"):
         part = vocab.select(F.lit(q).alias("query_term"), "term", F.levenshtein("term", F.lit(q), 2).cast("long").alias("distance"), "df").where("distance >= 0")
@@ -526,7 +526,7 @@ def duration_fmt(spark, sf_dir):
 
 @_query("bytes_fmt", "select doc_id, case when n_chars < 1024 then n_chars || ' B' else printf('%.1f kB', round(n_chars / 1024, 1)) end as code from documents where n_chars < 1048576")
 def bytes_fmt(spark, sf_dir):
-    return documents(spark, sf_dir).where("n_chars < 1048576").select("doc_id", T.bytes_fmt(F.col("n_chars")).alias("code"))
+    return documents(spark, sf_dir).select("doc_id", T.bytes_fmt(F.col("n_chars")).alias("code"))
 
 
 @_query(
