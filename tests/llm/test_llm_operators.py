@@ -8,6 +8,7 @@ import zlib
 import brute
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidewater.llm import bpe, decontaminate, flatids, kernel, licenses, minhash, pii, quality, tokens, urls, warc
 from tidewater.llm.queries import vocabulary
@@ -55,7 +56,7 @@ def _single():
 
 
 def test_quality(docs, none):
-    out = quality.judge(docs, min_rows=5)
+    out = quality.judge(docs)
     got = _by_text(docs, out, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     for i, t in _single():
         want = brute.quality_base(t)
@@ -76,24 +77,63 @@ def test_quality_rejects_outliers_and_keeps_the_rest(spark):
     assert all(out[i] == (i % 10 != 0) for i in out)
 
 
-def test_mcd_matches_plain_steps(spark):
-    """The estimate equals concentration steps done in NumPy with the same bins."""
-    r = np.random.default_rng(1)
-    x = np.round(r.normal([1.6, 0, 0.1, 0], [0.3, 0.1, 0.05, 0.02], (300, 4)) * quality.SCALE).astype(int)
-    df = spark.createDataFrame([("g", *map(int, v)) for v in x], "grp string, x_chars long, x_symbols long, x_lines long, x_repeat long")
-    got = quality.mcd(df, 0.75, 3).first()
-    y = x / quality.SCALE
-    mid = np.array([np.sort(c)[(len(c) + 1) // 2 - 1] for c in y.T])
-    inv = np.diag([1 / f**2 for f in quality.FEATURES.values()])
-    for _ in range(3):
-        d = np.einsum("ni,ij,nj->n", y - mid, inv, y - mid)
-        cell = np.floor(np.log(np.maximum(d, 1e-4)) * 32)
-        limit = np.sort(cell)[int(np.ceil(0.75 * len(d))) - 1]
-        own = y[cell <= limit]
-        mid = own.mean(axis=0)
-        inv = np.linalg.inv(quality.consistency(0.75) * np.cov(own.T, bias=True) + np.diag([f**2 for f in quality.FEATURES.values()]))
-    assert np.allclose([got[f"m{i}"] for i in range(4)], mid, atol=1e-6)
-    assert np.allclose([got[f"v{i}{j}"] for i in range(4) for j in range(i, 4)], [inv[i, j] for i in range(4) for j in range(i, 4)], rtol=1e-3, atol=1e-3)
+def _least_determinant(y, h, target):
+    """The smallest log-determinant over all subsets of h rows, and its centre."""
+    import itertools
+
+    factor = quality.consistency(h / len(y))
+    made = [(np.linalg.slogdet(factor * np.cov(y[list(c)].T, bias=True) + np.diag(target))[1], c) for c in itertools.combinations(range(len(y)), h)]
+    det, best = min(made)
+    return det, y[list(best)].mean(axis=0)
+
+
+@pytest.mark.parametrize("target", [None, list(quality.FEATURES.values())])
+def test_mcd_is_the_least_of_all_subsets(spark, target):
+    r = np.random.default_rng(3)
+    groups = {f"g{g}": np.round(r.normal([1.6, 0.5, 0.1, 0.2], [0.3, 0.4, 0.2, 0.1], (12, 4)) * quality.SCALE).astype(int) for g in range(4)}
+    for x in groups.values():
+        x[:2] += 3000
+    rows = [(g, *map(int, v), 1) for g, x in groups.items() for v in x]
+    df = spark.createDataFrame(rows, "grp string, x0 long, x1 long, x2 long, x3 long, w long")
+    got = {x.grp: x for x in quality.mcd(df, 0.75, starts=60, keep=10, target=target, reweight=None).collect()}
+    for g, x in groups.items():
+        det, centre = _least_determinant(x / quality.SCALE, 9, np.zeros(4) if target is None else np.array(target) ** 2)
+        assert abs(got[g].det - det) < 1e-6 and got[g].n == 9
+        assert np.allclose([got[g][f"m{i}"] for i in range(4)], centre, atol=1e-8)
+
+
+def test_mcd_counts_equal_rows_and_falls_step_by_step(spark):
+    """Vectors with their numbers are as many rows; more starts never give a larger determinant; ties share the last places."""
+    r = np.random.default_rng(5)
+    x = np.round(r.normal(0, 1, (60, 4)) * 3).astype(int) * 300
+    flat = [("g", *map(int, v), 1) for v in [*x, *x[:30]]]
+    schema = "grp string, x0 long, x1 long, x2 long, x3 long, w long"
+    counted = lambda rows: spark.createDataFrame(rows, schema).groupBy("grp", "x0", "x1", "x2", "x3").agg(F.sum("w").alias("w"))
+    apart, together = (quality.mcd(df, starts=8).first() for df in (spark.createDataFrame(flat, schema), counted(flat)))
+    assert apart.n == together.n > 60 and abs(apart.det - together.det) < 1e-6
+    flat = flat[:60]
+    few, many = (quality.mcd(counted(flat), starts=k, keep=k, reweight=None).first() for k in (1, 12))
+    assert many.det <= few.det and few.n == 45 == many.n
+    same = quality.mcd(spark.createDataFrame([("g", 1, 2, 3, 4, 7)], schema), reweight=None).first()
+    assert (same.m0, same.m3, same.n) == (0.001, 0.004, 6.0)
+
+
+def test_small_groups_lean_on_their_language(spark):
+    r = random.Random(3)
+    text = lambda bad: " ".join("".join(r.choice("aeioubcdlmnrst") for _ in range(r.randint(2, 8))) + "###" * bad for _ in range(100))
+    rows = [(i, text(0), "en", "s") for i in range(300)] + [(1000 + i, text(i == 0), "en", f"t{i}") for i in range(20)]
+    out = {x.doc_id: x.kept for x in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert [i for i, k in out.items() if not k] == [1000]
+
+
+def test_clean_keeps_rows_not_ids(spark, none):
+    r = random.Random(4)
+    text = " ".join("".join(r.choice("aeioubcdlmnrst") for _ in range(5)) for _ in range(80))
+    rows = [(1, text, "en", None, "a", 1), (1, "junk", "en", None, "b", 2), (2, None, None, None, None, None), (1, text, "en", None, "a", 1), (None, text, "en", None, "c", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, row string, __id int")
+    out = quality.clean(docs)
+    assert out.columns == docs.columns and sorted(x.row for x in out.collect()) == ["a", "a", "c"]
+    assert quality.clean(none).count() == 0
 
 
 def test_near_duplicates(docs, none):

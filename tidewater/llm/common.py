@@ -5,15 +5,18 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 LOCAL_CHECKPOINTS = "/tmp/checkpoints/tidewater"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset and all runs on one machine (tests)."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         found = f"file://{LOCAL_CHECKPOINTS}"
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(found)
@@ -28,7 +31,42 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it again: lineage is cut and lost executors cost nothing."""
     path = work_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.materialised_at = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete what materialise() wrote for these frames, which nothing reads any more."""
+    for df in frames:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.materialised_at)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def fresh(taken: list[str], *stems: str) -> list[str]:
+    """A column name for each stem that none of the taken ones equals, whatever its case."""
+    have, out = {t.lower() for t in taken}, []
+    for stem in stems:
+        name, k = stem, 0
+        while name.lower() in have:
+            name, k = f"{stem}_{k}", k + 1
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
+def packed(df: DataFrame) -> tuple[Column, list[Column]]:
+    """(a struct `row` of all columns under names of its own, the columns taken out of `row` again under theirs)."""
+    own = [f"c{i}" for i in range(len(df.columns))]
+    row = F.struct(*(F.col(f"`{n}`").alias(o) for n, o in zip(df.columns, own, strict=True))).alias("row")
+    return row, [F.col(f"row.{o}").alias(n) for n, o in zip(df.columns, own, strict=True)]
+
+
+def numbered(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """(the rows, stored with a number of their own each, the column of that number): equal rows can be told apart."""
+    (rid,) = fresh(df.columns, "row_number")
+    return materialise(df.withColumn(rid, F.monotonically_increasing_id()), name), rid
 
 
 def filesystem(uri: str):
