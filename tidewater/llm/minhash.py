@@ -6,9 +6,13 @@ that band's bucket. Signature batches are compared one after another; a pair is
 that its similarity reaches the threshold falls under `miss`. Survivors are verified exactly on their full sets unless
 verified links already join them. Components of the verified links are found by alternating star contractions.
 
+Bands are worked in rounds: once the first bands have joined most copies, a bucket of later bands is worked only if it holds
+members of different components, and buckets with the same members once. So a group of near copies is sent about once.
+
 A large bucket is first worked block by block, each block with the same few members of the bucket besides (HUBS), which
-joins most of a group of near copies in linear work. Then the members outside the bucket's largest component, in blocks, meet
-all its members, so that no pair of different components is left out.
+joins most of a group of near copies in linear work. After the rounds the members outside the bucket's largest component, in
+blocks, meet all its members, so that no pair of different components is left out: first by signatures alone; then those that
+have a partner left are sent again with their sets.
 
 Defined results: a null text is an empty text; documents without words have n_shingles 0 and are their own component;
 repeated rows and equal doc_ids are handled row by row (a class is a set, not an id); null doc_ids never name a component
@@ -25,10 +29,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm import kernel
-from tidewater.llm.common import materialise, within
+from tidewater.llm.common import discard, materialise, numbered, within
 from tidewater.session import ready
 
-ROWS, BATCH = 5, 25
+ROWS, BATCH = 4, 25
 #: A pair at the threshold shares no band with this probability at most.
 UNMET = 4.5e-7
 K = 250
@@ -162,24 +166,17 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * inter >= percent * (len(both) - inter)
 
 
-def block_links(sets, sigs, side, band: int, percent: int, least: list[int], label: np.ndarray | None = None):
-    """Index pairs of verified links of a block (side None: all pairs; else pairs across sides), as far as they join new classes.
-
-    label: components that are known, whose inner pairs are left out."""
-    n, out = len(sets), []
-    sizes = np.array([len(s) for s in sets])
+def survivors(sigs, side, label, band: int, least: list[int], sizes=None, percent: int = 0):
+    """(i, partners j > i, their matching hashes) of each member with partners of other components that the posterior does not rule out."""
+    n = len(sigs)
     keys = band_keys(sigs, band) if band else None
-    if label is None:
-        label = np.arange(n)
-    _, first, kind = np.unique(label, return_index=True, return_inverse=True)
-    parent = first[kind].tolist()
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for i in range(n - 1):
         j = np.arange(i + 1, n)
         j = j[label[j] != label[i]]
         if side is not None:
             j = j[side[j] != side[i]]
-        j = j[(100 * np.minimum(sizes[j], sizes[i]) >= percent * np.maximum(sizes[j], sizes[i]))]
+        if sizes is not None:
+            j = j[(100 * np.minimum(sizes[j], sizes[i]) >= percent * np.maximum(sizes[j], sizes[i]))]
         if band and len(j):  # a pair is worked in the first band that it shares
             j = j[~(keys[j, :band] == keys[i, :band]).any(axis=1)]
         match = np.zeros(len(j), np.int64)
@@ -190,7 +187,20 @@ def block_links(sets, sigs, side, band: int, percent: int, least: list[int], lab
             ok = match >= need
             j, match = j[ok], match[ok]
         if len(j):
-            found.append((np.full(len(j), i), j, match))
+            yield i, j, match
+
+
+def block_links(sets, sigs, side, band: int, percent: int, least: list[int], label: np.ndarray | None = None):
+    """Index pairs of verified links of a block (side None: all pairs; else pairs across sides), as far as they join new classes.
+
+    label: components that are known, whose inner pairs are left out."""
+    n, out = len(sets), []
+    if label is None:
+        label = np.arange(n)
+    _, first, kind = np.unique(label, return_index=True, return_inverse=True)
+    parent = first[kind].tolist()
+    sizes = np.array([len(s) for s in sets])
+    found = [(np.full(len(j), i), j, match) for i, j, match in survivors(sigs, side, label, band, least, sizes, percent)]
     if not found:
         return out
     left, right, match = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -205,39 +215,86 @@ def block_links(sets, sigs, side, band: int, percent: int, least: list[int], lab
     return out
 
 
+def _units(batches, width: int, work):
+    """work(rows, head) of each run of rows with equal first four columns, whose other columns (`width` of them) are its rows."""
+    rows, unit = [], None
+    for batch in batches:
+        heads = list(zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True))
+        own = [batch.column(i) for i in range(4, 4 + width)]
+        for r, head in enumerate(heads):
+            if head != unit:
+                if len(rows) > 1:
+                    yield from work(rows, unit)
+                rows, unit = [], head
+            rows.append(tuple(c[r].as_py() for c in own))
+    if len(rows) > 1:
+        yield from work(rows, unit)
+
+
+def _once(rows):
+    """The rows by node, each node once (a hub stands in a block of its own as well), in ascending order."""
+    own: dict[bytes, tuple] = {}
+    for node, *rest in rows:
+        own.setdefault(node, rest)
+    return sorted(own.items())
+
+
+def _out(made, kinds, names, size: int = 5000):
+    """Batches of tuples."""
+    import pyarrow as pa
+
+    batch = lambda rows: pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], t) for k, t in enumerate(kinds)], names=names)
+    rows = []
+    for x in made:
+        rows.append(x)
+        if len(rows) >= size:
+            yield batch(rows)
+            rows = []
+    yield batch(rows)
+
+
 def _links(percent: int, miss: float):
+    """Rows (unit, node, block, set, signature, label) -> verified links."""
     least = least_matches(percent / 100, miss)
 
+    def work(rows, unit):
+        nodes, rest = zip(*_once(rows), strict=True)
+        sets = [np.frombuffer(x[1], np.uint64) for x in rest]
+        sigs = np.array([np.frombuffer(x[2], np.uint32) for x in rest])
+        side = None if unit[2] == unit[3] else np.array([x[0] for x in rest])
+        label = np.unique([x[3] for x in rest], return_inverse=True)[1]
+        for i, j in block_links(sets, sigs, side, unit[0], percent, least, label):
+            yield nodes[i], nodes[j]
+
     def run(batches):
         import pyarrow as pa
 
-        def flush(rows, unit):
-            if len(rows) < 2:
-                return []
-            own: dict[bytes, tuple] = {}
-            for node, *rest in rows:
-                own.setdefault(node, rest)
-            nodes = sorted(own)
-            sets = [np.frombuffer(own[x][1], np.uint64) for x in nodes]
-            sigs = np.array([np.frombuffer(own[x][2], np.uint32) for x in nodes])
-            side = None if unit[2] == unit[3] else np.array([own[x][0] for x in nodes])
-            label = np.unique([own[x][3] for x in nodes], return_inverse=True)[1]
-            return [(nodes[i], nodes[j]) for i, j in block_links(sets, sigs, side, unit[0], percent, least, label)]
-
-        rows, unit, out = [], None, []
-        for batch in batches:
-            heads = list(zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True))
-            own = [batch.column(i) for i in range(4, 9)]
-            for r, head in enumerate(heads):
-                if head != unit:
-                    out += flush(rows, unit)
-                    rows, unit = [], head
-                rows.append(tuple(c[r].as_py() for c in own))
-            if len(out) > 5000:
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], names=["u", "v"])
-                out = []
-        out += flush(rows, unit)
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], names=["u", "v"])
+        yield from _out(_units(batches, 5, work), [pa.binary()] * 2, ["u", "v"])
+
+    return run
+
+
+def _survivors(percent: int, miss: float):
+    """Rows (unit, node, block, signature, label) -> the same without signatures, as far as they have a partner left."""
+    least = least_matches(percent / 100, miss)
+
+    def work(rows, unit):
+        nodes, rest = zip(*_once(rows), strict=True)
+        sigs = np.array([np.frombuffer(x[1], np.uint32) for x in rest])
+        side = None if unit[2] == unit[3] else np.array([x[0] for x in rest])
+        label = np.unique([x[2] for x in rest], return_inverse=True)[1]
+        alive = np.zeros(len(nodes), bool)
+        for i, j, _ in survivors(sigs, side, label, unit[0], least):
+            alive[i] = True
+            alive[j] = True
+        for i in np.flatnonzero(alive).tolist():
+            yield (*unit, nodes[i], rest[i][0], rest[i][2])
+
+    def run(batches):
+        import pyarrow as pa
+
+        kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.binary()]
+        yield from _out(_units(batches, 4, work), kinds, ["band", "key", "lo", "hi", "node", "blk", "label"])
 
     return run
 
@@ -249,12 +306,12 @@ def _among(n) -> Column:
 
 def deal_blocks(members: DataFrame) -> DataFrame:
     """band, key, lo, hi, node, blk, label: each bucket's members by block, and its hubs in every block of large buckets."""
-    own = members.select("band", "key", "node", _among("blocks").alias("blk"))
-    some = [F.min_by("node", F.xxhash64("node", F.lit(100 + i))) for i in range(HUBS)]
+    own = members.select("band", "key", "node", _among("blocks").alias("blk"), "label")
+    some = [F.min_by(F.struct("node", "label"), F.xxhash64("node", F.lit(100 + i))) for i in range(HUBS)]
     hubs = members.where("blocks > 1").groupBy("band", "key").agg(F.array_distinct(F.array(*some)).alias("hubs"), F.max("blocks").alias("blocks"))
-    hubs = hubs.select("band", "key", "blocks", F.explode("hubs").alias("node"))
-    hubs = hubs.select("band", "key", "node", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("blk"))
-    return own.unionAll(hubs).select("band", "key", F.col("blk").alias("lo"), F.col("blk").alias("hi"), "node", "blk", F.col("node").alias("label"))
+    hubs = hubs.select("band", "key", "blocks", F.explode("hubs").alias("hub"))
+    hubs = hubs.select("band", "key", "hub.node", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("blk"), "hub.label")
+    return own.unionAll(hubs).select("band", "key", F.col("blk").alias("lo"), F.col("blk").alias("hi"), "node", "blk", "label")
 
 
 def _blocks(n, s):
@@ -286,7 +343,8 @@ def components(links: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
         large = large.where("u > v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
-        edges = materialise(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u > v").distinct(), "links")
+        before, edges = edges, materialise(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u > v").distinct(), "links")
+        discard(before)
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == state:
             break
@@ -294,43 +352,95 @@ def components(links: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
 
 
+#: Bands after which components are found and buckets that lie within one component are done: the first ones join most copies.
+ROUNDS = (2, 8)
+
+
+def _buckets(part: DataFrame) -> DataFrame:
+    """Buckets with members of different components: band, key, their size, and hashes of their members."""
+    h = lambda seed: F.bit_xor(F.xxhash64("node", F.lit(seed)))
+    own = part.groupBy("band", "key").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"), h(1).alias("h1"), h(2).alias("h2"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    return own.where("lo <> hi").drop("lo", "hi")
+
+
+def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    if labels is None:
+        return members.withColumn("label", F.col("node"))
+    return members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 85, miss: float = 1e-7) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: a row a document."""
     pick = ready(docs).select(F.col(id).alias("doc_id"), F.col(text).alias("text"))
-    kind = pick.schema["doc_id"].dataType.simpleString()
-    sketch = materialise(pick.mapInArrow(_sketch(bands_of(percent)), f"doc_id {kind}, node binary, n_shingles long, bands array<long>"), "sketch")
+    kind, bands = pick.schema["doc_id"].dataType.simpleString(), bands_of(percent)
+    sketch = materialise(pick.mapInArrow(_sketch(bands), f"doc_id {kind}, node binary, n_shingles long, bands array<long>"), "sketch")
     classes = sketch.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
     classes = materialise(classes, "classes")
-    banded = classes.select("node", "n_shingles", F.posexplode("bands").alias("band", "key"))
-    h = lambda seed: F.bit_xor(F.xxhash64("node", F.lit(seed)))
-    buckets = banded.groupBy("band", "key").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"), h(1).alias("h1"), h(2).alias("h2")).where("n > 1")
-    # buckets of other bands with the same members are one unit, kept under their first band
-    units = buckets.groupBy("n", "s", "h1", "h2").agg(F.min(F.struct("band", "key")).alias("first"))
-    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int")
-    units = units.select("first.band", "first.key", blocks.alias("blocks"))
-    members = materialise(banded.join(units, ["band", "key"]).select("band", "key", "blocks", "node", "n_shingles"), "members")
+    # a key is of one band only; counts by key alone tell the buckets with several members
+    many = classes.select(F.explode("bands").alias("key")).groupBy("key").count().where("count > 1").select("key")
+    members = classes.select("node", "n_shingles", F.posexplode("bands").alias("band", "key")).join(many, "key")
+    members = materialise(members.select("band", "key", "node", "n_shingles"), "members")
     wanted = materialise(members.select("node").distinct().join(classes.select("node", "rep"), "node"), "wanted")
     side = F.broadcast(wanted) if wanted.count() <= 500_000 else wanted
     sets = pick.join(side, pick.doc_id.eqNullSafe(side.rep)).select("doc_id", "text", "node")
     sets = materialise(sets.mapInArrow(_sets, "node binary, shingles binary, sig binary"), "sets")
-    unit = ["band", "key", "lo", "hi"]
+    unit, spent = ["band", "key", "lo", "hi"], [members, wanted, sets]
 
-    def links_of(dealt: DataFrame) -> DataFrame:
-        worked = dealt.join(sets, "node").select(*unit, "node", "blk", "shingles", "sig", "label")
-        worked = worked.repartition(*unit).sortWithinPartitions(*unit)
-        return materialise(worked.mapInArrow(_links(percent, miss), "u binary, v binary"), "links")
+    def worked(dealt: DataFrame, run, schema: str, *columns: str) -> DataFrame:
+        rows = dealt.join(sets.select("node", *columns), "node").select(*unit, "node", "blk", *columns, "label")
+        rows = rows.repartition(*unit).sortWithinPartitions(*unit)
+        spent.append(materialise(rows.mapInArrow(run, schema), "links"))
+        return spent[-1]
 
-    links = links_of(deal_blocks(members))
-    labels = components(links)
-    large = members.where("blocks > 1").select("band", "key", "node", "n_shingles")
+    def links_of(dealt: DataFrame) -> DataFrame:
+        return worked(dealt, _links(percent, miss), "u binary, v binary", "shingles", "sig")
+
+    links, labels, seen, large = None, None, None, None
+    edges = [0, *(r for r in ROUNDS if r < bands), bands]
+    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+        part = _labelled(members.where((F.col("band") >= lo) & (F.col("band") < hi)), labels)
+        # buckets with the same members are one unit, kept under their first band
+        same = ["n", "s", "h1", "h2"]
+        units = _buckets(part).groupBy(*same).agg(F.min(F.struct("band", "key")).alias("first"))
+        if seen is not None:
+            units = units.join(seen, same, "left_anti")
+        blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int")
+        units = materialise(units.select(*same, "first.band", "first.key", blocks.alias("blocks")), "units")
+        seen = units.select(*same) if seen is None else seen.unionAll(units.select(*same))
+        work = materialise(part.join(units.select("band", "key", "blocks"), ["band", "key"]).select("band", "key", "blocks", "node", "n_shingles", "label"), "members")
+        spent += [units, work]
+        more = links_of(deal_blocks(work))
+        links = more if links is None else links.unionAll(more)
+        labels = components(links)
+        rest = work.where("blocks > 1").drop("blocks", "label")
+        large = rest if large is None else large.unionAll(rest)
     if not large.isEmpty():
-        labelled = large.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        more = links_of(deal(labelled.select("band", "key", "node", "n_shingles", "label")))
+        left = _labelled(large, labels)
+        open_ = _buckets(left).select("band", "key")
+        dealt = materialise(deal(left.join(open_, ["band", "key"])), "dealt")
+        spent.append(dealt)
+        # ids and signatures first; sets only of members that have a partner left
+        alive = worked(dealt, _survivors(percent, miss), "band int, key long, lo int, hi int, node binary, blk int, label binary", "sig")
+        more = links_of(alive)
         if not more.isEmpty():
-            labels = components(links.unionAll(more))
+            links = links.unionAll(more)
+            labels = components(links)
     named = classes.select("node", "rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = named.where("label is not null").groupBy("label").agg(F.min("rep").alias("component"))
-    named = named.join(least, "label").select("node", "component")
+    least = named.groupBy("label").agg(F.min("rep").alias("component"))
+    named = materialise(named.join(least, "label").select("node", "component"), "components")
+    discard(*spent, classes)
     out = sketch.select("doc_id", "n_shingles", "node").join(named, "node", "left")
     out = out.withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def deduplicate(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
+    """The rows of docs, all columns, one of each component: that with the smallest id (null ids last), any one of rows that share it.
+
+    Rows are told apart by numbers of their own, so equal ids, and equal rows, are documents each; other columns may have any names."""
+    rows, rid = numbered(ready(docs), "rows")
+    key = F.struct(F.col(id).isNull().alias("none"), F.col(id).alias("id"), F.col(rid).alias("rid"))
+    gone = near_duplicates(rows.select(key.alias("doc_id"), F.col(text).alias("text")), percent=percent).where("not kept").select("doc_id.rid")
+    gone = materialise(gone, "removed")
+    side = F.broadcast(gone) if gone.count() <= 500_000 else gone
+    return rows.join(side, rows[rid] == side["rid"], "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
