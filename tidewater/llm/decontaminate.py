@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm import kernel
-from tidewater.llm.common import within
+from tidewater.llm.common import fresh, within
 from tidewater.session import ready
 
 WINDOW, MIN_TOKENS, LITERAL, DRIFT, NAME_WORDS = 8, 5, 4, 4, 3
@@ -357,8 +357,9 @@ def _filter(index, coverage: float):
 
 def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.4, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of docs, all columns, whose text holds no item."""
-    out, names = ready(docs), docs.columns
+    out = ready(docs)
+    (whole,) = fresh(docs.columns, "whole_text")
     for items in _blocks(benchmark, item_id, item_text):
         index = docs.sparkSession.sparkContext.broadcast(Index(items))
-        out = out.select("*", F.col(text).alias("__canon_text")).mapInArrow(_filter(index, coverage), docs.schema)
-    return out.select(*names)
+        out = out.select("*", F.col(text).alias(whole)).mapInArrow(_filter(index, coverage), docs.schema)
+    return out
