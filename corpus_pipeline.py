@@ -19,30 +19,37 @@ NEAR = 80
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    judged = quality.judge(docs).where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(judged, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    """Documents that the quality rules keep. Each row is judged by itself: rows that share an id may differ in their verdicts.
+
+    Null and empty texts have no words and go; a null language or source is a value of its own; repeated rows fare alike. An
+    empty table stays empty."""
+    return quality.clean(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that with the smallest id."""
-    kept = minhash.near_duplicates(docs, percent=NEAR).where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    """One row of each group of near copies: that with the smallest id, null ids last; of repeated rows and of rows that share this id, one.
+
+    Texts without words, null ones too, are linked with nothing and stay. An empty table stays empty."""
+    return minhash.deduplicate(docs, percent=NEAR)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item. Each row is judged by its text alone: null and empty texts stay, repeated rows fare alike.
+
+    An empty table stays empty, and an empty benchmark drops nothing."""
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data replaced by its kind; n_chars follows."""
+    """All documents, with personal data replaced by its kind in brackets; n_chars follows. Null texts stay null; overlapping spans are one."""
     out = pii.redact(docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_crc32, lossless of each document, encoded with merge-dropout and decoded again."""
+    """doc_id, n_tokens, ids_crc32, lossless of each row, encoded with merge-dropout and decoded again. Null texts are empty: no tokens.
+
+    Rows with equal ids and texts are encoded alike."""
     return tokens.encode(docs, vocabulary("piece_bpe_32k.model"), 0.1, seed=7, keep=("n_tokens", "ids_crc32", "lossless"))
 
 
