@@ -404,3 +404,36 @@ def test_url_trees_learn_held_out_urls(spark):
     pages = spark.createDataFrame([(i, u) for i, u in enumerate(made) if i >= 2000], "page_id long, url string")
     got = urls.filter_urls(pages, labelled, rules=()).collect()
     assert sum((r.verdict == "block") == truth[r.page_id] for r in got) > 0.95 * len(got)
+
+
+def test_url_features_and_the_sample(spark):
+    import math
+
+    import pyarrow as pa
+
+    made = ["http://a.b-c.co.uk/x/y9/?p=1&q=22&&r#f?&z", "", None, "é?x", "http://q/1234567"]
+    parts = [urls.split_url(u) for u in made]
+    x = urls.lexical(pa.array(made, pa.string()), [h for h, _ in parts], [p for _, p in parts])
+    for u, (host, path), row in zip(made, parts, x, strict=True):
+        data = (u or "").encode()
+        shares = [data.count(c) / len(data) for c in set(data)]
+        assert abs(row[5] - sum(-p * math.log2(p) for p in shares)) < 1e-8 and row[0] == len(data)
+        assert row[4] == (sum(48 <= c <= 57 for c in data) / len(data) if data else 0) and row[8] == data.count(b"-")
+    assert x[0].tolist()[1:4] == [len("a.b-c.co.uk"), len("/x/y9/"), 2] and x[0][6] == 3 and x[0][7] == 4 and x[4][9] == 7
+    assert [urls.suffix(h) for h in ("a.b.co.uk", "co.uk", "x.com", "", "x.yy.uk:80")] == ["co.uk", "uk", "com", "", "uk"]
+    # rows under the threshold are a few more than the sample, whatever the table's size, and equal rows count as one
+    for n in (5_000, 50_000):
+        ids = spark.range(n).select(F.xxhash64("id").alias("h"))
+        assert 1000 <= ids.where(urls._below(F.col("h"), n, 1000)).count() <= 1600
+    assert spark.range(9).where(urls._below(F.col("id"), 9, 1000)).count() == 9
+
+
+def test_trees_take_numbers_of_rows():
+    r = np.random.default_rng(2)
+    x = r.normal(size=(300, 3)).round(1)
+    y = (x[:, 0] + x[:, 1] > 0.3).astype(float)
+    w = r.integers(1, 4, 300)
+    one, two = urls.Trees(rounds=5).fit(x, y, w.astype(float)), urls.Trees(rounds=5)
+    rep = np.repeat(np.arange(300), w)
+    two.fit(x[rep], y[rep])
+    assert one.base == pytest.approx(two.base) and ((one.predict(x) > 0.5) == (y > 0)).mean() > 0.9

@@ -1,9 +1,11 @@
 """URL filters: host and path rules, and gradient-boosted trees on lexical features for the urls that no rule fits.
 
 Features: lengths of url, host and path, path depth, digit ratio, character entropy, parameter count, host labels, hyphens,
-longest run of digits, and how often labelled urls of the same suffix are blocked (smoothed) and how many there are.
-The trees (logistic loss, histogram splits) are trained from labelled urls: by default those that the rules judge. The fit
-takes a bounded sample, the `sample` labelled rows with the smallest hashes; suffix statistics use all labelled rows.
+longest run of digits, and how often labelled urls of the same suffix (co.uk, com) are blocked (smoothed) and how many there
+are; a labelled url's own label is left out of its suffix's rate when it trains. The trees (logistic loss, histogram splits)
+are trained from labelled urls: by default those that the rules judge. Labelled urls with the same features and label are one
+row with their number. The fit takes a bounded sample, the `sample` such rows with the smallest hashes; only rows under a hash
+threshold that lets a few more pass reach the driver. Suffix statistics use all labelled urls.
 
 Defined results: null urls and urls without "://" have empty host and path, fit no rule and are scored as they are; repeated
 rows are judged each; without labelled urls, or with labels of one kind only, the verdict outside rules is that kind (allow
@@ -18,6 +20,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.llm import kernel
+from tidewater.llm.common import discard, materialise
 from tidewater.session import ready
 
 #: Fixed values: (verdict, rule).
@@ -25,6 +29,9 @@ RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org
 #: Rows that a fit takes at most.
 SAMPLE = 100_000
 FEATURES = ("length", "host_length", "path_length", "depth", "digit_ratio", "entropy", "parameters", "host_labels", "hyphens", "digit_run")
+#: Common second levels of country domains.
+SECOND = {"ac", "co", "com", "edu", "gob", "gov", "net", "or", "org"}
+_DIGIT = kernel.table(b"0123456789")
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -49,20 +56,32 @@ def match_rule(host: str, path: str, rules) -> tuple[str | None, str | None]:
     return best or (None, None)
 
 
-def lexical(url: str | None, host: str, path: str) -> list[float]:
-    url = url or ""
-    n = len(url)
-    counts: dict[str, int] = {}
-    run = longest = digits = 0
-    for c in url:
-        counts[c] = counts.get(c, 0) + 1
-        run = run + 1 if "0" <= c <= "9" else 0
-        digits += run > 0
-        longest = max(longest, run)
-    entropy = -sum(k / n * math.log2(k / n) for k in counts.values()) if n else 0.0
-    query = url.split("?", 1)[1].split("#", 1)[0] if "?" in url else ""
-    params = sum(1 for p in query.split("&") if p)
-    return [n, len(host), len(path), sum(1 for p in path.split("/") if p), digits / n if n else 0.0, round(entropy, 9), params, host.count(".") + (host != ""), url.count("-"), longest]
+def suffix(host: str) -> str:
+    """The last label, with the one before it where that is a common second level under a country's."""
+    labels = host.partition(":")[0].rsplit(".", 2)
+    return ".".join(labels[-2:]) if len(labels) > 2 and len(labels[-1]) == 2 and labels[-2] in SECOND else labels[-1]
+
+
+def lexical(column, hosts: list[str], paths: list[str]) -> np.ndarray:
+    """FEATURES of an Arrow array of urls, a row each; lengths and entropy count UTF-8 bytes."""
+    data, offsets = kernel.column_bytes(column)
+    rows, n = len(offsets) - 1, np.diff(offsets)
+    row = np.repeat(np.arange(rows), n)
+    per_row = lambda mask: np.diff(np.concatenate([[0], np.cumsum(mask)])[offsets])
+    cell, count = np.unique(row * 256 + data, return_counts=True)
+    share = count / n[cell // 256]
+    entropy = np.zeros(rows)
+    np.add.at(entropy, cell // 256, -share * np.log2(share))
+    runs = kernel.Runs(data, offsets, _DIGIT[data])
+    longest = np.zeros(rows, np.int64)
+    np.maximum.at(longest, runs.row, runs.end - runs.start)
+    queries = [u.split("?", 1)[1].split("#", 1)[0] if u and "?" in u else "" for u in column.to_pylist()]
+    parameters = [sum(1 for p in q.split("&") if p) for q in queries]
+    depth = [sum(1 for p in x.split("/") if p) for x in paths]
+    labels = [h.count(".") + (h != "") for h in hosts]
+    digits = per_row(_DIGIT[data]) / np.maximum(n, 1)
+    cols = [n, [len(h) for h in hosts], [len(x) for x in paths], depth, digits, np.round(entropy, 9), parameters, labels, per_row(data == 45), longest]
+    return np.stack([np.asarray(c, float) for c in cols], axis=1)
 
 
 class Trees:
@@ -72,37 +91,40 @@ class Trees:
         self.rounds, self.depth, self.rate, self.leaf, self.penalty = rounds, depth, rate, leaf, penalty
         self.base, self.trees = 0.0, []
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> Trees:
+    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> Trees:
+        """weight: the number of labelled urls that each row stands for."""
+        weight = np.ones(len(y)) if weight is None else weight
         if not len(y) or y.min() == y.max():
             self.base = -20.0 if not len(y) or y[0] == 0 else 20.0
             return self
         self.edges = [np.unique(np.quantile(c, np.linspace(0, 1, 65)[1:-1], method="lower")) for c in x.T]
         bins = np.stack([np.searchsorted(e, c, side="left") for e, c in zip(self.edges, x.T, strict=True)], axis=1)
-        rate = y.mean()
+        rate = (weight * y).sum() / weight.sum()
         self.base = math.log(rate / (1 - rate))
         score = np.full(len(y), self.base)
         for _ in range(self.rounds):
             p = 1 / (1 + np.exp(-score))
             tree: list = []
             step = np.zeros(len(y))
-            self._grow(tree, bins, y - p, p * (1 - p), np.arange(len(y)), self.depth, step)
+            self._grow(tree, bins, weight * (y - p), weight * p * (1 - p), weight, np.arange(len(y)), self.depth, step)
             self.trees.append(tree)
             score += self.rate * step
         return self
 
-    def _grow(self, tree, bins, g, h, rows, depth, step) -> int:
+    def _grow(self, tree, bins, g, h, weight, rows, depth, step) -> int:
         at = len(tree)
         tree.append(None)
         gs, hs = g[rows].sum(), h[rows].sum()
         best = (1e-9, None, None)
-        if depth and len(rows) >= 2 * self.leaf:
+        size = weight[rows].sum()
+        if depth and size >= 2 * self.leaf:
             for f, edges in enumerate(self.edges):
                 if not len(edges):
                     continue
                 b = bins[rows, f]
-                gl, hl, nl = (np.cumsum(np.bincount(b, w, minlength=len(edges) + 1))[:-1] for w in (g[rows], h[rows], None))
+                gl, hl, nl = (np.cumsum(np.bincount(b, w, minlength=len(edges) + 1))[:-1] for w in (g[rows], h[rows], weight[rows]))
                 gain = gl**2 / (hl + self.penalty) + (gs - gl) ** 2 / (hs - hl + self.penalty) - gs**2 / (hs + self.penalty)
-                gain[(nl < self.leaf) | (len(rows) - nl < self.leaf)] = -1
+                gain[(nl < self.leaf) | (size - nl < self.leaf)] = -1
                 k = int(np.argmax(gain))
                 if gain[k] > best[0]:
                     best = (gain[k], f, k)
@@ -113,8 +135,8 @@ class Trees:
             return at
         _, f, k = best
         left = bins[rows, f] <= k
-        a = self._grow(tree, bins, g, h, rows[left], depth - 1, step)
-        b = self._grow(tree, bins, g, h, rows[~left], depth - 1, step)
+        a = self._grow(tree, bins, g, h, weight, rows[left], depth - 1, step)
+        b = self._grow(tree, bins, g, h, weight, rows[~left], depth - 1, step)
         tree[at] = (f, float(self.edges[f][k]), a, b, 0.0)
         return at
 
@@ -139,10 +161,12 @@ def _parse(rules):
             urls = batch.column(1).to_pylist()
             parts = [split_url(u) for u in urls]
             found = [match_rule(h, p, rules) for h, p in parts]
-            rows = [lexical(u, h, p) for u, (h, p) in zip(urls, parts, strict=True)]
-            made = [[h for h, _ in parts], [p for _, p in parts], [r for r, _ in found], [v for _, v in found], [h.rsplit(".", 1)[-1] for h, _ in parts]]
+            hosts, paths = [h for h, _ in parts], [p for _, p in parts]
+            x = lexical(batch.column(1), hosts, paths)
+            made = [hosts, paths, [r for r, _ in found], [v for _, v in found], [suffix(h) for h in hosts]]
             cols = [pa.array(c, pa.string()) for c in made]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols, pa.array(rows, pa.list_(pa.float64()))], names=["page_id", "host", "path", "rule", "ruled", "suffix", "x"])
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, len(FEATURES), dtype=np.int32)), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols, flat], names=["page_id", "host", "path", "rule", "ruled", "suffix", "x"])
 
     return run
 
@@ -167,21 +191,35 @@ def filter_urls(pages: DataFrame, labelled: DataFrame | None = None, rules=RULES
     kind = pages.schema[id].dataType.simpleString()
     schema = f"page_id {kind}, host string, path string, rule string, ruled string, suffix string, x array<double>"
     parse = lambda df: ready(df).mapInArrow(_parse(tuple(rules)), schema)
-    parsed = parse(pages.select(F.col(id).alias("page_id"), F.col(url).alias("url")))
+    parsed = materialise(parse(pages.select(F.col(id).alias("page_id"), F.col(url).alias("url"))), "urls")
     if labelled is None:
-        known = parsed.where("ruled is not null").withColumn("y", (F.col("ruled") == "block").cast("int"))
+        known = parsed.where("ruled is not null").select("suffix", "x", (F.col("ruled") == "block").cast("int").alias("y"))
     else:
-        both = labelled.where("block is not null").select(F.struct("url", "block").alias("page_id"), "url")
-        known = ready(both).mapInArrow(_parse(()), schema.replace(f"page_id {kind}", f"page_id {both.schema['page_id'].dataType.simpleString()}"))
-        known = known.withColumn("y", F.col("page_id.block").cast("int"))
-    suffixes = known.groupBy("suffix").agg(F.sum("y").alias("s"), F.count("*").alias("n"))
-    overall = suffixes.agg(F.sum("s"), F.sum("n"), F.count("*")).first()
-    prior = (overall[0] / overall[1]) if overall[1] else 0.5
+        both = labelled.where("block is not null").select(F.col("block").cast("int").alias("page_id"), "url")
+        known = ready(both).mapInArrow(_parse(()), schema.replace(f"page_id {kind}", "page_id int")).select("suffix", "x", F.col("page_id").alias("y"))
+    known = materialise(known.groupBy("suffix", "x", "y").agg(F.count("*").alias("w")), "known-urls")
+    suffixes = known.groupBy("suffix").agg(F.sum(F.col("w") * F.col("y")).alias("s"), F.sum("w").alias("n"), F.count("*").alias("rows"))
+    overall = suffixes.agg(F.sum("s").alias("s"), F.sum("n").alias("n"), F.count("*").alias("suffixes"), F.sum("rows").alias("rows")).first()
+    prior = (overall.s / overall.n) if overall.n else 0.5
+    few = F.broadcast if overall.suffixes <= 100_000 else lambda side: side
+    learnt = known.where(_below(F.xxhash64("suffix", "x", "y"), overall.rows or 0, sample)).join(few(suffixes.drop("rows")), "suffix")
+    # the rate that the others of its suffix give
+    own = ["x", F.round((F.col("s") - F.col("y") + 10 * prior) / (F.col("n") + 9), 9).alias("s_rate"), F.log1p("n").alias("s_n"), "y", "w"]
+    rows = learnt.orderBy(F.xxhash64("suffix", "x", "y"), "suffix", "x", "y").limit(sample).select(*own).toArrow()
+    flat = rows.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, len(FEATURES))
+    at = lambda c: rows.column(c).to_numpy().astype(float)
+    model = Trees().fit(np.concatenate([flat, np.stack([at("s_rate"), at("s_n")], axis=1)], axis=1), at("y"), at("w"))
+    suffixes = materialise(suffixes, "suffixes")
+    discard(known)
     rated = suffixes.select("suffix", F.round((F.col("s") + 10 * prior) / (F.col("n") + 10), 9).alias("s_rate"), F.log1p("n").alias("s_n"))
-    side = F.broadcast(rated) if overall[2] <= 100_000 else rated
-    full = lambda df: df.join(side, "suffix", "left").withColumns({"s_rate": F.coalesce("s_rate", F.lit(prior)), "s_n": F.coalesce("s_n", F.lit(0.0))})
-    rows = full(known).select("x", "s_rate", "s_n", "y").orderBy(F.xxhash64("x", "s_rate", "y"), "y").limit(sample).collect()
-    x = np.array([[*r.x, r.s_rate, r.s_n] for r in rows], float).reshape(len(rows), len(FEATURES) + 2)
-    model = Trees().fit(x, np.array([r.y for r in rows], float))
-    scored = full(parsed).select("page_id", "host", "path", "rule", "ruled", "x", "s_rate", "s_n")
+    scored = parsed.join(few(rated), "suffix", "left").withColumns({"s_rate": F.coalesce("s_rate", F.lit(prior)), "s_n": F.coalesce("s_n", F.lit(0.0))})
+    scored = scored.select("page_id", "host", "path", "rule", "ruled", "x", "s_rate", "s_n")
     return scored.mapInArrow(_score(model, True), f"page_id {kind}, host string, path string, rule string, verdict string, block_score double")
+
+
+def _below(key, rows: int, sample: int):
+    """A condition on a 64-bit hash that about `sample` of `rows` rows and a few more meet; all, if there are no more."""
+    wanted = sample + 8 * math.sqrt(sample) + 8
+    if wanted >= rows:
+        return F.lit(True)
+    return key < F.lit(int(-(1 << 63) + (1 << 64) * wanted / rows))
