@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import random
-import re
 
 import brute
 import corpus_pipeline
 import numpy as np
 from tidewater.llm import bpe, decontaminate, kernel, licenses, minhash
 from tidewater.llm.queries import vocabulary
+from test_llm_operators import _contained
 
 WRAPPED = {
     "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that",
@@ -18,25 +18,9 @@ WRAPPED = {
 }
 
 
-def _licensed(text):
-    """Labels and best score by windows of the whole text and of each line."""
-    found, best = set(), 0.0
-    low = text.translate(brute.LOWER)
-    for part in [low, *low.split("\n")]:
-        ws = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", part)
-        for s in range(0, len(ws), licenses.STRIDE):
-            block = set(ws[s : s + licenses.BLOCK])
-            for t, label in licenses.TEMPLATES.items():
-                own = set(t.split())
-                if 100 * len(own & block) >= 80 * len(own):
-                    found.add(label)
-                    best = max(best, len(own & block) / len(own))
-    return found, best
-
-
 def test_license_notices_over_several_lines(spark):
     r = random.Random(4)
-    names = licenses.vocabulary()
+    names = licenses.vocabulary(licenses.defaults())
     filler = lambda n: " ".join("".join(r.choice("xyzq") for _ in range(5)) for _ in range(n))
     texts = [*WRAPPED.values(), *(f"{filler(r.randint(1, 90))}\n{t}\n{filler(30)}" for t in WRAPPED.values())]
     for t in r.choices(list(licenses.TEMPLATES), k=60):  # at any width of line
@@ -47,7 +31,7 @@ def test_license_notices_over_several_lines(spark):
     for i, label in enumerate([*WRAPPED] * 2):
         assert label in got[i].labels.split(",")
     for i, t in enumerate(texts):
-        found, best = _licensed(t)
+        found, best = _contained(t)
         assert set(filter(None, got[i].labels.split(","))) == found | set(filter(None, got[i].base_labels.split(",")))
         assert abs(got[i].score - (1.0 if got[i].n_base else best)) < 1e-12
 
