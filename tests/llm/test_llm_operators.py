@@ -397,7 +397,7 @@ def test_warc(spark, tmp_path):
 
     rows = [(1, "http://a/1", "same"), (2, None, "same"), (9, "u", "same"), (3, "u\r\nX: y", None), (4, "u", ""), (5, "u", "é" * 50_000), (5, "u", "é" * 50_000), (-(1 << 62), "u", "low"), (1 << 62, "u", "high"), (None, "u", "same"), (None, "u", "lone")]
     pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, kept string")
-    warc.write(pages, f"file://{tmp_path}/w", per_shard=3, roll=200)
+    warc.write(pages, f"file://{tmp_path}/w", per_shard=3 * warc.HEADERS, roll=200)
     got = sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.read(spark, f"file://{tmp_path}/w").collect()), key=repr)
     b32 = lambda t: base64.b32encode(hashlib.sha1(t.encode()).digest()).decode()
     canon = {"same": 9, "": 4, "é" * 50_000: 5, "low": -(1 << 62), "high": 1 << 62, "lone": None}
@@ -410,7 +410,7 @@ def test_warc(spark, tmp_path):
     assert got == sorted(want, key=repr)
     names = sorted(p.name for p in (tmp_path / "w").iterdir())
     first = {n: (tmp_path / "w" / n).read_bytes() for n in names}
-    warc.write(pages.repartition(5), f"file://{tmp_path}/v", per_shard=3, roll=200)
+    warc.write(pages.repartition(5), f"file://{tmp_path}/v", per_shard=3 * warc.HEADERS, roll=200)
     assert {p.name: p.read_bytes() for p in (tmp_path / "v").iterdir()} == first
     warc.write(pages.limit(0), f"file://{tmp_path}/e")
     assert warc.read(spark, f"file://{tmp_path}/e").count() == 0
@@ -418,9 +418,37 @@ def test_warc(spark, tmp_path):
 
 def test_shard_bounds_refine_crowded_ranges(spark):
     ids = [*range(5000), *(10**15 + 7 * i for i in range(3000)), -5]
-    bounds = warc.shard_bounds(spark.createDataFrame([(i,) for i in ids], "id long"), 500)
+    bounds = warc.shard_bounds(spark.createDataFrame([(i, 10) for i in ids], "id long, size long"), 5000)
     sizes = np.bincount(np.searchsorted(bounds, ids, side="right"))
     assert sizes.max() <= 625 and bounds == sorted(bounds)
+    assert warc.shard_bounds(spark.createDataFrame([], "id long, size long"), 5000) == []
+    # by weight, not by number
+    heavy = warc.shard_bounds(spark.createDataFrame([(i, 1000 if i >= 90 else 1) for i in range(100)], "id long, size long"), 2000)
+    assert len(heavy) >= 5 and min(heavy) >= 90
+
+
+def test_warc_files_roll_within_a_shard(spark, tmp_path):
+    import json
+
+    r = random.Random(7)
+    rows = [(i, f"u{i}", "".join(r.choice("abcdefghijklmnop") for _ in range(2000))) for i in range(300)] + [(1000 + i, "u", "") for i in range(50)]
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"), f"file://{tmp_path}/w", per_shard=200_000)
+    files = json.loads((tmp_path / "w" / "manifest.json").read_text())["files"]
+    shards = [f["shard"] for f in files]
+    assert len(set(shards)) > 2 and max(map(shards.count, shards)) > 2
+    assert all(f["bytes"] >= 25_000 for f, after in zip(files, files[1:], strict=False) if after["shard"] == f["shard"])
+    got = warc.read(spark, f"file://{tmp_path}/w").collect()
+    assert len(got) == 350 and {x.refers_to for x in got if x.record_type == "revisit"} == {1049}
+
+
+def test_warc_notes_of_digests_that_very_many_rows_have(spark, monkeypatch):
+    rows = [(i, f"d{min(i % 7, 3)}") for i in range(100)] + [(100 + i, f"s{i}") for i in range(5)] + [(None, "d0"), (None, "n"), (None, "n")]
+    sums = spark.createDataFrame(rows, "id long, sha string")
+    top = {d: max((i for i, e in rows if e == d and i is not None), default=None) for _, d in rows}
+    want = {(i, d, top[d]) for i, d in rows if i != top[d]}
+    for hot in (10, 1000):
+        monkeypatch.setattr(warc, "HOT", hot)
+        assert {tuple(x) for x in warc.notes_of(sums).collect()} == want
 
 
 def test_urls(spark):

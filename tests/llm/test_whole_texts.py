@@ -74,7 +74,7 @@ def test_bands_follow_the_threshold():
         n = minhash.bands_of(percent)
         miss = lambda k: (1 - (percent / 100) ** minhash.ROWS) ** k  # noqa: B023, E731
         assert miss(n) <= minhash.UNMET < miss(n - 1)
-    assert minhash.bands_of(85) == 25
+    assert minhash.bands_of(85) == 20
 
 
 def test_merge_dropout_is_drawn_for_each_occurrence():

@@ -1,7 +1,7 @@
 """Deterministic sharded WARC writer and reader.
 
-Records are range-sorted by id: shard bounds come from counts over ranges of ids (ranges that hold too many ids are cut
-again), so the same table always gives the same shards. A shard's task streams its sorted records into gzip members, rolls
+Records are range-sorted by id: shard bounds come from bytes over ranges of ids (ranges that hold too many are cut again), so
+the same table always gives the same shards. A shard's task streams its sorted records into gzip members, rolls
 to the next file once a file's compressed size passes `roll`, regenerates all headers and digests from the payloads, writes
 under temporary names and renames. The manifest, written last, lists the files; readers read what it lists.
 
@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import filesystem, materialise, write_committed
+from tidewater.llm.common import discard, filesystem, materialise, write_committed
 from tidewater.session import ready
 
 DATE = datetime.datetime(2024, 1, 1, tzinfo=datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
@@ -35,39 +35,37 @@ FANOUT = 1024
 SHARDS = 1 << 16
 
 
-def shard_bounds(ids: DataFrame, per_shard: int) -> list[int]:
-    """Ascending ids at which a new shard begins. ids: one column `id` of non-null longs.
+def shard_bounds(sizes: DataFrame, per_shard: int) -> list[int]:
+    """Ascending ids at which a new shard begins. sizes: non-null longs `id` and `size`, the weight of a record.
 
-    A shard is a run of ranges of ids; ranges with more than per_shard / 4 rows are cut FANOUT ways, again and again, until
-    they are small or hold one id. The driver sees counts of ranges only: FANOUT at first, then of crowded ranges' parts, and
+    A shard is a run of ranges of ids; ranges that weigh more than per_shard / 4 are cut FANOUT ways, again and again, until
+    they are small or hold one id. The driver sees weights of ranges only: FANOUT at first, then of crowded ranges' parts, and
     bounds of about SHARDS shards at most."""
-    lo, hi, n = ids.agg(F.min("id"), F.max("id"), F.count("*")).first()
-    if not n:
+    lo, hi, total = sizes.agg(F.min("id"), F.max("id"), F.sum("size")).first()
+    if total is None:
         return []
-    per_shard = max(per_shard, -(-n // SHARDS))
+    per_shard = max(per_shard, -(-total // SHARDS))
     width = max(1, -(-(hi - lo + 1) // FANOUT))
     cell = lambda w: F.floor((F.col("id").cast("decimal(20,0)") - F.lit(lo)) / F.lit(w)).cast("long")
-    counts = {lo + r.c * width: (width, r["count"]) for r in ids.groupBy(cell(width).alias("c")).count().collect()}
+    weights = {lo + r.c * width: (width, r.n) for r in sizes.groupBy(cell(width).alias("c")).agg(F.sum("size").alias("n")).collect()}
     while True:
-        full = {s: w for s, (w, c) in counts.items() if c > per_shard / 4 and w > 1}
-        if not full or width == 1:
-            break
-        narrow = max(1, -(-width // FANOUT))
+        full = {s: w for s, (w, n) in weights.items() if n > per_shard / 4 and w > 1}
         crowded = [(s, s + w) for s, w in full.items() if w == width]
-        if not crowded:
+        if not crowded or width == 1:
             break
-        spans = F.broadcast(ids.sparkSession.createDataFrame(crowded, "a long, b long"))  # at most 4 n / per_shard spans, far under the shards' own number
-        part = ids.join(spans, F.expr("id >= a and id < b")).groupBy("a", F.floor((F.col("id") - F.col("a")) / narrow).cast("long").alias("c")).count().collect()
+        narrow = max(1, -(-width // FANOUT))
+        spans = F.broadcast(sizes.sparkSession.createDataFrame(crowded, "a long, b long"))  # at most 4 x total / per_shard spans, far under the shards' own number
+        part = sizes.join(spans, F.expr("id >= a and id < b")).groupBy("a", F.floor((F.col("id") - F.col("a")) / narrow).cast("long").alias("c")).agg(F.sum("size").alias("n")).collect()
         for s, _ in crowded:
-            del counts[s]
-        counts |= {r.a + r.c * narrow: (narrow, r["count"]) for r in part}
+            del weights[s]
+        weights |= {r.a + r.c * narrow: (narrow, r.n) for r in part}
         width = narrow
     bounds, have = [], 0
-    for s in sorted(counts):
-        if have and have + counts[s][1] > per_shard:
+    for s in sorted(weights):
+        if have and have + weights[s][1] > per_shard:
             bounds.append(s)
             have = 0
-        have += counts[s][1]
+        have += weights[s][1]
     return bounds
 
 
@@ -152,15 +150,38 @@ def _write(folder: str, roll: int, level: int):
     return run
 
 
+#: Bytes that a record's headers count for in a shard's weight.
+HEADERS = 512
+#: Digests that so many rows, or a share of 1 / HOT_SHARE of all rows, have are joined by broadcast: HOT_SHARE of them at most.
+HOT, HOT_SHARE = 10_000, 10_000
+
+
+def notes_of(sums: DataFrame) -> DataFrame:
+    """id, sha, canon of the rows (id, sha) whose digest a row of a larger id has too; rows of an empty page, say, are not gathered in one task."""
+    rows = sums.count()
+    groups = materialise(sums.groupBy("sha").agg(F.max("id").alias("canon"), F.count("*").alias("n")).where("n > 1"), "warc-groups")
+    often = max(HOT, rows // HOT_SHARE)
+    hot, rest = groups.where(F.col("n") > often).select("sha", "canon"), groups.where(F.col("n") <= often).select("sha", "canon")
+    many = sums.join(F.broadcast(hot), "sha")  # at most HOT_SHARE rows
+    few = sums.join(F.broadcast(hot.select("sha")), "sha", "left_anti").join(rest, "sha")
+    return many.unionByName(few).where(~F.col("id").eqNullSafe(F.col("canon"))).select("id", "sha", "canon").distinct()
+
+
 def write(
     pages: DataFrame, folder: str, id: str = "page_id", url: str = "url", payload: str = "html",
-    per_shard: int = 1024, roll: int = 1 << 28, level: int = 6,
+    per_shard: int = 4 << 20, roll: int | None = None, level: int = 6,
 ) -> None:
-    """Write the records of pages and then manifest.json into the folder. Integer ids."""
+    """Write the records of pages and then manifest.json into the folder. Integer ids.
+
+    per_shard: bytes of payloads and headers of a shard; more where that would give over SHARDS shards. roll: compressed bytes
+    at which a file ends; by default an eighth of a shard's bytes, so that shards of usual pages have a few files."""
     rows = ready(pages).select(F.col(id).cast("long").alias("id"), F.col(url).alias("url"), F.col(payload).alias("payload"))
-    sums = rows.select("id", F.sha1(F.coalesce("payload", F.lit("")).cast("binary")).alias("sha"))
-    sums = materialise(sums, "warc-digests")
-    bounds = shard_bounds(sums.select("id").where("id is not null"), per_shard)
+    data = F.coalesce("payload", F.lit("")).cast("binary")
+    sums = materialise(rows.select("id", F.sha1(data).alias("sha"), (F.octet_length(data) + HEADERS).cast("long").alias("size")), "warc-digests")
+    total = sums.agg(F.sum("size")).first()[0] or 0
+    per_shard = max(per_shard, -(-total // SHARDS))
+    roll = roll or per_shard // 8
+    bounds = shard_bounds(sums.select("id", "size").where("id is not null"), per_shard)
     step = np.array(bounds, np.int64)
 
     @F.pandas_udf("int")
@@ -168,16 +189,16 @@ def write(
         return __import__("pandas").Series(np.searchsorted(step, ids.fillna(-(1 << 63)).to_numpy(np.int64), side="right").astype(np.int32))
 
     # payloads move once; which ids are revisits comes from digests alone
-    groups = sums.groupBy("sha").agg(F.max("id").alias("canon"), F.count("*").alias("n")).where("n > 1")
-    notes = sums.join(groups, "sha").where(~F.col("id").eqNullSafe(F.col("canon"))).select("id", "sha", "canon").distinct()
+    notes = notes_of(sums.select("id", "sha"))
     notes = notes.select("id", "sha", F.lit(0).alias("kind"), "canon", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("payload"))
-    records = rows.select("id", F.sha1(F.coalesce("payload", F.lit("")).cast("binary")).alias("sha"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("canon"), "url", "payload")
+    records = rows.select("id", F.sha1(data).alias("sha"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("canon"), "url", "payload")
     both = notes.unionAll(records).withColumn("shard", shard_of("id"))
     both = both.select("shard", "id", "sha", "kind", "canon", "url", "payload")
     dealt = both.repartition(len(bounds) + 1, "shard").sortWithinPartitions("shard", "id", "sha", "kind", "url")
     files = materialise(dealt.mapInArrow(_write(folder, roll, level), "name string, shard int, seq int, records long, bytes long"), "warc-files")
     names = [r.asDict() for r in files.orderBy("shard", "seq").collect()]  # one row a file
     write_committed(f"{folder}/manifest.json", uuid.uuid4().hex[:8], [json.dumps({"files": names}).encode()])
+    discard(sums, files)
 
 
 def records(stream):
