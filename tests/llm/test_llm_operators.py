@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 import zlib
 
 import brute
@@ -309,6 +310,58 @@ def test_leaks(spark, none):
     assert decontaminate.leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_leaks_equal_brute_force(spark):
+    """Random texts over few words, with items whole, cut, changed and re-parameterised in them: one row a document and class."""
+    r = random.Random(21)
+    words = "red blue kilo mouse when goes home with über ça the a of km dollars Ödön".split()
+    names = ["Anna", "Bo Lee", "Élan", "Carl Max Roy", "Dora Eve Fay Gil"]
+
+    def piece(n):
+        out = []
+        for _ in range(n):
+            x = r.random()
+            out.append(str(r.randint(1, 40)) if x < 0.12 else r.choice(names) if x < 0.22 else r.choice(words) + (r.choice([".", ",", ";"]) if x > 0.93 else ""))
+        return " ".join(out)
+
+    items = [(k, piece(r.choice([1, 2, 4, 6, 8, 9, 12, 20, 40, 70]))) for k in range(30)]
+    items += [(100 + k, re.sub("[0-9]+", lambda m: str(int(m[0]) + 50), t)) for k, t in items if k % 3 == 0] + [(200, items[4][1]), (201, None), (None, items[5][1])]
+    texts = [None, "", piece(60)]
+    for _ in range(70):
+        own = r.choice([t for _, t in items[:-2]]).split()
+        if r.random() < 0.4:
+            own = own[: r.randint(1, len(own))]
+        if r.random() < 0.4:
+            at = r.randint(0, len(own))
+            own[at:at] = piece(r.randint(1, 7)).split()
+        if r.random() < 0.4:
+            own = re.sub("[0-9]+", lambda m: str(int(m[0]) * 2), " ".join(own)).split()
+        texts.append(f"{piece(r.randint(0, 30))} {' '.join(own)} {piece(r.randint(0, 30))}")
+    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, class_id long")
+    bench = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, doc_id string")
+    known = {x.item_id: x.class_id for x in decontaminate.classes(bench).collect()}
+    assert known[200] == known[4] and known[100] == 0 and set(known) == {i for i, _ in items if i is not None}
+    units = set(decontaminate.UNITS.split())
+    want: dict = {}
+    for d, t in enumerate(texts):
+        for i, item in items:
+            got = brute.leak(t, item, units, decontaminate.ascending, lambda h: decontaminate.runs(h)) if i is not None and item else None
+            if got:
+                want[d, known[i]] = max(want.get((d, known[i]), 0), got)
+    rows = decontaminate.leaks(docs.select("doc_id", "text"), bench).collect()
+    got = {(x.doc_id, x.class_id): x.coverage for x in rows}
+    assert len(got) == len(rows) and set(got) == set(want), (set(got) ^ set(want))
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert all(known[x.item_id] == x.class_id and x.n_items == sum(c == x.class_id for c in known.values()) for x in rows)
+    assert sorted(x.doc_id for x in decontaminate.clean(docs, bench).collect()) == sorted(set(range(len(texts))) - {d for d, _ in want})
+
+
+def test_many_copies_of_one_template_are_one_class(spark):
+    items = [(i, f"If Anna buys {i} apples and sells {i + 7} pears at the old market how many does she keep") for i in range(1000, 1600)]
+    texts = [f"Now: {items[i][1]}." for i in (3, 3, 8)] + [items[0][1].replace("1000", "17").replace("1007", "24")]
+    out = decontaminate.leaks(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((x.doc_id, x.item_id, x.class_id, x.n_items, x.n_changed) for x in out) == [(0, 1003, 1000, 600, 0), (1, 1003, 1000, 600, 0), (2, 1008, 1000, 600, 0), (3, 1000, 1000, 600, 2)]
+
+
 def _contained(text, percent=80, templates=None):
     """Labels and best score by blocks of the whole text and of each line."""
     best, labels = 0.0, set()

@@ -15,11 +15,15 @@ without a least number of literal words. Hits of these are grouped and covered l
 Hits of several diagonals count together where their places ascend in the text and in the item alike: a copy with insertions
 or deletions. RUN windows at consecutive places of one diagonal are a match whatever they cover of the item.
 
+Items that differ in the values of their slots only (re-parameterised copies of one question, or equal items) are one class:
+its windows without slots, and its template windows, are held once, and a document has one row a class, for the item of the
+class that it matches best. classes() gives the class of each item.
+
 The benchmark is the query set: it is worked in blocks of at most BLOCK windows, each of which one pass over the texts
 takes along, whatever its size.
 
 Defined results: null texts are empty and match nothing; items shorter than WINDOW tokens are one window of their own length,
-those under MIN_TOKENS word for word only; items without a word match nothing. Rows with equal ids are judged each and give a row each where they
+those under MIN_TOKENS word for word only; items without a word, and items with a null id, match nothing. Rows with equal ids are judged each and give a row each where they
 match. Empty tables give an empty result.
 """
 
@@ -122,8 +126,11 @@ class Canon:
         """Hash and first word of each window of words as they stand."""
         return kernel.windows(self.word, self.word_of, size)
 
+    def value_of(self, t: int) -> str:
+        return self.raw[self.start[t] : self.end[t]].tobytes().decode("utf-8", "replace").lower()
+
     def slots(self, at: int, size: int) -> list[tuple[int, str]]:
-        return [(t - at, self.raw[self.start[t] : self.end[t]].tobytes().decode("utf-8", "replace").lower()) for t in range(at, at + size) if self.kind[t]]
+        return [(t - at, self.value_of(t)) for t in range(at, at + size) if self.kind[t]]
 
 
 class Table:
@@ -204,73 +211,107 @@ class Index:
         canon = Canon(pa.array([t or "" for _, t in items], pa.string()))
         lens, words = np.diff(canon.of), np.diff(canon.word_of)
         self.ids = [i for i, _ in items]
+        #: words that slots take, by item, and slots' values by item and token
+        self.slot_words: list[list[int]] = [[] for _ in items]
+        self.values: list[dict[int, str]] = [{} for _ in items]
+        inside = np.zeros(len(canon.word) + 1, bool)
+        ends = np.append(canon.first[1:], len(canon.word))
+        for t in np.flatnonzero(canon.kind).tolist():
+            r = int(canon.row[t])
+            a, b = int(canon.first[t]), int(min(ends[t], canon.word_of[r + 1]))
+            inside[a:b] = True
+            self.slot_words[r].append(a - int(canon.word_of[r]))
+            self.values[r][t - int(canon.of[r])] = canon.value_of(t)
+        self.same = self._classes(canon, inside)
+        self.size = np.bincount(self.same, minlength=len(items))
         self.total: dict[int, int] = {}
         self.templates, self.literals = Table(), Table()
+        first = lambda r: self.same[r] == r
         for size in sorted({int(min(x, WINDOW)) for x in lens.tolist() if x >= MIN_TOKENS}):
             h, at = canon.windows(size)
             for key, a in zip(h.tolist(), at.tolist(), strict=True):
                 r = int(canon.row[a])
-                if min(int(lens[r]), WINDOW) != size:
-                    continue
-                self.total[r] = self.total.get(r, 0) + 1
-                self.templates.add(size, key, (r, a - int(canon.of[r]), canon.slots(a, size)))
+                if first(r) and min(int(lens[r]), WINDOW) == size:
+                    self.total[r] = self.total.get(r, 0) + 1
+                    self.templates.add(size, key, (r, a - int(canon.of[r])))
+        slots = np.concatenate([[0], np.cumsum(inside)])
         for size in sorted({int(min(x, WINDOW)) for x in words.tolist() if x}):
             h, at = canon.literal(size)
             for key, a in zip(h.tolist(), at.tolist(), strict=True):
                 r = int(canon.word_row[a])
-                if min(int(words[r]), WINDOW) == size:
-                    self.literals.add(size, key, (r, a - int(canon.word_of[r])))
+                shared = slots[a + size] == slots[a]  # all items of the class have it
+                if (first(r) or not shared) and min(int(words[r]), WINDOW) == size:
+                    self.literals.add(size, key, (r, a - int(canon.word_of[r]), bool(shared)))
         self.words = words.tolist()
-        slot = np.flatnonzero(canon.kind)
-        self.slot_words: dict[int, list[int]] = {}
-        for r, w in zip(canon.row[slot].tolist(), (canon.first[slot] - canon.word_of[canon.row[slot]]).tolist(), strict=True):
-            self.slot_words.setdefault(r, []).append(w)
         self.templates.close()
         self.literals.close()
 
+    def _classes(self, canon: Canon, inside: np.ndarray) -> np.ndarray:
+        """The first item of each item's class: equal words outside slots, slots at the same words, and equal slots at the same places."""
+        known: dict[tuple, int] = {}
+        out = np.zeros(len(self.ids), np.int64)
+        for r in range(len(self.ids)):
+            a, b = int(canon.word_of[r]), int(canon.word_of[r + 1])
+            order: dict[str, int] = {}
+            pattern = tuple((place, order.setdefault(v, len(order))) for place, v in sorted(self.values[r].items()))
+            kinds = canon.kind[int(canon.of[r]) : int(canon.of[r + 1])].tobytes()
+            key = (np.where(inside[a:b], np.uint64(0), canon.word[a:b]).tobytes(), kinds, pattern)
+            out[r] = known.setdefault(key, r)
+        return out
+
     def matches(self, column, coverage: float):
-        """(row, item, windows found, coverage, slots, changed slots) of one string column."""
+        """(row, item, class, items of the class, windows found, coverage, slots, changed slots) of one string column: one a row and class."""
         canon = Canon(column)
-        found: dict[tuple[int, int], tuple[list, list]] = {}
+        found: dict[tuple[int, int], tuple[list, list, dict]] = {}
+        of = lambda row, item: found.setdefault((row, int(self.same[item])), ([], [], {}))
         for size in self.templates.entries:
             for entries, a in self.templates.hits(size, *canon.windows(size)):
-                row = int(canon.row[a])
-                mine = None
-                for item, place, slots in entries:
-                    if slots and mine is None:
-                        mine = canon.slots(a, size)
-                    pairs = [(place + k, v, w) for (k, v), (_, w) in zip(slots, mine, strict=True)] if slots else []
-                    found.setdefault((row, item), ([], []))[0].append((a - int(canon.of[row]) - place, place, pairs))
+                row, mine = int(canon.row[a]), canon.slots(a, size)
+                for item, place in entries:
+                    of(row, item)[0].append((a - int(canon.of[row]) - place, place, mine))
         for size in self.literals.entries:
             for entries, a in self.literals.hits(size, *canon.literal(size)):
                 row = int(canon.word_row[a])
-                for item, place in entries:
-                    found.setdefault((row, item), ([], []))[1].append((a - int(canon.word_of[row]) - place, place, []))
-        for (row, item), kinds in sorted(found.items()):
-            judges = list(zip(kinds, (self._judge, self._literal), strict=True))
+                for item, place, shared in entries:
+                    got = of(row, item)
+                    own = got[1] if shared else got[2].setdefault(item, [])
+                    own.append((a - int(canon.word_of[row]) - place, place, []))
+        for (row, first), (templates, shared, own) in sorted(found.items()):
             best = None
-            for hits, judge in judges:
-                hits.sort(key=lambda x: x[0])
-                group = []
-                for i, h in enumerate(hits):
-                    group.append(h)
-                    if i + 1 == len(hits) or hits[i + 1][0] - h[0] > DRIFT:
-                        got = judge(item, group)
-                        if got and got[1] >= coverage and (best is None or got[1] > best[1]):
-                            best = got
-                        group = []
-            if not best:
-                joined = [got for hits, judge in judges if (got := judge(item, ascending(hits))) and got[1] >= coverage]
-                joined = joined or [got for hits, judge in judges for run in runs(hits) if (got := judge(item, run))]
-                best = max(joined, key=lambda x: x[1], default=None)
+            for item in sorted({first, *own}):
+                values = self.values[item]
+                hits = [(d, place, [(place + k, values[place + k], theirs) for k, theirs in mine]) for d, place, mine in templates]
+                got = self._best(item, hits, shared + own.get(item, []), coverage)
+                if got and (best is None or (got[1], -got[3]) > (best[2], -best[4])):
+                    best = (item, *got)
             if best:
-                yield row, self.ids[item], *best
+                yield row, self.ids[best[0]], self.ids[first], int(self.size[first]), *best[1:]
+
+    def _best(self, item: int, templates: list, literals: list, coverage: float):
+        """The measures of the best group of hits of one text and one item."""
+        judges = list(zip((templates, literals), (self._judge, self._literal), strict=True))
+        best = None
+        for hits, judge in judges:
+            hits.sort(key=lambda x: x[0])
+            group = []
+            for i, h in enumerate(hits):
+                group.append(h)
+                if i + 1 == len(hits) or hits[i + 1][0] - h[0] > DRIFT:
+                    got = judge(item, group)
+                    if got and got[1] >= coverage and (best is None or (got[1], -got[3]) > (best[1], -best[3])):
+                        best = got
+                    group = []
+        if not best:
+            joined = [got for hits, judge in judges if (got := judge(item, ascending(hits))) and got[1] >= coverage]
+            joined = joined or [got for hits, judge in judges for run in runs(hits) if (got := judge(item, run))]
+            best = max(joined, key=lambda x: (x[1], -x[3]), default=None)
+        return best
 
     def _literal(self, item: int, group: list):
         """The measures of windows that stand word for word."""
         places = {p for _, p, _ in group}
         size = min(self.words[item], WINDOW)
-        slots = sum(any(w - k in places for k in range(size)) for w in self.slot_words.get(item, ()))
+        slots = sum(any(w - k in places for k in range(size)) for w in self.slot_words[item])
         return len(places), len(places) / (self.words[item] - size + 1), slots, 0
 
     def _judge(self, item: int, group: list):
@@ -290,21 +331,24 @@ class Index:
                     changed.add(at)
         if not places:
             return None
-        return len(places), len(places) / self.total[item], len(slots), len(changed)
+        return len(places), len(places) / self.total[int(self.same[item])], len(slots), len(changed)
+
 
+_LEAK = {"item_id": "long", "class_id": "long", "n_items": "long", "n_windows": "long", "coverage": "double", "n_slots": "long", "n_changed": "long"}
+
+
+def _scan(index, coverage: float):
+    """index: broadcast of an Index."""
 
-def _scan(index: Index, coverage: float):
     def run(batches):
         import pyarrow as pa
 
+        kinds = [pa.float64() if t == "double" else pa.int64() for t in _LEAK.values()]
         for whole in batches:
             for batch in within(whole):
-                rows = list(index.matches(batch.column(1), coverage))
+                rows = list(index.value.matches(batch.column(1), coverage))
                 take = pa.array([r[0] for r in rows], pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(take), *(pa.array([r[k] for r in rows], t) for k, t in ((1, pa.int64()), (2, pa.int64()), (3, pa.float64()), (4, pa.int64()), (5, pa.int64())))],
-                    names=["doc_id", "item_id", "n_windows", "coverage", "n_slots", "n_changed"],
-                )
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds, 1))], names=["doc_id", *_LEAK])
 
     return run
 
@@ -321,22 +365,28 @@ def _blocks(benchmark: DataFrame, id: str, text: str):
 def leaks(
     docs: DataFrame, benchmark: DataFrame, coverage: float = 0.4, id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text"
 ) -> DataFrame:
-    """doc_id, item_id, n_windows, coverage, n_slots, n_changed: a row for each document and item that it holds."""
+    """doc_id, item_id, class_id, n_items, n_windows, coverage, n_slots, n_changed: a row for each document and class of items that it holds.
+
+    item_id is the item of the class that fits best (the smallest of equals), class_id its smallest, n_items their number. Classes
+    are those within a block of the benchmark."""
     pick = ready(docs).select(F.col(id).alias("doc_id"), F.col(text).alias("text"))
     kind = pick.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, " + ", ".join(f"{k} {t}" for k, t in _LEAK.items())
     out = None
     for items in _blocks(benchmark, item_id, item_text):
         index = docs.sparkSession.sparkContext.broadcast(Index(items))
-        part = pick.mapInArrow(_of_broadcast(index, coverage), f"doc_id {kind}, item_id long, n_windows long, coverage double, n_slots long, n_changed long")
+        part = pick.mapInArrow(_scan(index, coverage), schema)
         out = part if out is None else out.unionAll(part)
     return out
 
 
-def _of_broadcast(index, coverage: float):
-    def run(batches):
-        yield from _scan(index.value, coverage)(batches)
-
-    return run
+def classes(benchmark: DataFrame, id: str = "item_id", text: str = "text") -> DataFrame:
+    """item_id, class_id: the class of each item with a non-null id, as leaks() has them."""
+    rows = []
+    for items in _blocks(benchmark, id, text):
+        index = Index(items)
+        rows += [(i, index.ids[c]) for i, c in zip(index.ids, index.same.tolist(), strict=True)]
+    return benchmark.sparkSession.createDataFrame(rows, "item_id long, class_id long")
 
 
 def _filter(index, coverage: float):
