@@ -12,7 +12,8 @@ MIME = {
     "mp4": "video/mp4", "mkv": "video/x-matroska", "mov": "video/quicktime", "webm": "video/webm", "avi": "video/x-msvideo",
     "m4a": "audio/mp4", "mp3": "audio/mpeg", "wav": "audio/x-wav", "flac": "audio/flac", "ogg": "audio/ogg", "opus": "audio/opus",
     "html": "text/html", "json": "application/json", "txt": "text/plain", "css": "text/css", "js": "text/javascript",
-    "jpg": "image/jpeg", "jpeg": "image/jpeg", "png": "image/png", "svg": "image/svg+xml",
+    "jpg": "image/jpeg", "jpeg": "image/jpeg", "png": "image/png", "svg": "image/svg+xml", "webp": "image/webp", "ico": "image/x-icon",
+    "woff": "font/woff", "woff2": "font/woff2",
 }
 #: Extensions of video and audio files.
 VIDEO = ("mp4", "mkv", "mov", "webm", "avi", "flv")
@@ -50,9 +51,28 @@ def media_class(path: Column) -> Column:
     return F.when(suffix(path).isin(*VIDEO), "video").when(suffix(path).isin(*AUDIO), "audio").otherwise("other")
 
 
+def mime_or(stored: Column, default: str = "application/octet-stream") -> Column:
+    """The stored media type, or the default where it is null or empty."""
+    return F.coalesce(F.nullif(stored, F.lit("")), F.lit(default))
+
+
+def percent_encoded(path: Column) -> Column:
+    """A path with all but letters, digits and -._~/ as %XX of its UTF-8 bytes."""
+    out = F.url_encode(path)
+    for a, b in (("+", "%20"), ("*", "%2A"), ("%7E", "~"), ("%2F", "/")):
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return out
+
+
 def media_uri(path: Column, base: Column, absolute: Column) -> Column:
     """base/name if there is a base, else a file URI of the absolute path, else null."""
-    return F.coalesce(F.concat(F.regexp_replace(base, "/+$", ""), F.lit("/"), basename(path)), F.concat(F.lit("file://"), absolute))
+    return F.coalesce(F.concat(F.regexp_replace(base, "/+$", ""), F.lit("/"), basename(path)), F.concat(F.lit("file://"), percent_encoded(absolute)))
+
+
+def confined(path: Column, root: str) -> Column:
+    """Whether a path stays in a folder: absolute ones below it, relative ones without a step up."""
+    up = path.rlike(r"(^|/)\.\.(/|$)")
+    return ~up & (~path.startswith("/") | path.startswith(root.rstrip("/") + "/"))
 
 
 def audio_extension(kind: Column) -> Column:
@@ -89,24 +109,14 @@ def range_pieces(data: Column, r: Column, piece: int = PIECE) -> Column:
 
 
 def jpeg_size(data: bytes | None) -> tuple[int, int]:
-    """(width, height) from the first start-of-frame marker, (0, 0) if there is none."""
-    if not data or data[:2] != b"\xff\xd8":
-        return 0, 0
-    at = 2
-    while at + 9 <= len(data):
-        if data[at] != 0xFF:
-            at += 1
-            continue
+    """(width, height) from the first start-of-frame marker after the first two bytes; (0, 0) if there is none, or where a marker is missing."""
+    data = data or b""
+    at, frames, bare = 2, {0xC0, 0xC1, 0xC2}, {*range(0xD0, 0xDA)}
+    while at + 9 < len(data) and data[at] == 0xFF:
         marker = data[at + 1]
-        if marker in (0xC0, 0xC1, 0xC2):
-            height, width = struct.unpack(">HH", data[at + 5 : at + 9])
-            return width, height
-        if marker == 0xFF:
-            at += 1
-        elif marker == 1 or 0xD0 <= marker <= 0xD8:
-            at += 2
-        else:
-            at += 2 + struct.unpack(">H", data[at + 2 : at + 4])[0]
+        if marker in frames:
+            return int.from_bytes(data[at + 7 : at + 9], "big"), int.from_bytes(data[at + 5 : at + 7], "big")
+        at += 2 if marker in bare else 2 + int.from_bytes(data[at + 2 : at + 4], "big")
     return 0, 0
 
 

@@ -37,6 +37,12 @@ def edge_strip(word: Column) -> Column:
     return F.regexp_replace(word, r"^[^\p{L}\p{N}_]+|[^\p{L}\p{N}_]+$", "")
 
 
+def ascii_word_match(words: Column, terms: Column) -> Column:
+    """Like word_match, but only A-Z, a-z, 0-9 and _ count as characters of a word at its ends: å at an end is stripped."""
+    bare = lambda w: F.regexp_replace(w, r"^[^A-Za-z0-9_]+|[^A-Za-z0-9_]+$", "")
+    return F.filter(words, lambda w: F.array_contains(terms, F.lower(bare(w))))
+
+
 def word_match(words: Column, terms: Column) -> Column:
     """Words (in order, repeats kept) that are query terms once stripped and lower-cased."""
     return F.filter(words, lambda w: F.array_contains(terms, F.lower(edge_strip(w))))
@@ -125,6 +131,11 @@ def to_txt(text: Column) -> Column:
     return F.concat(F.trim(text), F.lit("\n"))
 
 
+def end_ms(segments: Column) -> Column:
+    """The last segment's end in whole milliseconds, rounded half up; null without segments."""
+    return F.floor(F.try_element_at(segments, F.lit(-1)).end * 1000 + 0.5).cast("long")
+
+
 def language_token(raw: Column) -> Column:
     """A language code without the marks around it."""
     return F.regexp_replace(raw, r"^[<|>]+|[<|>]+$", "")

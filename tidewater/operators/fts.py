@@ -84,6 +84,17 @@ def _weight(tf: Column, dl: Column, avgdl: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
 
 
+def _fresh(taken: list[str], *stems: str) -> list[str]:
+    """A name of its own for each stem, whatever the table's columns are called."""
+    have, out = {t.lower() for t in taken}, []
+    for stem in stems:
+        name = f"__{stem}"
+        while name.lower() in have:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def bm25(docs: DataFrame, query: Query | list[str], text: str = "text", fold: bool = False) -> DataFrame:
     """The rows of docs that match, with `_score`."""
     if isinstance(query, list):
@@ -91,24 +102,27 @@ def bm25(docs: DataFrame, query: Query | list[str], text: str = "text", fold: bo
     units = query.scored()
     every = list(dict.fromkeys(units + query.must_not))
     source = T.fold(F.lower(text)) if fold else F.col(text)
+    row, dl, avg, total = _fresh(docs.columns, "row", "dl", "avgdl", "n")
+    f, dfs = _fresh(docs.columns, *(f"f{i}" for i in range(len(every)))), _fresh(docs.columns, *(f"df{i}" for i in range(len(every))))
+    (toks_,) = _fresh(docs.columns, "tokens")
     # the row number is a barrier: the optimizer moves no filter below it, which would tokenise a row once for each condition
-    toks = docs.withColumns({"__t": T.tokens(source), "__row": F.monotonically_increasing_id()})
-    counted = toks.select(*docs.columns, "__row", F.size("__t").alias("__dl"), *(frequency(F.col("__t"), u).alias(f"__f{i}") for i, u in enumerate(every)))
+    toks = docs.withColumns({toks_: T.tokens(source), row: F.monotonically_increasing_id()})
+    counted = toks.select(*docs.columns, row, F.size(toks_).alias(dl), *(frequency(F.col(toks_), u).alias(f[i]) for i, u in enumerate(every)))
     # one row of corpus statistics
-    stats = counted.agg(F.count("*").alias("__n"), F.avg("__dl").alias("__avg"), *(F.count_if(F.col(f"__f{i}") > 0).alias(f"__df{i}") for i in range(len(every))))
+    stats = counted.agg(F.count("*").alias(total), F.avg(dl).alias(avg), *(F.count_if(F.col(f[i]) > 0).alias(dfs[i]) for i in range(len(every))))
     score = F.lit(0.0)
     for i in range(len(units)):
-        w = _idf(F.col("__n"), F.col(f"__df{i}")) * _weight(F.col(f"__f{i}"), F.col("__dl"), F.col("__avg"))
-        score = score + F.when(F.col(f"__f{i}") > 0, w).otherwise(0.0)
+        w = _idf(F.col(total), F.col(dfs[i])) * _weight(F.col(f[i]), F.col(dl), F.col(avg))
+        score = score + F.when(F.col(f[i]) > 0, w).otherwise(0.0)
     hit = F.lit(not units)
     for i in range(len(units)):
-        hit = hit | (F.col(f"__f{i}") > 0)
+        hit = hit | (F.col(f[i]) > 0)
     at = {u: i for i, u in enumerate(every)}
     for u in query.must:
-        hit = hit & (F.col(f"__f{at[u]}") > 0)
+        hit = hit & (F.col(f[at[u]]) > 0)
     for u in query.must_not:
-        hit = hit & (F.col(f"__f{at[u]}") == 0)
-    found = counted.where(hit & (F.col("__row") >= 0)).join(F.broadcast(stats))  # stats is one row
+        hit = hit & (F.col(f[at[u]]) == 0)
+    found = counted.where(hit & (F.col(row) >= 0)).join(F.broadcast(stats))  # stats is one row
     return found.select(*docs.columns, score.alias("_score"))
 
 
@@ -165,31 +179,96 @@ def batch_search(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+@dataclass(frozen=True)
+class Analyzer:
+    """How texts and queries become terms: lower-cased words, folded and stemmed if asked for. Stop words stay, so that phrases keep theirs."""
+
+    language: str = "english"
+    fold: bool = False
+    stem: bool = False
+
+    def tokens(self, text: Column) -> Column:
+        return T.tokens(T.fold(F.lower(text)) if self.fold else text)
+
+    def terms(self, rows: DataFrame) -> DataFrame:
+        """A frame with a column `term`, stemmed once a distinct term."""
+        if not self.stem:
+            return rows
+        from tidewater.functions import stem
+
+        known = stem.stems(rows.select("term").distinct(), self.language)
+        return rows.join(known, "term").drop("term").withColumnRenamed("stem", "term")
+
+    def word(self, w: str) -> str:
+        from tidewater.functions import stem
+
+        w = w.lower()
+        if self.fold:
+            w = w.translate(str.maketrans(T.MARKED, T.PLAIN))
+        return stem.stem(w, self.language) if self.stem else w
+
+    def query(self, q: Query) -> Query:
+        every = lambda units: [tuple(self.word(w) for w in u) for u in units]
+        return Query(every(q.should), every(q.must), every(q.must_not))
+
+
 class Index:
-    """A stored inverted index: postings partitioned by term hash, document lengths, corpus statistics."""
+    """A stored inverted index: postings with positions, partitioned by term hash, document lengths, corpus statistics."""
 
-    PARTS = 64
+    #: Postings that a part holds on average, and parts at most.
+    PART_ROWS, MOST = 1 << 24, 1 << 14
 
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, analyzer: Analyzer | None = None):
+        self.path, self.analyzer = path, analyzer or Analyzer()
 
     def build(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> Index:
-        words = docs.select(F.col(key).alias("key"), T.tokens(F.col(text)).alias("t"))
-        post = words.select("key", F.size("t").alias("dl"), F.posexplode("t").alias("pos", "term"))
+        """Replace what the folder holds. The number of parts follows from the words of all texts."""
+        words = docs.select(F.col(key).alias("key"), self.analyzer.tokens(F.col(text)).alias("t"))
+        corpus = words.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avgdl"), F.coalesce(F.sum(F.size("t")), F.lit(0)).alias("words"))
+        parts = F.least(F.greatest(F.ceil(F.col("words") / self.PART_ROWS), F.lit(4)), F.lit(self.MOST)).cast("int")
+        corpus.select("n", "avgdl", parts.alias("parts")).write.mode("overwrite").parquet(f"{self.path}/corpus")
+        parts = docs.sparkSession.read.parquet(f"{self.path}/corpus").first().parts
+        post = self.analyzer.terms(words.select("key", F.size("t").alias("dl"), F.posexplode("t").alias("pos", "term")))
         post = post.groupBy("term", "key", "dl").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
-        post = post.withColumn("part", F.pmod(F.xxhash64("term"), F.lit(self.PARTS)).cast("int"))
+        post = post.withColumn("part", F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int"))
         post.repartition("part", F.pmod(F.xxhash64("key"), F.lit(8))).sortWithinPartitions("term").write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/postings")
-        words.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avgdl")).write.mode("overwrite").parquet(f"{self.path}/corpus")
         return self
 
-    def match(self, spark, terms: list[str]) -> DataFrame:
-        """key, _score of the documents with any of the terms."""
-        terms = list(dict.fromkeys(terms))
-        post = spark.read.parquet(f"{self.path}/postings")
-        keys = spark.createDataFrame([(t,) for t in terms], "term string").select(F.pmod(F.xxhash64("term"), F.lit(self.PARTS)).cast("int"))
-        parts = sorted({r[0] for r in keys.collect()})
-        post = post.where(F.col("part").isin(parts) & F.col("term").isin(terms))
-        df = post.groupBy("term").agg(F.count("*").alias("df"))
+    def postings(self, spark, terms: list[str]) -> DataFrame:
+        """The postings of some terms: only their parts are read."""
+        parts = spark.read.parquet(f"{self.path}/corpus").first().parts
+        keys = spark.createDataFrame([(t,) for t in terms], "term string").select(F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int"))
+        own = sorted({r[0] for r in keys.collect()})
+        return spark.read.parquet(f"{self.path}/postings").where(F.col("part").isin(own) & F.col("term").isin(terms))
+
+    def match(self, spark, query: Query | list[str]) -> DataFrame:
+        """key, _score of the documents that match; phrases by stored positions. A query of excluded words alone is an error."""
+        if isinstance(query, list):
+            query = Query(should=[(t,) for t in dict.fromkeys(query)])
+        query = self.analyzer.query(query)
+        scored = query.scored()
+        if not scored:
+            raise ValueError("a query needs a word that it looks for")
+        every = list(dict.fromkeys(scored + query.must_not))
+        post = self.postings(spark, sorted({w for u in every for w in u}))
+        found = None
+        for i, unit in enumerate(every):
+            rows = post.where(F.col("term") == unit[0]).select("key", "dl", "positions")
+            for k, w in enumerate(unit[1:], 1):
+                at = post.where(F.col("term") == w).select("key", F.expr(f"transform(positions, p -> p - {k})").alias("after"))
+                rows = rows.join(at, "key").select("key", "dl", F.array_intersect("positions", "after").alias("positions"))
+            rows = rows.select("key", "dl", F.lit(i).alias("unit"), F.size("positions").alias("tf")).where("tf > 0")
+            found = rows if found is None else found.unionAll(rows)
+        df = found.groupBy("unit").agg(F.count("*").alias("df"))
+        stats = F.broadcast(spark.read.parquet(f"{self.path}/corpus").select("n", "avgdl"))  # one row
         w = _idf(F.col("n"), F.col("df")) * _weight(F.col("tf"), F.col("dl"), F.col("avgdl"))
-        stats = F.broadcast(spark.read.parquet(f"{self.path}/corpus"))  # one row
-        return post.join(F.broadcast(df), "term").join(stats).groupBy("key").agg(F.sum(w).alias("_score"))  # df: a row a query term
+        weighed = found.join(F.broadcast(df), "unit").join(stats)  # df: a row a query unit
+        good = F.col("unit").isin([every.index(u) for u in scored])
+        has = lambda u: F.bool_or(F.col("unit") == every.index(u))
+        out = weighed.groupBy("key").agg(F.sum(F.when(good, w)).alias("_score"), *(has(u).alias(f"must{i}") for i, u in enumerate(query.must)), *(has(u).alias(f"not{i}") for i, u in enumerate(query.must_not)))
+        keep = F.col("_score").isNotNull()
+        for i in range(len(query.must)):
+            keep = keep & F.col(f"must{i}")
+        for i in range(len(query.must_not)):
+            keep = keep & ~F.col(f"not{i}")
+        return out.where(keep).select("key", "_score")

@@ -37,6 +37,18 @@ def flatten(transcripts: DataFrame, metadata: DataFrame | None = None, doc_langu
     return metadata_join(rows, metadata)
 
 
+#: Columns of a stored chunk that later jobs fill.
+LATER = {"text_embedding": "array<float>", "frame_blob": "binary", "frame_mime": "string", "frame_width": "int", "frame_height": "int", "frame_embedding": "array<float>"}
+
+
+def chunks(transcripts: DataFrame, metadata: DataFrame | None = None, doc_language: str | None = None) -> DataFrame:
+    """flatten() in the 26 columns of a stored chunk; vectors and frames are null until their jobs fill them."""
+    rows = flatten(transcripts, metadata, doc_language)
+    names = "doc_id speech_id chunk_id audio_path sample_rate audio_duration referenskod namn bildid extraid start end duration text audio_frames num_logits language language_prob alignments_json metadata".split()
+    rows = rows.withColumn("audio_duration", F.col("media_duration").cast("float"))
+    return rows.select(*names, *(F.lit(None).cast(t).alias(c) for c, t in LATER.items()))
+
+
 def documents(transcripts: DataFrame, metadata: DataFrame | None = None, base_uri: str | None = None, root: str | None = None, thumbnails: DataFrame | None = None, doc_language: str | None = None) -> DataFrame:
     """One row a media file."""
     base, absolute = F.lit(base_uri), F.concat(F.lit(root.rstrip("/") + "/"), media.basename(F.col("audio_path"))) if root else F.lit(None).cast("string")

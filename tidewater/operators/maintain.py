@@ -2,20 +2,33 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the one that driver and executors share (spark.checkpoint.dir; a local one where all runs on one machine and it is unset)."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+        root = "file:///tmp/checkpoints/tidewater"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def missing(df: DataFrame, have: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose key is not there yet; repeats stay."""
     return df.join(have.select(*keys), keys, "left_anti")
 
 
 def merge(table: DataFrame, updates: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """Update-only merge: rows with an update take its columns, updates without a row are ignored."""
-    new = updates.select(*keys, *(F.col(c).alias(f"__{c}") for c in columns), F.lit(True).alias("__hit"))
+    """Update-only merge: rows with an update take its columns, updates without a row are ignored. Of updates of one key the largest counts."""
+    new = updates.groupBy(*keys).agg(F.max(F.struct(*columns)).alias("__new"))
     out = table.join(new, keys, "left")
-    return out.select(*(F.when(F.col("__hit"), F.col(f"__{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in table.columns))
+    taken = lambda c: F.when(F.col("__new").isNotNull(), F.col(f"__new.{c}")).otherwise(F.col(c)).alias(c)
+    return out.select(*(taken(c) if c in columns else F.col(c) for c in table.columns))
 
 
 def backfill(table: DataFrame, keys: list[str], column: str, make, only_null: bool = True) -> DataFrame:
@@ -25,10 +38,10 @@ def backfill(table: DataFrame, keys: list[str], column: str, make, only_null: bo
 
 
 def resolve(df: DataFrame, listing: DataFrame, path: str = "audio_path", name: str = "name") -> tuple[DataFrame, DataFrame]:
-    """(rows with their source, counts of found and missing rows)."""
+    """(rows with their source, counts of found and missing rows). Of files with one name in several folders the smallest path counts."""
     from tidewater.functions import media
 
-    src = listing.select(F.col(name).alias("__name"), F.col("path").alias("source"))
+    src = listing.groupBy(F.col(name).alias("__name")).agg(F.min("path").alias("source"))
     out = df.withColumn("__base", media.basename(F.col(path))).join(src, F.col("__base") == F.col("__name"), "left").drop("__base", "__name")
     counts = out.agg(F.count_if(F.col("source").isNotNull()).alias("found"), F.count_if(F.col("source").isNull()).alias("missing"))
     return out.where("source is not null"), counts
@@ -38,6 +51,19 @@ def status_histogram(df: DataFrame, status: str, key: str) -> DataFrame:
     return df.groupBy(status).agg(F.count("*").alias("n"), F.min(key).alias("first_key"))
 
 
+def outcome(df: DataFrame, status: str, key: str, error: str, first: int = 5) -> DataFrame:
+    """status, n, failures: rows by status, and for failed ones the first few keys (by key) with their errors."""
+    few = df.where(F.col(status) == "failed").orderBy(key).limit(first).agg(F.array_sort(F.collect_list(F.struct(F.col(key).cast("string").alias("key"), F.col(error).alias("error")))).alias("failures"))
+    counts = df.groupBy(F.col(status).alias("status")).agg(F.count("*").alias("n"))
+    return counts.join(F.broadcast(few)).withColumn("failures", F.when(F.col("status") == "failed", F.col("failures")))  # one row
+
+
+def queue(df: DataFrame, status: str = "status") -> DataFrame:
+    """queued, done, error, processed: one row."""
+    of = lambda *names: F.count_if(F.col(status).isin(*names))
+    return df.agg(of("queued").alias("queued"), of("done").alias("done"), of("error").alias("error"), of("done", "error").alias("processed"))
+
+
 def vote(df: DataFrame, item: list[str], label: str, probability: str, order: str, samples: int = 3) -> DataFrame:
     """The label with the largest sum (first seen of equals) and that sum divided by the number of samples asked for."""
     sums = df.groupBy(*item, label).agg(F.sum(probability).alias("s"), F.min(order).alias("seen"))
@@ -46,8 +72,18 @@ def vote(df: DataFrame, item: list[str], label: str, probability: str, order: st
 
 
 def shard(df: DataFrame, name: list[Column], n: int) -> DataFrame:
-    """Round-robin shard numbers over sorted names: a file list's order, not a row-per-task path for large tables."""
-    return df.withColumn("shard", ((F.row_number().over(Window.orderBy(*name)) - 1) % n).cast("int"))
+    """Round-robin shard numbers over sorted names: rows are sorted in ranges, whose sizes give each range's first number."""
+    spark, folder = df.sparkSession, work_folder(df.sparkSession, "ranges")
+    order = Window.partitionBy("__range").orderBy(*name)
+    df.repartitionByRange(*name).withColumn("__range", F.spark_partition_id()).write.parquet(folder)  # stored: ranges are the same whenever they are read
+    ranges = spark.read.parquet(folder)
+    sizes = sorted((r["__range"], r["count"]) for r in ranges.groupBy("__range").count().collect())  # a row a range
+    starts, at = [], 0
+    for k, size in sizes:
+        starts.append((k, at))
+        at += size
+    placed = ranges.join(F.broadcast(spark.createDataFrame(starts, "__range int, __start long")), "__range")
+    return placed.withColumn("shard", ((F.row_number().over(order) - 1 + F.col("__start")) % n).cast("int")).drop("__range", "__start")
 
 
 def compact(spark: SparkSession, source: str, target: str, rows: int = 1 << 20) -> dict[str, int]:

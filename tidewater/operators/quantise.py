@@ -9,14 +9,13 @@ at most k x refine rows a query and Arrow batch.
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.operators.vector import cosine_distance, matrix, nearest_of, query_blocks, ranked_nearest
+from tidewater.operators.vector import cosine_distance, each_block, matrix, nearest_of, ranked_nearest, stored_blocks
 from tidewater.session import ready
+from tidewater.sources.files import under
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
@@ -53,15 +52,17 @@ class IVFPQ:
             raise ValueError("the column still has nulls")
         self.key, self.column = key, column
         self.vectors = ready(vectors).select(F.col(key).cast("long").alias(key), column)
-        fit = self.vectors.orderBy(F.xxhash64(key), key).limit(self.sample).select(column).collect()
+        # a few rows more than the sample pass the threshold; the rest never leaves the executors
+        some = self.vectors.where(under(F.xxhash64(key), self.vectors.count(), self.sample))
+        fit = some.orderBy(F.xxhash64(key), key).limit(self.sample).select(column).collect()
         if not fit:
             raise ValueError("there are no vectors")
         x = unit(np.array([r[0] for r in fit], float))
         if x.shape[1] % self.subvectors:
             raise ValueError("the parts do not divide the dimensions")
         rng = np.random.default_rng(self.seed)
-        # about as many rows a cell as the square root of a small table's rows
-        self.centres = kmeans(x, min(self.cells, max(1, int(len(x) ** 0.5))), self.rounds, rng)
+        # eight rows of the sample a cell at least
+        self.centres = kmeans(x, min(self.cells, max(1, len(x) // 8)), self.rounds, rng)
         rest = x - self.centres[nearest_centre(x, self.centres)]
         self.books = [kmeans(part, self.n_codes, self.rounds, rng) for part in np.split(rest, self.subvectors, axis=1)]
         self.codes = self.vectors.mapInArrow(self._encode(), f"{key} long, cell int, code binary")
@@ -87,13 +88,16 @@ class IVFPQ:
 
         return run
 
-    def _candidates(self, ids: np.ndarray, q: np.ndarray, k: int, nprobes: int) -> DataFrame:
-        key, m = self.key, len(self.books)
-        near = q @ self.centres.T
-        closest = np.argsort(-(near - (self.centres**2).sum(axis=1) / 2), axis=1, kind="stable")[:, :nprobes]
-        probed = np.zeros(near.shape, bool)
-        np.put_along_axis(probed, closest, True, axis=1)
-        tables = [(part @ book.T).astype(np.float32) for part, book in zip(np.split(q, m, axis=1), self.books, strict=True)]
+    def _candidates(self, blocks, k: int, nprobes: int) -> DataFrame:
+        """query_id, key, about: the k best rows of each query and Arrow batch by inner products read from tables."""
+        key, centres, books = self.key, self.centres, self.books
+
+        def tables(ids, q):
+            near = q @ centres.T
+            closest = np.argsort(-(near - (centres**2).sum(axis=1) / 2), axis=1, kind="stable")[:, :nprobes]
+            probed = np.zeros(near.shape, bool)
+            np.put_along_axis(probed, closest, True, axis=1)
+            return near, probed, [(part @ book.T).astype(np.float32) for part, book in zip(np.split(q, len(books), axis=1), books, strict=True)]
 
         def run(batches):
             import pyarrow as pa
@@ -101,31 +105,33 @@ class IVFPQ:
             for b in batches:
                 rows = b.column(0).to_numpy(zero_copy_only=False)
                 cell = b.column(1).to_numpy(zero_copy_only=False)
-                code = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(-1, m)
-                out = []
-                for c in np.unique(cell).tolist():
-                    who, at = np.flatnonzero(probed[:, c]), np.flatnonzero(cell == c)
-                    if not len(who):
-                        continue
-                    d = 1 - np.repeat(near[who, c][None, :], len(at), axis=0)
-                    for table, own in zip(tables, code[at].T, strict=True):
-                        d -= table[who][:, own].T
-                    j, i = nearest_of(d, rows[at], k)
-                    out.append((ids[who[j]], rows[at[i]], d[i, j]))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["query_id", key, "about"])
-
-        wanted = np.flatnonzero(probed.any(axis=0)).tolist()
-        codes = self.codes if len(wanted) == len(self.centres) else self.codes.where(F.col("cell").isin(wanted))
+                code = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(-1, len(books))
+                for ids, q in blocks():
+                    near, probed, own = tables(ids, q)
+                    out = []
+                    for c in np.unique(cell).tolist():
+                        who, at = np.flatnonzero(probed[:, c]), np.flatnonzero(cell == c)
+                        if not len(who):
+                            continue
+                        d = 1 - np.repeat(near[who, c][None, :], len(at), axis=0)
+                        for table, part in zip(own, code[at].T, strict=True):
+                            d -= table[who][:, part].T
+                        j, i = nearest_of(d, rows[at], k)
+                        out.append((ids[who[j]], rows[at[i]], d[i, j]))
+                    if out:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["query_id", key, "about"])
+
+        wanted = set()
+        for _, q in blocks():
+            wanted.update(np.flatnonzero(tables(None, q)[1].any(axis=0)).tolist())
+        codes = self.codes if len(wanted) == len(centres) else self.codes.where(F.col("cell").isin(sorted(wanted)))
         return codes.mapInArrow(run, f"query_id long, {key} long, about double")
 
     def search(self, queries: DataFrame, k: int, nprobes: int = 20, refine: int = 3) -> DataFrame:
         """query_id, key, _distance, rank: about the k nearest rows of each query (query_id, query). No query: no rows."""
         key = self.key
-        found = [self._candidates(*block, k * refine, nprobes) for block in query_blocks(queries)]
-        if not found:
-            return self.vectors.sparkSession.createDataFrame([], f"query_id long, {key} long, _distance double, rank int")
-        best = ranked_nearest(reduce(DataFrame.unionAll, found), k * refine, key, "about").select("query_id", key)
+        found = self._candidates(each_block(stored_blocks(queries)), k * refine, nprobes)
+        best = ranked_nearest(found, k * refine, key, "about").select("query_id", key)
         asked = queries.select(F.col("query_id").cast("long").alias("query_id"), "query")
         exact = best.join(self.vectors, key).join(asked, "query_id")
         exact = exact.select("query_id", key, (F.round(cosine_distance(F.col(self.column), F.col("query")), 5) + 0.0).alias("_distance"))

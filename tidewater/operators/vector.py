@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,6 +42,34 @@ def query_blocks(queries: DataFrame, size: int = QUERIES):
             yield np.array([r[0] for r in rows]), q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
 
 
+def stored_blocks(queries: DataFrame, size: int | None = None) -> list[str]:
+    """The blocks of queries as files in the shared folder, which tasks read one after another: neither the driver nor a plan holds all."""
+    from tidewater.operators.maintain import work_folder
+    from tidewater.sources import files
+
+    folder, paths = work_folder(queries.sparkSession, "queries"), []
+    for ids, q in query_blocks(queries, *([size] if size else [])):
+        paths.append(f"{folder}/{len(paths):06d}.npz")
+        files.put_arrays(paths[-1], ids=ids, q=q)
+    return paths
+
+
+def each_block(paths: list[str]):
+    """(ids, unit vectors) of each stored block; a single one is read once a task."""
+    from tidewater.sources import files
+
+    kept: dict = {}
+
+    def blocks():
+        for path in paths:
+            got = kept.get(path) or files.get_arrays(path)
+            if len(paths) == 1:
+                kept[path] = got
+            yield got["ids"], got["q"]
+
+    return blocks
+
+
 def nearest_of(d, key, k: int):
     """(query index, row index) of the k smallest distances of each query (a column of d), ties by key."""
     import numpy as np
@@ -73,31 +99,28 @@ def matrix(column):
 def batch_knn(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", column: str = "embedding") -> DataFrame:
     """query_id, key, _distance, rank: the k nearest rows of each query (query_id, query), exactly. Integer keys.
 
-    Queries go to the tasks in blocks; each task keeps its k best a query before anything is shuffled. No query: no rows."""
+    Tasks read the queries in blocks from the shared folder, and keep their k best a query before anything is shuffled. No query: no rows."""
     from tidewater.session import ready
 
     rows = ready(vectors).where(F.col(column).isNotNull()).select(F.col(key).cast("long").alias(key), column)
-    schema = f"query_id long, {key} long, _distance double"
-
-    def against(ids, q):
-        def run(batches):
-            import numpy as np
-            import pyarrow as pa
-
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                x = matrix(b.column(1))
-                d = np.round(1 - (x / np.maximum(np.linalg.norm(x, axis=1), 1e-300)[:, None]) @ q.T, 5) + 0.0
-                keep = b.column(0).to_numpy(zero_copy_only=False)
+    blocks = each_block(stored_blocks(queries))
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = matrix(b.column(1))
+            x = x / np.maximum(np.linalg.norm(x, axis=1), 1e-300)[:, None]
+            keep = b.column(0).to_numpy(zero_copy_only=False)
+            for ids, q in blocks():
+                d = np.round(1 - x @ q.T, 5) + 0.0
                 j, i = nearest_of(d, keep, k)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[j]), pa.array(keep[i]), pa.array(d[i, j])], names=["query_id", key, "_distance"])
 
-        return rows.mapInArrow(run, schema)
-
-    parts = [against(*block) for block in query_blocks(queries)]
-    part = reduce(DataFrame.unionAll, parts) if parts else vectors.sparkSession.createDataFrame([], schema)
-    return ranked_nearest(part, k, key)
+    return ranked_nearest(rows.mapInArrow(run, f"query_id long, {key} long, _distance double"), k, key)
 
 
 def truncate(vector: Column, dims: int) -> Column:
