@@ -31,3 +31,33 @@ def test_pipeline(spark, tmp_path):
     first = {c for c in brute.near_components(rows)}
     assert left == first - {66}
     assert {x.doc_id for x in corpus_pipeline.run(spark, str(tmp_path)).collect()} == left
+
+
+def test_stages_judge_rows(spark, tmp_path):
+    """Rows that share an id, repeated rows, null ids, and columns named like the operators' own."""
+    r = random.Random(5)
+    text = lambda n=90: " ".join("".join(r.choice("aeioubcdlmnrst") for _ in range(5)) for _ in range(n))
+    good, item = [text() for _ in range(6)], text(20)
+    rows = [(1, good[0], "a"), (1, "junk", "b"), (2, good[1], "c"), (2, good[1], "c"), (2, good[1], "c"), (None, good[2], "d"), (None, good[2], "e"), (3, good[2], "f"), (4, None, "g"), (4, "", "h")]
+    rows += [(5, f"{good[3]} {item}", "i"), (5, good[4], "j"), (6, f"{good[5]} mail a@b.co", "k")]
+    docs = spark.createDataFrame([(i, t, "en", None, len(t or ""), k, 7, 8) for i, t, k in rows], "doc_id long, text string, lang string, source string, n_chars long, row string, __all int, row_number int")
+    spark.createDataFrame([(0, item), (None, "x")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = ["acccdefijk", None, None, None]
+    kept = []
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = stage(spark, docs, str(tmp_path))
+        if i < 4:
+            assert docs.columns == "doc_id text lang source n_chars row __all row_number".split()
+        docs.write.parquet(f"{tmp_path}/out{i}")
+        docs = spark.read.parquet(f"{tmp_path}/out{i}")
+        kept.append("".join(sorted(x.row for x in docs.collect())) if i < 4 else docs.count())
+    assert kept[0] == left[0] and kept[1] == "acfijk" and kept[2] == kept[3] == "acfjk" and kept[4] == 5
+    assert "[EMAIL]" in {x.row: x.text for x in spark.read.parquet(f"{tmp_path}/out3").collect()}["k"]
+
+
+def test_stages_take_empty_tables(spark, tmp_path):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, str(tmp_path))
+        assert out.count() == 0 and (i == 4 or out.columns == docs.columns)
