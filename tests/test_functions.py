@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidewater.functions import media, stem
@@ -82,5 +84,24 @@ def test_media_bytes():
     assert len(media.resample_mono([[0.0] * 44100], 44100)) == 16_000
 
 
-def test_stems():
-    assert [stem.stem(w) for w in ("talking", "stories", "as")] == ["talk", "story", "as"]
+#: Words and their stems, for each rule of the published algorithms.
+ENGLISH = """consigned consign, consignment consign, consistency consist, consolatory consolatori, consolidating consolid, consolingly consol,
+consonant conson, conspicuously conspicu, conspiracy conspiraci, constables constabl, knackeries knackeri, knavish knavish, knightly knight,
+knitted knit, knives knive, generate generat, generously generous, communities communiti, hoping hope, hopping hop, ties tie, cries cri, gas gas,
+this this, kiwis kiwi, gaps gap, skies sky, dying die, news news, proceed proceed, relational relat, rationalization ration, happy happi, say say,
+by by, enjoyed enjoy, analogies analog, hopefulness hope, agreed agre, feed feed, bed bed, disabled disabl, luxuriated luxuri, replacement replac,
+adoption adopt, controll control, rate rate, cease ceas, native nativ, talking talk, stories stori, as as"""
+SWEDISH = """jaktbössa jaktböss, jakten jakt, jaktkarlarne jaktkarl, jaktkarlens jaktkarl, jalusierna jalusi, jamrande jamr, japanska japansk,
+jaquette jaquet, jasminen jasmin, klockan klockan, klockans klockan, klockarens klock, klocklikt klocklik, klockornas klock, klokaste klok,
+klokheten klok, klo klo, i i, jämförelse jämför, dagligt dag, arbetslöst arbetslös"""
+
+
+@pytest.mark.parametrize("language, pairs", [("english", ENGLISH), ("swedish", SWEDISH)])
+def test_stems(language, pairs):
+    pairs = [p.split() for p in pairs.split(",")]
+    assert {w: stem.stem(w, language) for w, _ in pairs} == dict(pairs)
+
+
+@given(st.text(alphabet="abcdeghilnorstuvyzåäöY'1_", max_size=14), st.sampled_from(["english", "swedish"]))
+def test_any_word_has_a_stem(word, language):
+    assert len(stem.stem(word, language)) <= len(word) + 1
