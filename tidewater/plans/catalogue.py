@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions import lookup, media
 from tidewater.functions import text as T
-from tidewater.operators import embed, fts, fusion, hits, ingest, maintain, quantise, search, store, vector
+from tidewater.operators import embed, fts, fusion, hits, ingest, intervals, maintain, quantise, search, store, vector
 from tidewater.streaming import windows
 
 TERMS = ["the", "thans", "other"]
@@ -363,7 +363,7 @@ def ingest_contain(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     c = e.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("chunk_event"), F.col("ts").alias("start"), F.expr("ts + interval 1 hour").alias("end"))
     a = e.where("event_type = 'click'").select("user_id", F.col("event_id").alias("inner_event"), F.col("ts").alias("a_start"), F.expr("ts + interval 1 minute").alias("a_end"))
-    return c.join(a, "user_id").where("a_start >= start and a_end <= end").select("chunk_event", "inner_event")
+    return intervals.inside(a, c, ["user_id"], "a_start", "a_end", "start", "end", seconds=3600).select("chunk_event", "inner_event")
 
 
 @_query(
@@ -824,7 +824,7 @@ def point_in_interval(spark, sf_dir):
     s = table(spark, sf_dir, "events").select("user_id", "event_id", F.col("ts").alias("start"), F.lead("ts").over(w).alias("nxt"))
     s = s.withColumn("end", F.coalesce(F.least("nxt", F.expr("start + interval 10 minutes")), F.expr("start + interval 10 minutes")))
     p = documents(spark, sf_dir).select("doc_id", (F.col("doc_id") % 150).alias("user_id"), F.expr("timestamp'2024-01-01' + make_interval(0, 0, 0, 0, 0, cast(doc_id * 7 as int))").alias("t"))
-    return p.join(s, "user_id").where("t >= start and t < end").groupBy("doc_id").agg(F.max("event_id").alias("event_id"))
+    return intervals.points(p, s, ["user_id"], "t", "start", "end", seconds=600).groupBy("doc_id").agg(F.max("event_id").alias("event_id"))
 
 
 def queries() -> dict:

@@ -6,8 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def append(df: DataFrame, path: str, keys: list[str] | None = None, rows_per_file: int = 0) -> None:
-    """Append to a Parquet table; with keys, rows whose key is already there are left out, so a repeat adds nothing."""
+#: Types of keys whose smallest and largest value can bound a scan.
+BOUNDED = ("tinyint", "smallint", "int", "bigint", "date", "string")
+
+
+def append(df: DataFrame, path: str, keys: list[str] | None = None, rows_per_file: int = 0, prune: bool = False) -> None:
+    """Append to a Parquet table; with keys, rows whose key is already there are left out, so a repeat adds nothing.
+
+    prune: of the stored table only the row groups that meet df's range of the first key are read; df is worked once more for it."""
     spark = df.sparkSession
     if keys:
         try:
@@ -17,6 +23,9 @@ def append(df: DataFrame, path: str, keys: list[str] | None = None, rows_per_fil
                 raise
             have = None
         df = df.dropDuplicates(keys)
+        if have is not None and prune and have.schema[keys[0]].dataType.simpleString() in BOUNDED:
+            least, most = df.agg(F.min(keys[0]), F.max(keys[0])).first()
+            have = have.where(F.col(keys[0]).between(F.lit(least), F.lit(most)))
         if have is not None:
             df = df.join(have, keys, "left_anti")
     writer = df.write.mode("append")
@@ -37,4 +46,12 @@ def json_lines(df: DataFrame, drop: tuple[str, ...] = ()) -> DataFrame:
 
 def append_stream(stream: DataFrame, path: str, checkpoint: str, keys: list[str]):
     """Each micro-batch appended by key: a batch that runs again adds nothing."""
-    return stream.writeStream.foreachBatch(lambda batch, _: append(batch, path, keys)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+    def add(batch: DataFrame, _: int) -> None:
+        batch.persist()
+        try:
+            append(batch, path, keys, prune=True)
+        finally:
+            batch.unpersist()
+
+    return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
