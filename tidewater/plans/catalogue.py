@@ -319,7 +319,14 @@ def rerank_topk(spark, sf_dir):
     return fusion.rerank(found, fusion.overlap_score(F.col("text"), TERMS), [F.desc("_score"), F.col("doc_id")]).select("doc_id", "_relevance_score")
 
 
-@_query("search_hybrid_engine")
+@_query(
+    "search_hybrid_engine",
+    f"""with {_bm25(TERMS)}, {_QV}, a as (select doc_id, row_number() over (order by round(s, 9) desc, doc_id) - 1 as r from scored qualify r < 60),
+v as (select vec_id as doc_id, {_DIST} as d from embeddings, q order by 2, 1 limit 60), b as (select doc_id, row_number() over (order by d, doc_id) - 1 as r from v where doc_id in (select doc_id from documents)),
+u as (select doc_id, 0 as l, r from a union all select doc_id, 1, r from b union all select doc_id, 2, r from b),
+f as (select doc_id, round(sum(1.0 / (60 + r)), 9) as s, min(l * 1000 + r) as o from u group by doc_id order by s desc, o, doc_id limit 20), x as (select doc_id, list_distinct(t) as t from tok where doc_id in (select doc_id from f))
+select doc_id, round(len(list_intersect(t, ['the', 'thans', 'other'])) / len(list_distinct(list_concat(t, ['the', 'thans', 'other']))), 6) as _relevance_score from x""",
+)
 def search_hybrid_engine(spark, sf_dir):
     chunks = documents(spark, sf_dir).select("doc_id", "text", F.col("lang").alias("language"))
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
