@@ -532,6 +532,39 @@ def test_url_trees_learn_held_out_urls(spark):
     assert sum((r.verdict == "block") == truth[r.page_id] for r in got) > 0.95 * len(got)
 
 
+@pytest.mark.parametrize(("noise", "least"), [(0.0, 0.95), (0.3, 0.85)])
+def test_url_trees_learn_within_one_suffix(spark, noise, least):
+    r = random.Random(7)
+    deep = [r.random() < 0.5 for _ in range(4000)]
+    made = [f"http://h{r.randrange(900)}.net/" + "/".join(f"p{r.randrange(50)}" for _ in range(r.randint(3, 6) if d else r.randint(1, 2))) for d in deep]
+    given = [int(d != (r.random() < noise)) for d in deep]
+    labelled = spark.createDataFrame(list(zip(made, given, strict=True))[:3000], "url string, block int")
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(made) if i >= 3000], "page_id long, url string")
+    got = urls.filter_urls(pages, labelled, rules=()).collect()
+    assert sum((x.verdict == "block") == deep[x.page_id] for x in got) > least * len(got) and len({x.block_score for x in got}) > 1
+
+
+def test_suffix_rates_tell_nothing_about_labels_that_mean_nothing(spark):
+    r = random.Random(8)
+    rows = [(f"s{r.randrange(60)}", [float(i)], r.randrange(2), 1) for i in range(6000)]
+    known = spark.createDataFrame(rows, "suffix string, x array<double>, y int, w long")
+    seen = urls.training_rows(known, urls.suffix_sums(known), 0.5).collect()
+    assert len(seen) == 6000
+    for kind in ("s_rate", "s_n"):
+        values = np.array([x[kind] for x in seen])
+        y = np.array([x.y for x in seen])
+        for cut in np.unique(values)[:-1]:  # no split separates the labels better than chance
+            for side in (values <= cut, values > cut):
+                assert abs(y[side].mean() - 0.5) < 4 * 0.5 / np.sqrt(side.sum())
+
+
+def test_url_verdicts_of_repeats_and_ties(spark):
+    pages = spark.createDataFrame([(1, "http://a.net/x"), (1, "http://a.net/x"), (2, "http://a.net/x")], "page_id long, url string")
+    labelled = spark.createDataFrame([("http://b.net/x", 1), ("http://b.net/x", 0)] * 30, "url string, block int")
+    got = [(x.page_id, x.verdict, x.block_score) for x in urls.filter_urls(pages, labelled, rules=()).collect()]
+    assert len(got) == 3 and len({g[1:] for g in got}) == 1 and got[0][1] == "allow"  # a score of one half allows
+
+
 def test_url_features_and_the_sample(spark):
     import math
 

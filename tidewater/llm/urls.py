@@ -2,10 +2,14 @@
 
 Features: lengths of url, host and path, path depth, digit ratio, character entropy, parameter count, host labels, hyphens,
 longest run of digits, and how often labelled urls of the same suffix (co.uk, com) are blocked (smoothed) and how many there
-are; a labelled url's own label is left out of its suffix's rate when it trains. The trees (logistic loss, histogram splits)
-are trained from labelled urls: by default those that the rules judge. Labelled urls with the same features and label are one
-row with their number. The fit takes a bounded sample, the `sample` such rows with the smallest hashes; only rows under a hash
-threshold that lets a few more pass reach the driver. Suffix statistics use all labelled urls.
+are. The trees (logistic loss, histogram splits) are trained from labelled urls: by default those that the rules judge.
+Labelled urls with the same features and label are one row with their number. The fit takes a bounded sample, the `sample`
+such rows with the smallest hashes; only rows under a hash threshold that lets a few more pass reach the driver. Suffix
+statistics use all labelled urls.
+
+No url trains on a suffix rate that its own label, or any label that trains beside the rate, has a part in: a keyed half of the
+labelled urls gives the rates that the other half sees in training, and trains itself as if its suffixes were unknown. Urls
+are scored with the rates of both halves, with twice the smoothing.
 
 Defined results: null urls and urls without "://" have empty host and path, fit no rule and are scored as they are; repeated
 rows are judged each; without labelled urls, or with labels of one kind only, the verdict outside rules is that kind (allow
@@ -28,6 +32,8 @@ from tidewater.session import ready
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 #: Rows that a fit takes at most.
 SAMPLE = 100_000
+#: Urls of the average rate that are added to a suffix.
+SMOOTH = 10
 FEATURES = ("length", "host_length", "path_length", "depth", "digit_ratio", "entropy", "parameters", "host_labels", "hyphens", "digit_run")
 #: Common second levels of country domains.
 SECOND = {"ac", "co", "com", "edu", "gob", "gov", "net", "or", "org"}
@@ -186,6 +192,23 @@ def _score(model: Trees, rules: bool):
     return run
 
 
+def _half():
+    return F.pmod(F.xxhash64("suffix", "x"), F.lit(2))
+
+
+def suffix_sums(known: DataFrame) -> DataFrame:
+    """suffix, s and n (blocked and labelled urls), s0 and n0 (those of the half that gives rates), rows."""
+    first = F.when(_half() == 0, F.col("w")).otherwise(0)
+    return known.groupBy("suffix").agg(F.sum(F.col("w") * F.col("y")).alias("s"), F.sum("w").alias("n"), F.sum(first * F.col("y")).alias("s0"), F.sum(first).alias("n0"), F.count("*").alias("rows"))
+
+
+def training_rows(known: DataFrame, suffixes: DataFrame, prior: float) -> DataFrame:
+    """suffix, x, y, w with s_rate and s_n as the trees see them in training."""
+    rate = F.when(_half() == 1, F.round((F.col("s0") + SMOOTH * prior) / (F.col("n0") + SMOOTH), 9)).otherwise(F.lit(round(prior, 9)))
+    joined = known.join(suffixes.select("suffix", "s0", "n0"), "suffix")
+    return joined.select("suffix", "x", "y", "w", rate.alias("s_rate"), F.when(_half() == 1, F.log1p("n0")).otherwise(0.0).alias("s_n"))
+
+
 def filter_urls(pages: DataFrame, labelled: DataFrame | None = None, rules=RULES, id: str = "page_id", url: str = "url", sample: int = SAMPLE) -> DataFrame:
     """page_id, host, path, rule, verdict, block_score: a row a page. labelled: url and block (0 or 1); None: the urls that rules judge."""
     kind = pages.schema[id].dataType.simpleString()
@@ -198,21 +221,19 @@ def filter_urls(pages: DataFrame, labelled: DataFrame | None = None, rules=RULES
         both = labelled.where("block is not null").select(F.col("block").cast("int").alias("page_id"), "url")
         known = ready(both).mapInArrow(_parse(()), schema.replace(f"page_id {kind}", "page_id int")).select("suffix", "x", F.col("page_id").alias("y"))
     known = materialise(known.groupBy("suffix", "x", "y").agg(F.count("*").alias("w")), "known-urls")
-    suffixes = known.groupBy("suffix").agg(F.sum(F.col("w") * F.col("y")).alias("s"), F.sum("w").alias("n"), F.count("*").alias("rows"))
+    suffixes = suffix_sums(known)
     overall = suffixes.agg(F.sum("s").alias("s"), F.sum("n").alias("n"), F.count("*").alias("suffixes"), F.sum("rows").alias("rows")).first()
     prior = (overall.s / overall.n) if overall.n else 0.5
     few = F.broadcast if overall.suffixes <= 100_000 else lambda side: side
-    learnt = known.where(_below(F.xxhash64("suffix", "x", "y"), overall.rows or 0, sample)).join(few(suffixes.drop("rows")), "suffix")
-    # the rate that the others of its suffix give
-    own = ["x", F.round((F.col("s") - F.col("y") + 10 * prior) / (F.col("n") + 9), 9).alias("s_rate"), F.log1p("n").alias("s_n"), "y", "w"]
-    rows = learnt.orderBy(F.xxhash64("suffix", "x", "y"), "suffix", "x", "y").limit(sample).select(*own).toArrow()
+    learnt = training_rows(known.where(_below(F.xxhash64("suffix", "x", "y"), overall.rows or 0, sample)), few(suffixes), prior)
+    rows = learnt.orderBy(F.xxhash64("suffix", "x", "y"), "suffix", "x", "y").limit(sample).select("x", "s_rate", "s_n", "y", "w").toArrow()
     flat = rows.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, len(FEATURES))
     at = lambda c: rows.column(c).to_numpy().astype(float)
     model = Trees().fit(np.concatenate([flat, np.stack([at("s_rate"), at("s_n")], axis=1)], axis=1), at("y"), at("w"))
     suffixes = materialise(suffixes, "suffixes")
     discard(known)
-    rated = suffixes.select("suffix", F.round((F.col("s") + 10 * prior) / (F.col("n") + 10), 9).alias("s_rate"), F.log1p("n").alias("s_n"))
-    scored = parsed.join(few(rated), "suffix", "left").withColumns({"s_rate": F.coalesce("s_rate", F.lit(prior)), "s_n": F.coalesce("s_n", F.lit(0.0))})
+    rated = suffixes.select("suffix", F.round((F.col("s") + 2 * SMOOTH * prior) / (F.col("n") + 2 * SMOOTH), 9).alias("s_rate"), F.log1p(F.col("n") / 2).alias("s_n"))
+    scored = parsed.join(few(rated), "suffix", "left").withColumns({"s_rate": F.coalesce("s_rate", F.lit(round(prior, 9))), "s_n": F.coalesce("s_n", F.lit(0.0))})
     scored = scored.select("page_id", "host", "path", "rule", "ruled", "x", "s_rate", "s_n")
     return scored.mapInArrow(_score(model, True), f"page_id {kind}, host string, path string, rule string, verdict string, block_score double")
 
