@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions import media
 from tidewater.functions import text as T
-from tidewater.operators import embed, fts, hits, ingest, maintain, store
+from tidewater.operators import embed, fts, hits, ingest, maintain, store, tables
 from tidewater.sources import transcripts
 
 
@@ -60,11 +60,11 @@ def test_columns_and_compaction_in_place(spark, tmp_path):
     path = f"{tmp_path}/t"
     spark.range(100).select("id", F.when(F.col("id") > 5, 1).alias("some")).repartition(9).write.parquet(path)
     assert store.add_column(spark, path, "double", F.col("id") * 2) and not store.add_column(spark, path, "double", F.lit(0))
-    assert store.drop_columns(spark, path, ["double", "gone"]) == ["double"] and spark.read.parquet(path).columns == ["id", "some"]
+    assert store.drop_columns(spark, path, ["double", "gone"]) == ["double"] and tables.read(spark, path).columns == ["id", "some"]
     built = []
     got = store.compact(spark, path, 50, {"id": lambda df: built.append(df.count()), "some": lambda df: built.append("no")})
     assert got["rows"] == 100 and got["files_after"] == 2 and (got["rebuilt"], got["skipped"], built) == (["id"], ["some"], [100])
-    assert spark.read.parquet(path).count() == 100 and [p.name for p in tmp_path.iterdir()] == ["t"]
+    assert tables.read(spark, path).count() == 100 and [p.name for p in tmp_path.iterdir()] == ["t"]
 
 
 def test_job_resumes_and_drops_empty_results(spark, tmp_path):
@@ -74,7 +74,7 @@ def test_job_resumes_and_drops_empty_results(spark, tmp_path):
     counts = lambda df: {r.status: r.n for r in df.collect()}
     assert counts(store.run_job(todo.where("k < 6"), make, path, ["k"], "jpeg")) == {"ok": 4, "failed": 2, "skipped": 0}
     assert counts(store.run_job(todo, make, path, ["k"], "jpeg")) == {"ok": 2, "failed": 4, "skipped": 4}
-    assert sorted(r.k for r in spark.read.parquet(path).collect()) == [1, 2, 4, 5, 7, 8]
+    assert sorted(r.k for r in tables.read(spark, path).collect()) == [1, 2, 4, 5, 7, 8]
 
 
 def test_merge_and_resolve_do_not_multiply_rows(spark):
@@ -82,9 +82,14 @@ def test_merge_and_resolve_do_not_multiply_rows(spark):
     up = spark.createDataFrame([(1, "x"), (1, "y"), (2, None)], "k int, v string")
     assert sorted(map(tuple, maintain.merge(t, up, ["k"], ["v"]).collect()), key=repr) == [(1, "y"), (2, None)]
     docs = spark.createDataFrame([("in/a.mp4",), ("in/b.mp4",)], "audio_path string")
-    files = spark.createDataFrame([("a.mp4", "/y/a.mp4"), ("a.mp4", "/x/a.mp4")], "name string, path string")
-    found, counts = maintain.resolve(docs, files)
-    assert [r.source for r in found.collect()] == ["/x/a.mp4"] and tuple(counts.first()) == (1, 1)
+    files = spark.createDataFrame([("/x/in/a.mp4",), ("file:///x/in/a.mp4",), ("/y/in/a.mp4",), ("/x/b.mp4",)], "path string")
+    found, counts = maintain.resolve(docs, files, "/x/")
+    assert [r.source for r in found.collect()] == ["/x/in/a.mp4"] and tuple(counts.first()) == (1, 1)
+    # a path is taken as it is without a root, and where it is absolute; files of the same name elsewhere are not it
+    asked = spark.createDataFrame([("/y/./in//a.mp4", 1), ("a.mp4", 2), (None, 3)], "audio_path string, key int")
+    for root in (None, "/x"):
+        found, counts = maintain.resolve(asked, files, root)
+        assert [(r.source, r.key) for r in found.collect()] == [("/y/in/a.mp4", 1)] and tuple(counts.first()) == (1, 2)
 
 
 def test_jpeg_markers():

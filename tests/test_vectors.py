@@ -33,7 +33,7 @@ def _found(df):
 @pytest.mark.parametrize("size", [1024, 3])
 def test_batch_knn_in_blocks(some, size, monkeypatch):
     x, df = some
-    monkeypatch.setattr(vector.query_blocks, "__defaults__", (size,))
+    monkeypatch.setattr(vector.stored_blocks, "__defaults__", (size,))
     q = df.where("vec_id % 20 = 0 or vec_id = 10").selectExpr("vec_id as query_id", "embedding as query")
     got = _found(vector.batch_knn(df, q, 5))
     assert got == {i: _exact(x, x[i], 5) for i in [*range(0, 400, 20), 10]}
@@ -63,6 +63,27 @@ def test_quantised_index_refuses(spark, some):
         quantise.IVFPQ(subvectors=3).build(some[1])
 
 
+def test_recall_with_a_quarter_of_the_cells(spark, tmp_path):
+    r = np.random.default_rng(5)
+    middle = r.normal(size=(40, 32)) * 4
+    x = middle[r.integers(0, 40, 6000)] + r.normal(size=(6000, 32)) * 0.5
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(5)
+    q = df.where("vec_id % 60 = 0").selectExpr("vec_id as query_id", "embedding as query")
+    index = quantise.IVFPQ(cells=32, subvectors=32, sample=3000, rounds=4).build(df, path=f"{tmp_path}/codes")
+    got, want = _found(index.search(q, 10, nprobes=8, refine=8)), _found(vector.batch_knn(df, q, 10))
+    assert len(want) == 100 and np.mean([len(set(got[i]) & set(want[i])) / 10 for i in want]) >= 0.95
+
+
+def test_vectors_are_held_in_bounded_pieces(some):
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(20_000)), pa.array([[1.0, 2.0]] * 20_000)], names=["k", "v"])
+    pieces = list(vector.held(iter([batch, batch]), 100_000))
+    assert sum(len(k) for p in pieces for k, _ in p) == 40_000 and all(sum(v.nbytes for _, v in p) <= 300_000 for p in pieces)
+    q, key, d = vector.keep_best([(np.array([0, 0, 1]), np.array([5, 6, 7]), np.array([0.2, 0.1, 0.3])), (np.array([0]), np.array([4]), np.array([0.1]))], 2)
+    assert (q.tolist(), key.tolist(), d.tolist()) == ([0, 0, 1], [4, 6, 7], [0.1, 0.1, 0.3])
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no driver tables here")
 def test_recall_of_the_registered_query(spark):
     from tidewater.plans import catalogue

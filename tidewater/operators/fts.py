@@ -7,6 +7,7 @@ hash, so that a query reads the postings of its own terms only.
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass, field
 
@@ -105,18 +106,17 @@ def bm25(docs: DataFrame, query: Query | list[str], text: str = "text", fold: bo
     row, dl, avg, total = _fresh(docs.columns, "row", "dl", "avgdl", "n")
     f, dfs = _fresh(docs.columns, *(f"f{i}" for i in range(len(every)))), _fresh(docs.columns, *(f"df{i}" for i in range(len(every))))
     (toks_,) = _fresh(docs.columns, "tokens")
-    # the row number is a barrier: the optimizer moves no filter below it, which would tokenise a row once for each condition
-    toks = docs.withColumns({toks_: T.tokens(source), row: F.monotonically_increasing_id()})
-    counted = toks.select(*docs.columns, row, F.size(toks_).alias(dl), *(frequency(F.col(toks_), u).alias(f[i]) for i, u in enumerate(every)))
+    toks = docs.withColumn(toks_, T.tokens(source))
+    # the row number is a barrier: the optimizer moves no filter below it, which would count units once for each condition
+    counted = toks.select(*docs.columns, F.monotonically_increasing_id().alias(row), F.size(toks_).alias(dl), *(frequency(F.col(toks_), u).alias(f[i]) for i, u in enumerate(every)))
     # one row of corpus statistics
     stats = counted.agg(F.count("*").alias(total), F.avg(dl).alias(avg), *(F.count_if(F.col(f[i]) > 0).alias(dfs[i]) for i in range(len(every))))
     score = F.lit(0.0)
     for i in range(len(units)):
         w = _idf(F.col(total), F.col(dfs[i])) * _weight(F.col(f[i]), F.col(dl), F.col(avg))
         score = score + F.when(F.col(f[i]) > 0, w).otherwise(0.0)
-    hit = F.lit(not units)
-    for i in range(len(units)):
-        hit = hit | (F.col(f[i]) > 0)
+    # one comparison: a long chain of alternatives costs the optimizer more than the search
+    hit = F.greatest(*(F.col(f[i]) for i in range(len(units))), F.lit(0)) > 0 if units else F.lit(True)
     at = {u: i for i, u in enumerate(every)}
     for u in query.must:
         hit = hit & (F.col(f[at[u]]) > 0)
@@ -140,10 +140,12 @@ def search(docs: DataFrame, query: Query | list[str], k: int, keys: list[str], t
 
 def vocabulary(docs: DataFrame, text: str = "text") -> DataFrame:
     """term, df, cf."""
-    rows = docs.select(F.monotonically_increasing_id().alias("__row"), F.col(text).alias("__text"))  # the id comes before the rows are exploded
-    words = rows.select("__row", F.explode(T.tokens(F.col("__text"))).alias("term"))
-    per_row = words.groupBy("__row", "term").count()
-    return per_row.groupBy("term").agg(F.count("*").alias("df"), F.sum("count").alias("cf"))
+    # a row's tokens are sorted, so that each term is counted where its run begins: the shuffle is by term alone
+    rows = docs.select(F.array_sort(T.tokens(F.col(text))).alias("t")).where(F.size("t") > 0)
+    starts = F.filter(F.sequence(F.lit(1), F.size("t")), lambda i: (i == 1) | (F.col("t")[i - 1] != F.col("t")[F.greatest(i - 2, F.lit(0))]))
+    runs = rows.select("t", starts.alias("s"))
+    each = F.transform("s", lambda i, k: F.struct(F.col("t")[i - 1].alias("term"), (F.coalesce(F.try_element_at("s", k + 2), F.size("t") + 1) - i).alias("c")))
+    return runs.select(F.inline(each)).groupBy("term").agg(F.count("*").alias("df"), F.sum("c").alias("cf"))
 
 
 def expand(vocab: DataFrame, terms: list[str], distance: int) -> list[str]:
@@ -179,17 +181,28 @@ def batch_search(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+#: English words that carry little meaning by themselves, as published with common analyzers.
+ENGLISH_STOP = tuple("a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split())
+
+
 @dataclass(frozen=True)
 class Analyzer:
-    """How texts and queries become terms: lower-cased words, folded and stemmed if asked for. Stop words stay, so that phrases keep theirs."""
+    """How texts and queries become terms: lower-cased words, folded and stemmed if asked for.
+
+    stop: words that become no term; the words around them keep their places, so phrases keep their gaps."""
 
     language: str = "english"
     fold: bool = False
     stem: bool = False
+    stop: tuple[str, ...] = ()
 
     def tokens(self, text: Column) -> Column:
         return T.tokens(T.fold(F.lower(text)) if self.fold else text)
 
+    def kept(self, tokens: Column) -> Column:
+        """Which tokens become terms."""
+        return ~tokens.isin(list(self.stop)) if self.stop else F.lit(True)
+
     def terms(self, rows: DataFrame) -> DataFrame:
         """A frame with a column `term`, stemmed once a distinct term."""
         if not self.stem:
@@ -199,76 +212,210 @@ class Analyzer:
         known = stem.stems(rows.select("term").distinct(), self.language)
         return rows.join(known, "term").drop("term").withColumnRenamed("stem", "term")
 
-    def word(self, w: str) -> str:
+    def word(self, w: str) -> str | None:
+        """The term of a query's word; None for a stop word."""
         from tidewater.functions import stem
 
         w = w.lower()
         if self.fold:
             w = w.translate(str.maketrans(T.MARKED, T.PLAIN))
+        if w in self.stop:
+            return None
         return stem.stem(w, self.language) if self.stem else w
 
     def query(self, q: Query) -> Query:
-        every = lambda units: [tuple(self.word(w) for w in u) for u in units]
+        """The query in terms. Units of stop words alone go; in a phrase a stop word stands for any word."""
+        units = lambda us: [u for u in (tuple(self.word(w) for w in u) for u in us) if any(u)]
+        trim = lambda u: u[next(i for i, w in enumerate(u) if w) : len(u) - next(i for i, w in enumerate(reversed(u)) if w)]
+        every = lambda us: [trim(u) for u in units(us)]
         return Query(every(q.should), every(q.must), every(q.must_not))
 
 
+def deletions(term: Column, distance: int = 2) -> Column:
+    """The beginnings of a term with at most `distance` characters left out: two terms within that distance share one."""
+    head = F.left(term, F.lit(HEAD))
+    out = F.array(head)
+    step = out
+    for _ in range(distance):
+        less = lambda s: F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.concat(F.left(s, i - 1), F.substring(s, i + 1, F.lit(HEAD))))
+        step = F.array_distinct(F.flatten(F.transform(F.filter(step, lambda s: s != ""), less)))
+        out = F.array_union(out, step)
+    return out
+
+
+#: Characters of a term's beginning whose deletions are stored.
+HEAD = 7
+
+
 class Index:
-    """A stored inverted index: postings with positions, partitioned by term hash, document lengths, corpus statistics."""
+    """A stored inverted index.
+
+    Documents are sorted by length and cut into ranges of RANGE. A block holds the postings of a term in one range (with places)
+    and the largest contribution that any of them can make; blocks of a term lie in one part of the index, sorted. A search for
+    the k best reads the blocks' bounds first, then the blocks of the most promising ranges, and then only those ranges whose
+    bound is above the k-th score found. Ranges of documents of like length have bounds that differ. A second table holds the
+    deletions of all terms, for fuzzy queries."""
 
     #: Postings that a part holds on average, and parts at most.
     PART_ROWS, MOST = 1 << 24, 1 << 14
+    #: Documents of a range are 2 ** RANGE; ranges that a search reads first.
+    RANGE, FIRST = 6, 32
+    #: Largest edit distance of fuzzy queries.
+    DISTANCE = 2
+    #: Ranges up to which a filter names them.
+    NAMED = 10_000
+    #: Rounded scores differ by less.
+    SLACK = 2e-6
 
     def __init__(self, path: str, analyzer: Analyzer | None = None):
         self.path, self.analyzer = path, analyzer or Analyzer()
-
-    def build(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> Index:
-        """Replace what the folder holds. The number of parts follows from the words of all texts."""
-        words = docs.select(F.col(key).alias("key"), self.analyzer.tokens(F.col(text)).alias("t"))
-        corpus = words.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avgdl"), F.coalesce(F.sum(F.size("t")), F.lit(0)).alias("words"))
+        #: Blocks of the last top(): of the query's terms, and read.
+        self.blocks = self.read = 0
+
+    def build(self, docs: DataFrame, key: str | list[str] = "doc_id", text: str = "text", fuzzy: bool = True) -> Index:
+        """Replace what the folder holds. The number of parts follows from the words of all texts. Several key columns become a struct. fuzzy: with the deletions."""
+        own = F.col(key) if isinstance(key, str) else F.struct(*key)
+        words = docs.select(own.alias("key"), self.analyzer.tokens(F.col(text)).alias("t"))
+        words = words.withColumn("dl", F.size(F.filter("t", self.analyzer.kept)) if self.analyzer.stop else F.size("t"))
+        corpus = words.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), F.coalesce(F.sum("dl"), F.lit(0)).alias("words"))
         parts = F.least(F.greatest(F.ceil(F.col("words") / self.PART_ROWS), F.lit(4)), F.lit(self.MOST)).cast("int")
         corpus.select("n", "avgdl", parts.alias("parts")).write.mode("overwrite").parquet(f"{self.path}/corpus")
-        parts = docs.sparkSession.read.parquet(f"{self.path}/corpus").first().parts
-        post = self.analyzer.terms(words.select("key", F.size("t").alias("dl"), F.posexplode("t").alias("pos", "term")))
-        post = post.groupBy("term", "key", "dl").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
-        post = post.withColumn("part", F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int"))
-        post.repartition("part", F.pmod(F.xxhash64("key"), F.lit(8))).sortWithinPartitions("term").write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/postings")
+        spark = docs.sparkSession
+        stats = spark.read.parquet(f"{self.path}/corpus").first()
+        ranged = words.repartitionByRange("dl", "key").sortWithinPartitions("dl", "key").withColumn("range", F.shiftright(F.monotonically_increasing_id(), self.RANGE))
+        post = ranged.select("range", "key", "dl", F.posexplode("t").alias("pos", "term")).where(self.analyzer.kept(F.col("term")))
+        # one shuffle for both groupings; a frequent term is spread over its ranges
+        post = self.analyzer.terms(post).repartition("range", "term").groupBy("range", "term", "key", "dl").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+        tf = F.size("positions")
+        best = F.max(_weight(tf, F.col("dl"), F.lit(stats.avgdl)))
+        blocks = post.groupBy("range", "term").agg(F.count("*").alias("n"), F.sum(tf).alias("cf"), best.alias("best"), F.collect_list(F.struct("key", "dl", tf.alias("tf"), "positions")).alias("entries"))
+        blocks = blocks.withColumn("part", F.pmod(F.xxhash64("term"), F.lit(stats.parts)).cast("int"))
+        # parts of frequent terms are split, small ones put together
+        blocks.hint("rebalance", "part").sortWithinPartitions("part", "term", "range").write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/postings")
+        if fuzzy:
+            self._store_deletions(spark, stats.parts)
         return self
 
-    def postings(self, spark, terms: list[str]) -> DataFrame:
-        """The postings of some terms: only their parts are read."""
+    def _store_deletions(self, spark, parts: int) -> None:
+        gone = self.vocabulary(spark).select(F.explode(deletions(F.col("term"), self.DISTANCE)).alias("rest"), "term")
+        gone = gone.withColumn("part", F.pmod(F.xxhash64("rest"), F.lit(parts)).cast("int"))
+        gone.hint("rebalance", "part").sortWithinPartitions("part", "rest").write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/deletions")
+
+    def _parts(self, spark, words: list[str]) -> list[int]:
         parts = spark.read.parquet(f"{self.path}/corpus").first().parts
-        keys = spark.createDataFrame([(t,) for t in terms], "term string").select(F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int"))
-        own = sorted({r[0] for r in keys.collect()})
-        return spark.read.parquet(f"{self.path}/postings").where(F.col("part").isin(own) & F.col("term").isin(terms))
+        keys = spark.createDataFrame([(w,) for w in words], "word string").select(F.pmod(F.xxhash64("word"), F.lit(parts)).cast("int"))
+        return sorted({r[0] for r in keys.collect()})
+
+    def vocabulary(self, spark) -> DataFrame:
+        """term, df, cf, from the blocks' numbers."""
+        return spark.read.parquet(f"{self.path}/postings").groupBy("term").agg(F.sum("n").alias("df"), F.sum("cf").alias("cf"))
+
+    def expand(self, spark, words: list[str], distance: int) -> list[str]:
+        """Terms within an edit distance of each word, as fts.expand gives them, from the stored deletions of terms."""
+        distance, out = max(0, min(self.DISTANCE, distance)), []
+        words = [w.translate(str.maketrans(T.MARKED, T.PLAIN)) if self.analyzer.fold else w for w in dict.fromkeys(w.lower() for w in words)]
+        asked = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, word string").select("i", "word", F.explode(deletions(F.col("word"), distance)).alias("rest"))
+        asked = asked.collect()  # at most 29 deletions a word
+        rests = sorted({r.rest for r in asked})
+        if not rests:
+            return []
+        stored = spark.read.parquet(f"{self.path}/deletions").where(F.col("part").isin(self._parts(spark, rests)) & F.col("rest").isin(rests))
+        pairs = stored.select("rest", "term").join(F.broadcast(spark.createDataFrame(asked, "i int, word string, rest string")), "rest").select("i", "word", "term").distinct()
+        near = pairs.withColumn("d", F.levenshtein("term", "word", distance)).where("d >= 0")
+        from pyspark.sql import Window
+
+        best = near.withColumn("r", F.row_number().over(Window.partitionBy("i").orderBy("d", "term"))).where(F.col("r") <= EXPANSIONS)
+        for r in sorted(best.select("i", "r", "term").collect()):  # EXPANSIONS a word
+            out.append(r.term)
+        return list(dict.fromkeys(out))
+
+    def _blocks(self, spark, terms: list[str]) -> DataFrame:
+        """The blocks of some terms: only their parts are read, and of these the columns that are asked for."""
+        return spark.read.parquet(f"{self.path}/postings").where(F.col("part").isin(self._parts(spark, terms)) & F.col("term").isin(terms))
 
-    def match(self, spark, query: Query | list[str]) -> DataFrame:
-        """key, _score of the documents that match; phrases by stored positions. A query of excluded words alone is an error."""
+    def postings(self, spark, terms: list[str]) -> DataFrame:
+        """term, key, dl, tf, positions of some terms."""
+        return self._blocks(spark, terms).select("term", F.inline("entries"))
+
+    def _asked(self, query: Query | list[str]) -> tuple[Query, list, list]:
         if isinstance(query, list):
             query = Query(should=[(t,) for t in dict.fromkeys(query)])
         query = self.analyzer.query(query)
         scored = query.scored()
         if not scored:
             raise ValueError("a query needs a word that it looks for")
-        every = list(dict.fromkeys(scored + query.must_not))
-        post = self.postings(spark, sorted({w for u in every for w in u}))
+        return query, scored, list(dict.fromkeys(scored + query.must_not))
+
+    def match(self, spark, query: Query | list[str]) -> DataFrame:
+        """key, _score of all documents that match; phrases by stored positions. A query of excluded words alone is an error."""
+        query, scored, every = self._asked(query)
+        post = self.postings(spark, sorted({w for u in every for w in u if w}))
         found = None
         for i, unit in enumerate(every):
             rows = post.where(F.col("term") == unit[0]).select("key", "dl", "positions")
             for k, w in enumerate(unit[1:], 1):
-                at = post.where(F.col("term") == w).select("key", F.expr(f"transform(positions, p -> p - {k})").alias("after"))
-                rows = rows.join(at, "key").select("key", "dl", F.array_intersect("positions", "after").alias("positions"))
+                if w:  # a stop word within a phrase is any word
+                    at = post.where(F.col("term") == w).select("key", F.expr(f"transform(positions, p -> p - {k})").alias("after"))
+                    rows = rows.join(at, "key").select("key", "dl", F.array_intersect("positions", "after").alias("positions"))
             rows = rows.select("key", "dl", F.lit(i).alias("unit"), F.size("positions").alias("tf")).where("tf > 0")
             found = rows if found is None else found.unionAll(rows)
         df = found.groupBy("unit").agg(F.count("*").alias("df"))
         stats = F.broadcast(spark.read.parquet(f"{self.path}/corpus").select("n", "avgdl"))  # one row
         w = _idf(F.col("n"), F.col("df")) * _weight(F.col("tf"), F.col("dl"), F.col("avgdl"))
         weighed = found.join(F.broadcast(df), "unit").join(stats)  # df: a row a query unit
+        return self._scored(weighed.withColumn("w", w), query, scored, every)
+
+    @staticmethod
+    def _scored(weighed: DataFrame, query: Query, scored: list, every: list) -> DataFrame:
+        """key, _score from rows (key, unit, w), for keys with all required units and none of the excluded ones."""
         good = F.col("unit").isin([every.index(u) for u in scored])
         has = lambda u: F.bool_or(F.col("unit") == every.index(u))
-        out = weighed.groupBy("key").agg(F.sum(F.when(good, w)).alias("_score"), *(has(u).alias(f"must{i}") for i, u in enumerate(query.must)), *(has(u).alias(f"not{i}") for i, u in enumerate(query.must_not)))
+        out = weighed.groupBy("key").agg(F.sum(F.when(good, F.col("w"))).alias("_score"), *(has(u).alias(f"must{i}") for i, u in enumerate(query.must)), *(has(u).alias(f"not{i}") for i, u in enumerate(query.must_not)))
         keep = F.col("_score").isNotNull()
         for i in range(len(query.must)):
             keep = keep & F.col(f"must{i}")
         for i in range(len(query.must_not)):
             keep = keep & ~F.col(f"not{i}")
         return out.where(keep).select("key", "_score")
+
+    def top(self, spark, query: Query | list[str], k: int) -> DataFrame:
+        """key, _score of the k best, by score (six decimals) and key. Queries of words skip blocks that cannot be among them; phrases read all."""
+        ranked = lambda df: df.orderBy(F.desc(F.round("_score", 6)), "key").limit(k)
+        asked, scored, every = self._asked(query)
+        if any(len(u) > 1 for u in every):
+            self.blocks = self.read = -1
+            return ranked(self.match(spark, query))
+        terms = [u[0] for u in every]
+        blocks = self._blocks(spark, terms)
+        stats = spark.read.parquet(f"{self.path}/corpus").first()
+        df = {r.term: r.df for r in blocks.groupBy("term").agg(F.sum("n").alias("df")).collect()}  # a row a query term
+        self.blocks = self.read = 0
+        if not df:
+            return self._scored(self.postings(spark, terms).select("key", F.lit(0).alias("unit"), F.lit(0.0).alias("w")).limit(0), asked, scored, every)
+        idf = F.create_map(*(F.lit(x) for t, n in df.items() for x in (t, math.log(1 + (stats.n - n + 0.5) / (n + 0.5)))))
+        unit = F.create_map(*(F.lit(x) for i, t in enumerate(terms) for x in (t, i)))
+        wanted = F.col("term").isin([u[0] for u in scored])
+        # what a document of a range can reach at most; ranges without a required term cannot hold a match
+        bounds = blocks.groupBy("range").agg(F.sum(F.when(wanted, idf[F.col("term")] * F.col("best"))).alias("most"), F.count("*").alias("blocks"), *(F.bool_or(F.col("term") == u[0]).alias(f"must{i}") for i, u in enumerate(asked.must)))
+        bounds = bounds.where("most is not null")
+        for i in range(len(asked.must)):
+            bounds = bounds.where(F.col(f"must{i}"))
+
+        def scores(ranges: list[int] | DataFrame) -> DataFrame:
+            few = blocks.where(F.col("range").isin(ranges)) if isinstance(ranges, list) else blocks.join(ranges, "range", "left_semi")
+            rows = few.select("term", F.inline(F.transform("entries", lambda e: F.struct(e.key.alias("key"), e.dl.alias("dl"), e.tf.alias("tf")))))
+            w = idf[F.col("term")] * _weight(F.col("tf"), F.col("dl"), F.lit(stats.avgdl))
+            return self._scored(rows.select("key", unit[F.col("term")].alias("unit"), w.alias("w")), asked, scored, every)
+
+        first = bounds.orderBy(F.desc("most"), "range").limit(max(self.FIRST, -(-k // (1 << self.RANGE)))).collect()
+        own = [r["range"] for r in first]
+        head = [(r.key, r._score) for r in ranked(scores(own)).collect()]  # k rows
+        edge = head[-1][1] - self.SLACK if len(head) >= k else -math.inf
+        rest = bounds.where((F.col("most") >= edge) & ~F.col("range").isin(own)).select("range", "blocks")
+        n, more = rest.agg(F.count("*"), F.coalesce(F.sum("blocks"), F.lit(0))).first()
+        total = blocks.count()
+        self.blocks, self.read = total, sum(r.blocks for r in first) + more
+        if not n:
+            return ranked(scores(own))
+        names = sorted(r[0] for r in rest.select("range").collect()) if n <= self.NAMED else rest.select("range")
+        return ranked(scores(own).unionAll(scores(names)))

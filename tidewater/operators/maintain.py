@@ -18,6 +18,17 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def fresh(taken: list[str], *stems: str) -> list[str]:
+    """A name for each stem that no column of a table has, whatever its case."""
+    have, out = {t.lower() for t in taken}, []
+    for stem in stems:
+        while stem.lower() in have:
+            stem += "_"
+        have.add(stem.lower())
+        out.append(stem)
+    return out
+
+
 def missing(df: DataFrame, have: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose key is not there yet; repeats stay."""
     return df.join(have.select(*keys), keys, "left_anti")
@@ -25,9 +36,10 @@ def missing(df: DataFrame, have: DataFrame, keys: list[str]) -> DataFrame:
 
 def merge(table: DataFrame, updates: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """Update-only merge: rows with an update take its columns, updates without a row are ignored. Of updates of one key the largest counts."""
-    new = updates.groupBy(*keys).agg(F.max(F.struct(*columns)).alias("__new"))
-    out = table.join(new, keys, "left")
-    taken = lambda c: F.when(F.col("__new").isNotNull(), F.col(f"__new.{c}")).otherwise(F.col(c)).alias(c)
+    (new,) = fresh(table.columns, "new")
+    best = updates.groupBy(*keys).agg(F.max(F.struct(*columns)).alias(new))
+    out = table.join(best, keys, "left")
+    taken = lambda c: F.when(F.col(new).isNotNull(), F.col(f"{new}.{c}")).otherwise(F.col(c)).alias(c)
     return out.select(*(taken(c) if c in columns else F.col(c) for c in table.columns))
 
 
@@ -37,12 +49,19 @@ def backfill(table: DataFrame, keys: list[str], column: str, make, only_null: bo
     return merge(table, make(todo), keys, [column])
 
 
-def resolve(df: DataFrame, listing: DataFrame, path: str = "audio_path", name: str = "name") -> tuple[DataFrame, DataFrame]:
-    """(rows with their source, counts of found and missing rows). Of files with one name in several folders the smallest path counts."""
-    from tidewater.functions import media
+def resolve(df: DataFrame, listing: DataFrame, root: str | None = None, path: str = "audio_path", file: str = "path") -> tuple[DataFrame, DataFrame]:
+    """(rows with their `source`, counts of found and missing rows). listing: a row a file that is there.
 
-    src = listing.groupBy(F.col(name).alias("__name")).agg(F.min("path").alias("source"))
-    out = df.withColumn("__base", media.basename(F.col(path))).join(src, F.col("__base") == F.col("__name"), "left").drop("__base", "__name")
+    A row's file is the one at its path as it is, or at root/path where the path is relative and a root is given. Schemes
+    (file:), doubled slashes and single dots do not matter. Files of the same name elsewhere are not it."""
+    own, key, src = fresh([*df.columns, *listing.columns, "source"], "own", "key", "src")
+    plain = lambda c: F.regexp_replace(F.regexp_replace(c, "^file:/*", "/"), "(?:/[.]?(?=/))+", "")
+    wanted = F.col(path)
+    if root is not None:
+        wanted = F.when(F.startswith(wanted, F.lit("/")), wanted).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), wanted))
+    files = listing.groupBy(plain(F.col(file)).alias(key)).agg(F.min(file).alias(src))
+    out = df.withColumn(own, plain(wanted)).join(files, F.col(own) == F.col(key), "left")
+    out = out.withColumn("source", F.col(src)).drop(own, key, src)
     counts = out.agg(F.count_if(F.col("source").isNotNull()).alias("found"), F.count_if(F.col("source").isNull()).alias("missing"))
     return out.where("source is not null"), counts
 
@@ -51,6 +70,16 @@ def status_histogram(df: DataFrame, status: str, key: str) -> DataFrame:
     return df.groupBy(status).agg(F.count("*").alias("n"), F.min(key).alias("first_key"))
 
 
+def status_keys(df: DataFrame, status: str, key: str, first: int) -> DataFrame:
+    """status, n, keys: rows by status with their smallest keys in order, `first` of them at most. Tasks cut their lists before the shuffle (Spark limits window groups where they arise)."""
+    (place,) = fresh([status, key], "place")
+    rows = df.select(status, key)
+    few = rows.withColumn(place, F.row_number().over(Window.partitionBy(status).orderBy(key))).where(F.col(place) <= first)
+    keys = few.groupBy(status).agg(F.sort_array(F.collect_list(key)).alias("keys"))
+    counts = rows.groupBy(status).agg(F.count("*").alias("n"))
+    return counts.join(keys.withColumnRenamed(status, place), F.col(status).eqNullSafe(F.col(place)), "left").select(status, "n", "keys")
+
+
 def outcome(df: DataFrame, status: str, key: str, error: str, first: int = 5) -> DataFrame:
     """status, n, failures: rows by status, and for failed ones the first few keys (by key) with their errors."""
     few = df.where(F.col(status) == "failed").orderBy(key).limit(first).agg(F.array_sort(F.collect_list(F.struct(F.col(key).cast("string").alias("key"), F.col(error).alias("error")))).alias("failures"))
@@ -74,16 +103,17 @@ def vote(df: DataFrame, item: list[str], label: str, probability: str, order: st
 def shard(df: DataFrame, name: list[Column], n: int) -> DataFrame:
     """Round-robin shard numbers over sorted names: rows are sorted in ranges, whose sizes give each range's first number."""
     spark, folder = df.sparkSession, work_folder(df.sparkSession, "ranges")
-    order = Window.partitionBy("__range").orderBy(*name)
-    df.repartitionByRange(*name).withColumn("__range", F.spark_partition_id()).write.parquet(folder)  # stored: ranges are the same whenever they are read
+    part, start = fresh(df.columns, "range", "start")
+    order = Window.partitionBy(part).orderBy(*name)
+    df.repartitionByRange(*name).withColumn(part, F.spark_partition_id()).write.parquet(folder)  # stored: ranges are the same whenever they are read
     ranges = spark.read.parquet(folder)
-    sizes = sorted((r["__range"], r["count"]) for r in ranges.groupBy("__range").count().collect())  # a row a range
+    sizes = sorted(tuple(r) for r in ranges.groupBy(part).agg(F.count("*")).collect())  # a row a range
     starts, at = [], 0
     for k, size in sizes:
         starts.append((k, at))
         at += size
-    placed = ranges.join(F.broadcast(spark.createDataFrame(starts, "__range int, __start long")), "__range")
-    return placed.withColumn("shard", ((F.row_number().over(order) - 1 + F.col("__start")) % n).cast("int")).drop("__range", "__start")
+    placed = ranges.join(F.broadcast(spark.createDataFrame(starts, f"`{part}` int, `{start}` long")), part)
+    return placed.withColumn("shard", ((F.row_number().over(order) - 1 + F.col(start)) % n).cast("int")).drop(part, start)
 
 
 def compact(spark: SparkSession, source: str, target: str, rows: int = 1 << 20) -> dict[str, int]:

@@ -58,8 +58,12 @@ def mode_of(keyword: bool, meaning: bool, image: bool) -> str:
 class Engine:
     """Searches over chunks with text, and vectors of text and frames on the same keys."""
 
-    def __init__(self, chunks: DataFrame, keys: list[str], text_vectors: DataFrame | None = None, frame_vectors: DataFrame | None = None, fusion_keys: list[str] | None = None, scorer=None):
-        self.chunks, self.keys, self.text_vectors, self.frame_vectors = chunks, keys, text_vectors, frame_vectors
+    def __init__(
+        self, chunks: DataFrame, keys: list[str], text_vectors: DataFrame | None = None, frame_vectors: DataFrame | None = None,
+        fusion_keys: list[str] | None = None, scorer=None, index: fts.Index | None = None,
+    ):
+        """index: a stored index of the chunks by the same keys; with it no search reads all texts, and its analyzer decides on folding, stems and stop words."""
+        self.chunks, self.keys, self.text_vectors, self.frame_vectors, self.index = chunks, keys, text_vectors, frame_vectors, index
         #: Keys that hits are fused by; the default leaves out speech_id, so that equal chunk numbers of a document's speeches meet.
         self.fusion_keys = fusion_keys or [k for k in keys if k != "speech_id"]
         self.scorer = scorer
@@ -69,10 +73,18 @@ class Engine:
         if phrase and spec.phrase:
             return fts.Query(should=[tuple(w.lower() for w in spec.q.split())])
         if fuzzy and spec.fuzziness:
-            terms = fts.expand(fts.vocabulary(self.chunks), terms, spec.fuzziness)
+            terms = self.index.expand(self.chunks.sparkSession, terms, spec.fuzziness) if self.index else fts.expand(fts.vocabulary(self.chunks), terms, spec.fuzziness)
         return fts.Query(should=[(t,) for t in dict.fromkeys(terms)])
 
     def _fts(self, spec: Spec, k: int, phrase: bool = True, fuzzy: bool = True) -> DataFrame:
+        if self.index:
+            wanted = self._terms(spec, phrase, fuzzy)
+            if not any(any(u) for u in self.index.analyzer.query(wanted).scored()):
+                return self.chunks.limit(0).withColumn("_score", F.lit(None).cast("double"))
+            found = self.index.top(self.chunks.sparkSession, wanted, k)
+            own = found.select(*(F.col("key") if len(self.keys) == 1 else F.col(f"key.{c}") for c in self.keys), "_score").toDF(*self.keys, "_score")
+            out = self.chunks.join(F.broadcast(own), self.keys)  # k rows
+            return out if spec.filter is None else out.where(spec.filter)
         return fts.search(self.chunks, self._terms(spec, phrase, fuzzy), k, self.keys, where=spec.filter)
 
     def _near(self, vectors: DataFrame, query: list[float] | None, k: int, condition: Column | None) -> DataFrame:

@@ -2,24 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.operators import ingest
+from tidewater.operators import ingest, maintain, tables
+from tidewater.operators.commits import path_of as _files
 from tidewater.sources import sinks
 
 KEYS = ["doc_id", "speech_id", "chunk_id"]
 
 
-def _files(spark: SparkSession, path: str):
-    """(file system, path) of the JVM."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), p
-
-
 @dataclass
 class Store:
     """Tables by name. frame() reads one."""
@@ -29,7 +23,7 @@ class Store:
     names: list[str] = field(default_factory=list)
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}")
+        return tables.read(self.spark, f"{self.path}/{name}")
 
     def health(self, pings: dict | None = None) -> DataFrame:
         """name, n_rows, ok: a row a table, and one a service (n_rows null); a ping is a function that raises or returns falsely when its service is down."""
@@ -75,7 +69,7 @@ def ingest_many(
 
 def add_column(spark: SparkSession, path: str, name: str, make) -> bool:
     """Rewrite a table with one more column, which `make` (a function of the frame) gives or which is an expression. False, and nothing done, if it is there."""
-    df = spark.read.parquet(path)
+    df = tables.read(spark, path)
     if name in df.columns:
         return False
     replace_table(df.withColumn(name, make) if isinstance(make, Column) else make(df), path)
@@ -84,7 +78,7 @@ def add_column(spark: SparkSession, path: str, name: str, make) -> bool:
 
 def drop_columns(spark: SparkSession, path: str, names: list[str]) -> list[str]:
     """Rewrite a table without columns that nothing reads any more. Those that were there."""
-    df = spark.read.parquet(path)
+    df = tables.read(spark, path)
     dead = [n for n in names if n in df.columns]
     if dead:
         replace_table(df.drop(*dead), path)
@@ -92,27 +86,25 @@ def drop_columns(spark: SparkSession, path: str, names: list[str]) -> list[str]:
 
 
 def replace_table(df: DataFrame, path: str, rows: int | None = None) -> None:
-    """Write df beside a table and put it in the table's place by renaming: df may read the table, and a reader sees the old one or the new one."""
-    spark = df.sparkSession
-    side = f"{path.rstrip('/')}.new-{uuid.uuid4().hex[:8]}"
-    (df.repartition(max(1, -(-df.count() // rows))) if rows else df).write.parquet(side)
-    system, at = _files(spark, path)
-    old, new = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (f"{path.rstrip('/')}.old-{uuid.uuid4().hex[:8]}", side))
-    if system.exists(at) and not system.rename(at, old):
-        raise OSError(f"{path} cannot be moved")
-    if not system.rename(new, at):
-        system.rename(old, at)
-        raise OSError(f"{side} cannot be moved")
-    system.delete(old, True)
-    spark.catalog.refreshByPath(path)
+    """Put df, which may read the table, in the place of all rows of a table.
+
+    The new files count from the moment at which one entry of the table's log names them; a run that is lost before leaves the
+    old table. Readers that go by the log (tables.read, Store.table) see the old table or the new one. The old files go
+    afterwards; those of a run that is lost before that are left to the table's vacuum()."""
+    table = tables.Table(df.sparkSession, path, indexed=[])
+    table._adopt()
+    old = table.files()
+    table.replace(df.repartition(max(1, -(-df.count() // rows))) if rows else df)
+    table.discard(old)
+    df.sparkSession.catalog.refreshByPath(path)
 
 
 def compact(spark: SparkSession, path: str, rows: int = 1 << 20, indexes: dict | None = None) -> dict:
     """Rewrite a table in place into files of about `rows` rows. Then rebuild indexes: column -> function of the frame, only where the column has no nulls."""
-    before = spark.read.parquet(path)
+    before = tables.read(spark, path)
     counts = {"rows": before.count(), "files_before": len(before.inputFiles())}
     replace_table(before, path, rows)
-    now = spark.read.parquet(path)
+    now = tables.read(spark, path)
     counts |= {"files_after": len(now.inputFiles()), "rebuilt": [], "skipped": []}
     for column, build in sorted((indexes or {}).items()):
         if column in now.columns and now.where(F.col(column).isNull()).isEmpty():
@@ -123,22 +115,49 @@ def compact(spark: SparkSession, path: str, rows: int = 1 << 20, indexes: dict |
     return counts
 
 
-def run_job(todo: DataFrame, make, path: str, keys: list[str], payload: str, batch: int = 2000) -> DataFrame:
-    """A resumable job: rows whose key the table at `path` has not are given to `make` (a function of frames: keys and results), empty results are dropped, the rest appended.
+def run_job(todo: DataFrame, make, path: str, keys: list[str], payload: str, batch: int = 2000, everything: bool = False) -> DataFrame:
+    """A resumable job: rows whose key the table at `path` has not are given to `make` (a function of frames: keys and results), empty results are dropped, the rest appended in one commit.
 
-    status, n: ok, failed and skipped rows. At most `batch` rows a file."""
+    everything: rows whose key is there are worked again and appended as well. status, n: ok, failed and skipped rows. At most `batch` rows a file."""
     spark = todo.sparkSession
-    system, at = _files(spark, path)
-    have = spark.read.parquet(path).select(*keys) if system.exists(at) else todo.select(*keys).limit(0)
-    rest = todo.join(have, keys, "left_anti")
-    skipped = todo.join(have, keys, "left_semi").count()
+    table = tables.Table(spark, path, [] if everything else keys, indexed=keys[:1])
+    table._adopt()
+    rest, skipped = todo, 0
+    if not everything and table.files():
+        have = table.frame().select(*keys)
+        rest, skipped = todo.join(have, keys, "left_anti"), todo.join(have, keys, "left_semi").count()
     made = make(rest)
-    side = f"{path.rstrip('/')}.job-{uuid.uuid4().hex[:8]}"
+    side = maintain.work_folder(spark, "job")
     made.write.parquet(side)
-    made = spark.read.parquet(side)
+    made = spark.read.schema(made.schema).parquet(side)
     good = made.where(F.coalesce(F.octet_length(payload), F.lit(0)) > 0)
     n, ok = made.count(), good.count()
     if ok:
-        sinks.append(good, path, keys, batch)
-    system.delete(spark._jvm.org.apache.hadoop.fs.Path(side), True)
+        table.append(good, rows_per_file=batch)
+    system, at = _files(spark, side)
+    system.delete(at, True)
     return spark.createDataFrame([("failed", n - ok), ("ok", ok), ("skipped", skipped)], "status string, n long")
+
+
+def frame_job(
+    chunks: DataFrame, listing: DataFrame, make, path: str, root: str | None = None, keys: list[str] | None = None,
+    payload: str = "frame_blob", everything: bool = False, limit: int = 0, batch: int = 2000,
+) -> DataFrame:
+    """One picture a chunk: chunks without one (all with `everything`; the first `limit` by key for a trial) get their source resolved
+    against root, `make` (frame of keys, start, source -> keys, payload ...) extracts, and what it gives is appended.
+
+    status, n: ok, failed, missing (no source) and skipped (there already) rows."""
+    spark, keys = chunks.sparkSession, keys or KEYS
+    table = tables.Table(spark, path, keys)
+    table._adopt()
+    rows, skipped = chunks.select(*keys, "audio_path", "start"), 0
+    if not everything and table.files():
+        n = rows.count()
+        rows = table.missing(rows)
+        skipped = n - rows.count()
+    if limit > 0:
+        rows = rows.orderBy(*keys).limit(limit)
+    found, counts = maintain.resolve(rows, listing, root)
+    gone = counts.first().missing
+    done = {r.status: r.n for r in run_job(found, make, path, keys, payload, batch, everything).collect()}
+    return spark.createDataFrame([("failed", done["failed"]), ("missing", gone), ("ok", done["ok"]), ("skipped", skipped)], "status string, n long")

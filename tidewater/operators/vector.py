@@ -30,28 +30,44 @@ def knn(vectors: DataFrame, query: list[float] | None, k: int, keys: list[str],
 QUERIES = 1024
 
 
-def query_blocks(queries: DataFrame, size: int = QUERIES):
-    """(ids, unit vectors) of the queries (query_id, query) in blocks by hash, each about `size` rows, one on the driver at a time."""
+def unit(x):
+    """Rows scaled to length one; zero rows stay."""
     import numpy as np
 
-    parts = max(1, -(-queries.count() // size))
-    for p in range(parts):
-        rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == p).where("query is not null").select(F.col("query_id").cast("long"), "query").collect()
-        if rows:
-            q = np.array([r[1] for r in rows], float)
-            yield np.array([r[0] for r in rows]), q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
 
-def stored_blocks(queries: DataFrame, size: int | None = None) -> list[str]:
-    """The blocks of queries as files in the shared folder, which tasks read one after another: neither the driver nor a plan holds all."""
+def stored_blocks(queries: DataFrame, size: int = QUERIES) -> list[str]:
+    """The queries (query_id, query) as unit vectors in files of at most `size` in the shared folder, written by tasks: only the files' names come to the driver."""
     from tidewater.operators.maintain import work_folder
+    from tidewater.session import ready
     from tidewater.sources import files
 
-    folder, paths = work_folder(queries.sparkSession, "queries"), []
-    for ids, q in query_blocks(queries, *([size] if size else [])):
-        paths.append(f"{folder}/{len(paths):06d}.npz")
-        files.put_arrays(paths[-1], ids=ids, q=q)
-    return paths
+    folder = work_folder(queries.sparkSession, "queries")
+
+    def run(batches):
+        import uuid
+
+        import numpy as np
+        import pyarrow as pa
+
+        ids, q = np.empty(0, np.int64), None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            more = unit(matrix(b.column(1)))
+            ids, q = np.concatenate([ids, b.column(0).to_numpy(zero_copy_only=False)]), more if q is None else np.concatenate([q, more])
+            while len(ids) >= size:
+                files.put_arrays(path := f"{folder}/{uuid.uuid4().hex}.npz", ids=ids[:size], q=q[:size])
+                ids, q = ids[size:], q[size:]
+                yield pa.RecordBatch.from_arrays([pa.array([path])], names=["path"])
+        if len(ids):
+            files.put_arrays(path := f"{folder}/{uuid.uuid4().hex}.npz", ids=ids, q=q)
+            yield pa.RecordBatch.from_arrays([pa.array([path])], names=["path"])
+
+    rows = ready(queries).where("query is not null").select(F.col("query_id").cast("long").alias("query_id"), "query")
+    dealt = rows.repartition(max(1, -(-rows.count() // size)), "query_id")
+    return sorted(r.path for r in dealt.mapInArrow(run, "path string").collect())
 
 
 def each_block(paths: list[str]):
@@ -96,10 +112,42 @@ def matrix(column):
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
+#: Bytes of vectors that a task holds while it reads the blocks of queries; rows that are compared at a time.
+HELD, ROWS = 1 << 28, 8192
+
+
+def held(batches, limit: int = HELD):
+    """Lists of (keys, rows of vectors) of Arrow batches (key, list of numbers), each list of about `limit` bytes."""
+    out, size = [], 0
+    for b in batches:
+        for a in range(0, b.num_rows, ROWS):
+            part = b.slice(a, ROWS)
+            keys, flat = part.column(0).to_numpy(zero_copy_only=False), part.column(1).flatten().to_numpy(zero_copy_only=False)
+            out.append((keys, flat.reshape(len(keys), -1)))
+            size += flat.nbytes + keys.nbytes
+            if size >= limit:
+                yield out
+                out, size = [], 0
+    if out:
+        yield out
+
+
+def keep_best(parts: list, k: int):
+    """(query, key, distance) arrays with the k nearest of each query, from several such triples."""
+    import numpy as np
+
+    q, key, d = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((key, d, q))
+    q, key, d = q[order], key[order], d[order]
+    place = np.arange(len(q)) - np.searchsorted(q, q)
+    return q[place < k], key[place < k], d[place < k]
+
+
 def batch_knn(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", column: str = "embedding") -> DataFrame:
     """query_id, key, _distance, rank: the k nearest rows of each query (query_id, query), exactly. Integer keys.
 
-    Tasks read the queries in blocks from the shared folder, and keep their k best a query before anything is shuffled. No query: no rows."""
+    A task holds its vectors (HELD bytes at a time) and reads the blocks of queries once for them; it keeps the k best of each
+    query as it goes, so that the shuffle gets k rows a query and task. No query: no rows."""
     from tidewater.session import ready
 
     rows = ready(vectors).where(F.col(column).isNotNull()).select(F.col(key).cast("long").alias(key), column)
@@ -109,16 +157,15 @@ def batch_knn(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id
         import numpy as np
         import pyarrow as pa
 
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x = matrix(b.column(1))
-            x = x / np.maximum(np.linalg.norm(x, axis=1), 1e-300)[:, None]
-            keep = b.column(0).to_numpy(zero_copy_only=False)
+        for chunks in held(batches):
             for ids, q in blocks():
-                d = np.round(1 - x @ q.T, 5) + 0.0
-                j, i = nearest_of(d, keep, k)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[j]), pa.array(keep[i]), pa.array(d[i, j])], names=["query_id", key, "_distance"])
+                best = None
+                for keys, x in chunks:
+                    d = np.round(1 - unit(x.astype(float)) @ q.T, 5) + 0.0
+                    j, i = nearest_of(d, keys, k)
+                    new = (j, keys[i], d[i, j])
+                    best = new if best is None else keep_best([best, new], k)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[best[0]]), pa.array(best[1]), pa.array(best[2])], names=["query_id", key, "_distance"])
 
     return ranked_nearest(rows.mapInArrow(run, f"query_id long, {key} long, _distance double"), k, key)
 

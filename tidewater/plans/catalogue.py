@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions import lookup, media
 from tidewater.functions import text as T
-from tidewater.operators import embed, fts, fusion, hits, ingest, intervals, maintain, quantise, search, store, vector
+from tidewater.operators import embed, fts, fusion, hits, ingest, intervals, maintain, quantise, search, store, tables, vector
 from tidewater.streaming import windows
 
 TERMS = ["the", "thans", "other"]
@@ -448,11 +448,20 @@ def merge_backfill(spark, sf_dir):
     return maintain.merge(d, new, ["doc_id"], ["n_chars"])
 
 
-@_query("source_resolve_missing", "select count(*) filter (quality is not null)::bigint as found, count(*) filter (quality is null)::bigint as missing from documents left join labels using (doc_id)")
+@_query(
+    "source_resolve_missing",
+    """with d as (select doc_id, source, doc_id % 3 = 0 as absolute, '/media/in/' || source || '/' || doc_id || '.mp4' as there from documents), f as (select there from d where doc_id % 4 <> 1 and doc_id in (select doc_id from labels))
+select count(f.there)::bigint as found, (count(*) - count(f.there))::bigint as missing from d left join f using (there)""",
+)
 def source_resolve_missing(spark, sf_dir):
-    files = table(spark, sf_dir, "labels").select(F.concat(F.col("doc_id").cast("string"), F.lit(".mp4")).alias("name"), F.concat(F.lit("/media/"), F.col("doc_id").cast("string")).alias("path"))
-    docs = documents(spark, sf_dir).select(F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".mp4")).alias("audio_path"))
-    return maintain.resolve(docs, files)[1]
+    """Relative paths against a root and absolute ones; files of the same name in another folder are not found."""
+    name = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".mp4"))
+    docs = documents(spark, sf_dir).select("doc_id", name.alias("name"))
+    there = docs.join(table(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id")
+    folder = F.when(F.col("doc_id") % 4 == 1, "/other/in/").otherwise("/media/in/")
+    files = there.select(F.concat(F.lit("file://"), folder, "name").alias("path"))
+    asked = docs.select(F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("/media/in/"), "name")).otherwise(F.concat(F.lit("./"), "name")).alias("audio_path"))
+    return maintain.resolve(asked, files, "/media/in")[1]
 
 
 @_query(
@@ -531,15 +540,17 @@ def duration_fmt(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", T.duration(F.col("n_chars") / 3).alias("code"))
 
 
-_BYTES = "case when n < 1024 then n::bigint || ' B' when n < 1048576 then printf('%.1f kB', n / 1024) when n < 1073741824 then printf('%.1f MB', n / 1048576) else printf('%.1f GB', n / 1073741824) end"
+# whole numbers only: tenths of a unit, rounded half up
+_TENTHS = "((n * 20 + {u}) // {u2} // 10)::bigint || '.' || ((n * 20 + {u}) // {u2} % 10)::bigint || ' {name}'"
+_BYTES = "case when n < 1024 then n || ' B' " + " ".join(f"when n < {u * 1024} then {_TENTHS.format(u=u, u2=2 * u, name=name)}" for u, name in ((1024, "kB"), (1024**2, "MB"))) + f" else {_TENTHS.format(u=1024**3, u2=2 * 1024**3, name='GB')} end"
 
 
-@_query("bytes_fmt", f"select doc_id, {_BYTES} as code from (select doc_id, n_chars as n from documents)")
+@_query("bytes_fmt", f"select doc_id, {_BYTES} as code from (select doc_id, n_chars::bigint as n from documents)")
 def bytes_fmt(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", T.bytes_fmt(F.col("n_chars")).alias("code"))
 
 
-@_query("bytes_scales", f"select doc_id, {_BYTES} as code from (select doc_id, n_chars * 1024 ** (doc_id % 3) as n from documents)")
+@_query("bytes_scales", f"select doc_id, {_BYTES} as code from (select doc_id, n_chars::bigint * (case doc_id % 3 when 0 then 1 when 1 then 1024 else 1048576 end)::bigint as n from documents)")
 def bytes_scales(spark, sf_dir):
     """Sizes of every scale: a third of the documents each counted in bytes, kB and MB."""
     scale = F.element_at(F.array(*(F.lit(1024**k).cast("long") for k in range(3))), (F.col("doc_id") % 3 + 1).cast("int"))
@@ -760,11 +771,11 @@ def compact_swap(spark, sf_dir):
     path = maintain.work_folder(spark, "store") + "/documents"
     documents(spark, sf_dir).select("doc_id", "n_chars").repartition(7).write.parquet(path)
     counts = store.compact(spark, path, 1 << 20)
-    return spark.read.parquet(path).agg(F.count("*").alias("n_rows"), F.countDistinct("doc_id").alias("n_docs"), F.sum("n_chars").alias("chars")).withColumn("files", F.lit(counts["files_after"]))
+    return tables.read(spark, path).agg(F.count("*").alias("n_rows"), F.countDistinct("doc_id").alias("n_docs"), F.sum("n_chars").alias("chars")).withColumn("files", F.lit(counts["files_after"]))
 
 
 def _index(spark, sf_dir):
-    return fts.Index(maintain.work_folder(spark, "index")).build(documents(spark, sf_dir))
+    return fts.Index(maintain.work_folder(spark, "index")).build(documents(spark, sf_dir), fuzzy=False)
 
 
 @_query("fts_index_match", f"with {_bm25(TERMS)} select doc_id, round(s, 6) as _score from scored order by 2 desc, 1 limit 20")
@@ -818,7 +829,7 @@ def stream_append_dedup(spark, sf_dir):
         stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true")
         stream = stream.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type")
         sinks.append_stream(stream, f"{root}/table", f"{root}/checkpoint-{turn}", ["event_id"]).awaitTermination()
-    return spark.read.parquet(f"{root}/table").groupBy("event_type").agg(F.count("*").alias("n"))
+    return tables.read(spark, f"{root}/table").groupBy("event_type").agg(F.count("*").alias("n"))
 
 
 @_query(
@@ -834,6 +845,9 @@ def point_in_interval(spark, sf_dir):
     return intervals.points(p, s, ["user_id"], "t", "start", "end", seconds=600).groupBy("doc_id").agg(F.max("event_id").alias("event_id"))
 
 
+from tidewater.plans import upkeep  # noqa: E402, F401  its queries are registered here
+
+
 def queries() -> dict:
     return dict(_Q)
 

@@ -15,6 +15,12 @@ def append(df: DataFrame, path: str, keys: list[str] | None = None, rows_per_fil
 
     prune: of the stored table only the row groups that meet df's range of the first key are read; df is worked once more for it."""
     spark = df.sparkSession
+    from tidewater.operators import tables
+
+    table = tables.Table(spark, path, keys)
+    if table.log.entries():  # a table of listed files: one commit
+        table.append(df, rows_per_file=rows_per_file)
+        return
     if keys:
         try:
             have = spark.read.parquet(path).select(*keys)
@@ -34,6 +40,12 @@ def append(df: DataFrame, path: str, keys: list[str] | None = None, rows_per_fil
     writer.parquet(path)
 
 
+def pretty_json(df: DataFrame, drop: tuple[str, ...] = ()) -> DataFrame:
+    """As json_lines(), each text over several lines with two spaces a level."""
+    cols = [c for c in df.columns if c not in drop]
+    return df.select(F.to_json(F.struct(*cols), {"ignoreNullFields": "false", "pretty": "true"}).alias("json"))
+
+
 def by_language(df: DataFrame, path: str, column: str = "language") -> None:
     df.write.mode("overwrite").partitionBy(column).parquet(path)
 
@@ -45,12 +57,17 @@ def json_lines(df: DataFrame, drop: tuple[str, ...] = ()) -> DataFrame:
 
 
 def append_stream(stream: DataFrame, path: str, checkpoint: str, keys: list[str]):
-    """Each micro-batch appended by key: a batch that runs again adds nothing."""
+    """Each micro-batch appended by key in one commit that carries its number: a batch that runs again adds nothing, one that is lost leaves nothing."""
+    from hashlib import sha256
+
+    from tidewater.operators import tables
+
+    name = sha256(checkpoint.encode()).hexdigest()[:16]
 
-    def add(batch: DataFrame, _: int) -> None:
+    def add(batch: DataFrame, number: int) -> None:
         batch.persist()
         try:
-            append(batch, path, keys, prune=True)
+            tables.Table(batch.sparkSession, path, keys).append(batch, f"{name}-{number}")
         finally:
             batch.unpersist()
 
