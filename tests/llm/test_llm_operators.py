@@ -362,6 +362,21 @@ def test_many_copies_of_one_template_are_one_class(spark):
     assert sorted((x.doc_id, x.item_id, x.class_id, x.n_items, x.n_changed) for x in out) == [(0, 1003, 1000, 600, 0), (1, 1003, 1000, 600, 0), (2, 1008, 1000, 600, 0), (3, 1000, 1000, 600, 2)]
 
 
+def test_leaks_do_not_depend_on_blocks(spark, monkeypatch):
+    r = random.Random(21)
+    stem = [f"If {{}} crates of {r.choice(['figs', 'nuts'])} number {k} cost {{}} coins how many coins do four more crates of that kind cost in {{}}" for k in "abcdefgh"]
+    items = [(i, stem[i % 8].format(i, i + 5, f"year {i}")) for i in range(200)]
+    bench = spark.createDataFrame([*items, (900, None), (901, ""), (None, "nothing")], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"Some words before. {items[i][1]} And after.") for i in range(0, 200, 9)] + [(999, "clean text")], "doc_id long, text string")
+    results = []
+    for size in (decontaminate.BLOCK, 100):
+        monkeypatch.setattr(decontaminate, "BLOCK", size)
+        results.append((sorted(map(tuple, decontaminate.leaks(docs, bench).collect())), sorted(map(tuple, decontaminate.classes(bench).collect()))))
+    assert results[0] == results[1] and len({c for _, c in results[0][1]}) >= 8 and len(results[0][0]) >= 20
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert decontaminate.classes(none).count() == 0 == decontaminate.leaks(docs, none).count() and decontaminate.clean(docs, none).count() == docs.count()
+
+
 def _contained(text, percent=80, templates=None):
     """Labels and best score by blocks of the whole text and of each line."""
     best, labels = 0.0, set()
@@ -370,9 +385,11 @@ def _contained(text, percent=80, templates=None):
         ws = licenses.words_of(part)
         for label, t in templates or licenses.defaults():
             size, own = licenses.size_of(len(t.split())), set(t.split())
+            short = len(t.split()) < 10
             for s in range(0, len(ws), size):
                 n = len(own & set(ws[s : s + 2 * size]))
-                if 100 * n >= percent * len(own):
+                ordered = not short or re.search("(^| )" + " (.* )?".join(t.split()) + "( |$)", " ".join(ws[s : s + 2 * size]))
+                if 100 * n >= (100 if short else percent) * len(own) and ordered:
                     labels.add(label)
                     best = max(best, n / len(own))
     return labels, best
@@ -388,6 +405,17 @@ def test_licenses(docs, none):
     assert licenses.scan(none).count() == 0
 
 
+def test_short_notices_need_their_own_words_in_order(spark):
+    said = {
+        "This tool is released under the BSD license.": "", "released under the terms of the GPL; see the license file": "", "Licensed under the MIT license, version 2.0": "mit",
+        "Wir arbeiten mit Freude.\nReleased under the zlib license.": "", "Released under the zlib license. Mit Dank an alle": "", "This is released under the\nMIT license": "mit",
+        "It is licensed under the Apache License, Version 2.0 (the License)": "apache", "licensed under CC BY-NC 4.0": "cc-by-nc", "Licensed under a Creative Commons Attribution 4.0 license": "cc-by", "released under the old MIT license": "mit",
+    }
+    docs = spark.createDataFrame(list(enumerate(said)), "doc_id long, text string")
+    got = {x.doc_id: x.labels for x in licenses.scan(docs).collect()}
+    assert [got[i] for i in range(len(said))] == list(said.values())
+
+
 def test_license_join_finds_every_block(spark):
     """Blocks of template words at random, near the threshold."""
     r = random.Random(8)

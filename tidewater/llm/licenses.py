@@ -3,7 +3,9 @@
 A template of n words is looked for in blocks of twice SIZE words, one each SIZE words, where SIZE is the least of 20, 40, 80,
 ... that n does not exceed; so every run of n words lies whole in a block. Blocks are cut from the whole text, whatever its
 lines (notices that are wrapped), and from each line (those that only a window from a line's start holds). A template is
-found in a block when the block's words contain at least `percent` of the template's distinct words.
+found in a block when the block's words contain at least `percent` of the template's distinct words. Notices of fewer than
+SHORT words differ from one another in a word or two, so no share of them decides: for these the block is twice their own
+length, must hold all their words, and must hold them in the template's order.
 
 The join orders template words by their frequency in all documents (rarest first), looks only for blocks that hold a word of a
 template's prefix, and drops pairs by length and position bounds before counting; it finds every pair that meets the threshold.
@@ -141,8 +143,14 @@ def defaults() -> list[tuple[str, str]]:
     return sorted({(label, " ".join(words_of(t))) for label, t in [*((label, t) for t, label in TEMPLATES.items()), *TEXTS]})
 
 
+#: Words under which a template must be there as a whole and in order.
+SHORT = 10
+
+
 def size_of(n: int) -> int:
     """Half the block size of a template of n words."""
+    if n < SHORT:
+        return max(n, 1)
     size = SIZE
     while size < n:
         size *= 2
@@ -197,10 +205,11 @@ def prepare(counts: dict[str, int], templates: list[tuple[str, str]], percent: i
     for label, t in templates:
         ready, index = kinds.setdefault(size_of(len(t.split())), ([], {}))
         tokens = sorted(rank[w] for w in set(t.split()))
-        need = -(-percent * len(tokens) // 100)
+        short = len(t.split()) < SHORT
+        need = len(tokens) if short else -(-percent * len(tokens) // 100)
         for p, w in enumerate(tokens[: len(tokens) - need + 1]):
             index.setdefault(w, []).append((len(ready), p))
-        ready.append((frozenset(tokens), label, need))
+        ready.append((frozenset(tokens), label, need, [rank[w] for w in t.split()] if short else None))
     return rank, kinds
 
 
@@ -213,7 +222,7 @@ def block_matches(tokens: list[int], ready, index) -> dict[int, int]:
         for t, p in index.get(w, ()):
             if t in seen:
                 continue
-            words, _, need = ready[t]
+            words, _, need, _ = ready[t]
             if len(tokens) < need:  # length
                 continue
             if 1 + min(len(words) - p - 1, len(tokens) - pos - 1) < need:  # position
@@ -224,6 +233,12 @@ def block_matches(tokens: list[int], ready, index) -> dict[int, int]:
     return out
 
 
+def in_order(words: list[int], block: list[int]) -> bool:
+    """Whether words stand in a block in their order, with any words between them."""
+    rest = iter(block)
+    return all(w in rest for w in words)
+
+
 class Part:
     """Some templates, ready for the join."""
 
@@ -257,7 +272,8 @@ class Part:
             for a, b in np.unique(np.concatenate(blocks), axis=0).tolist():
                 inside = np.unique(ranks[a:b])
                 for t, n in block_matches(inside[inside >= 0].tolist(), ready, index).items():
-                    yield a, ready[t][1], n / len(ready[t][0])
+                    if ready[t][3] is None or in_order(ready[t][3], ranks[a:b].tolist()):
+                        yield a, ready[t][1], n / len(ready[t][0])
 
 
 def _phrase_hits(hashes: np.ndarray, row: np.ndarray, phrases: list[tuple[np.ndarray, str]]):

@@ -137,7 +137,9 @@ select s.doc_id, len(s.sh)::bigint as n_shingles, m.component_id, s.doc_id = m.c
 
 def _op10(percent: int = 80) -> str:
     phrases = ", ".join(f"('{p}', '{label}')" for p, label in licenses.PHRASES.items())
-    templates = ", ".join(f"('{t}', '{label}', {licenses.size_of(len(t.split()))})" for label, t in licenses.defaults())
+    # short notices: all words, in order
+    order = lambda t: "'(^| )" + " (.* )?".join(t.split()) + "( |$)'" if len(t.split()) < licenses.SHORT else "null::varchar"
+    templates = ", ".join(f"('{t}', '{label}', {licenses.size_of(len(t.split()))}, {order(t)})" for label, t in licenses.defaults())
     return rf"""
 with d as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
 w as (select doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws, t from d),
@@ -146,11 +148,12 @@ hit as (
   select doc_id, label, unnest(list_filter(range(len(ws)), lambda i: array_to_string(ws[i + 1 : i + len(string_split(phrase, ' '))], ' ') = phrase)) as place
   from w join ph on contains(replace(array_to_string(ws, ' '), '  ', ' '), phrase)),
 base as (select doc_id, count(*) as n_base, min(place) as first_word, max(place) as last_word, list(distinct label) as ls from hit group by doc_id),
-tp(words, label, size) as (select list_distinct(string_split(t, ' ')), label, size from (values {templates}) v(t, label, size)),
+tp(words, label, size, pattern) as (select list_distinct(string_split(t, ' ')), label, size, pattern from (values {templates}) v(t, label, size, pattern)),
 ln as (select doc_id, regexp_extract_all(unnest(list_concat([t], string_split(t, chr(10)))), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from d),
 bl as (select doc_id, size, ws[s + 1 : s + 2 * size] as ws from (select doc_id, ws, size, unnest(range(0, len(ws), size)) as s from ln, (select distinct size from tp))),
-mt as (select doc_id, label, len(list_intersect(list_distinct(ws), words)) as n, len(words) as m from bl join tp using (size)),
-sim as (select doc_id, list(distinct label) as ls, max(n / m) as score from mt where 100 * n >= {percent} * m group by doc_id)
+mt as (select doc_id, label, pattern, ws, len(list_intersect(list_distinct(ws), words)) as n, len(words) as m from bl join tp using (size)),
+sim as (select doc_id, list(distinct label) as ls, max(n / m) as score from mt
+  where case when pattern is null then 100 * n >= {percent} * m else n = m and regexp_matches(array_to_string(ws, ' '), pattern) end group by doc_id)
 select w.doc_id, len(w.ws)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, first_word::bigint as first_word, last_word::bigint as last_word,
   array_to_string(list_sort(coalesce(base.ls, [])), ',') as base_labels,
   array_to_string(list_sort(list_distinct(list_concat(coalesce(base.ls, []), coalesce(sim.ls, [])))), ',') as labels,
