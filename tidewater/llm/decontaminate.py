@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm import kernel
-from tidewater.llm.common import fresh, within
+from tidewater.llm.common import fresh, materialise, within
 from tidewater.session import ready
 
 WINDOW, MIN_TOKENS, LITERAL, DRIFT, NAME_WORDS = 8, 5, 4, 4, 3
@@ -202,6 +202,43 @@ def one_to_one(group: list) -> bool:
     return all(forth.setdefault(mine, theirs) == theirs and back.setdefault(theirs, mine) == mine for _, _, pairs in group for _, mine, theirs in pairs)
 
 
+def slots_of(canon: Canon, items: int) -> tuple[np.ndarray, list[list[int]], list[dict[int, str]]]:
+    """(which words slots take, the places of these by item, slots' values by item and token)."""
+    words: list[list[int]] = [[] for _ in range(items)]
+    values: list[dict[int, str]] = [{} for _ in range(items)]
+    inside = np.zeros(len(canon.word) + 1, bool)
+    ends = np.append(canon.first[1:], len(canon.word))
+    for t in np.flatnonzero(canon.kind).tolist():
+        r = int(canon.row[t])
+        a, b = int(canon.first[t]), int(min(ends[t], canon.word_of[r + 1]))
+        inside[a:b] = True
+        words[r].append(a - int(canon.word_of[r]))
+        values[r][t - int(canon.of[r])] = canon.value_of(t)
+    return inside, words, values
+
+
+def class_key(canon: Canon, inside: np.ndarray, r: int, values: dict[int, str]) -> tuple:
+    """What items of one class have in common: words outside slots, slots at the same words, and equal slots at the same places."""
+    a, b = int(canon.word_of[r]), int(canon.word_of[r + 1])
+    order: dict[str, int] = {}
+    pattern = tuple((place, order.setdefault(v, len(order))) for place, v in sorted(values.items()))
+    kinds = canon.kind[int(canon.of[r]) : int(canon.of[r + 1])].tobytes()
+    return np.where(inside[a:b], np.uint64(0), canon.word[a:b]).tobytes(), kinds, pattern
+
+
+def _class_codes(batches):
+    """item_id, text and a hash of the item's class."""
+    import hashlib
+
+    import pyarrow as pa
+
+    for batch in batches:
+        canon = Canon(pa.array([t or "" for t in batch.column(1).to_pylist()], pa.string()))
+        inside, _, values = slots_of(canon, batch.num_rows)
+        codes = [hashlib.sha256(repr(class_key(canon, inside, r, values[r])).encode()).hexdigest() for r in range(batch.num_rows)]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes, pa.string())], names=["item_id", "text", "code"])
+
+
 class Index:
     """Windows of some benchmark items by hash: what a pass over the texts takes along."""
 
@@ -212,16 +249,7 @@ class Index:
         lens, words = np.diff(canon.of), np.diff(canon.word_of)
         self.ids = [i for i, _ in items]
         #: words that slots take, by item, and slots' values by item and token
-        self.slot_words: list[list[int]] = [[] for _ in items]
-        self.values: list[dict[int, str]] = [{} for _ in items]
-        inside = np.zeros(len(canon.word) + 1, bool)
-        ends = np.append(canon.first[1:], len(canon.word))
-        for t in np.flatnonzero(canon.kind).tolist():
-            r = int(canon.row[t])
-            a, b = int(canon.first[t]), int(min(ends[t], canon.word_of[r + 1]))
-            inside[a:b] = True
-            self.slot_words[r].append(a - int(canon.word_of[r]))
-            self.values[r][t - int(canon.of[r])] = canon.value_of(t)
+        inside, self.slot_words, self.values = slots_of(canon, len(items))
         self.same = self._classes(canon, inside)
         self.size = np.bincount(self.same, minlength=len(items))
         self.total: dict[int, int] = {}
@@ -247,17 +275,9 @@ class Index:
         self.literals.close()
 
     def _classes(self, canon: Canon, inside: np.ndarray) -> np.ndarray:
-        """The first item of each item's class: equal words outside slots, slots at the same words, and equal slots at the same places."""
+        """The first item of each item's class."""
         known: dict[tuple, int] = {}
-        out = np.zeros(len(self.ids), np.int64)
-        for r in range(len(self.ids)):
-            a, b = int(canon.word_of[r]), int(canon.word_of[r + 1])
-            order: dict[str, int] = {}
-            pattern = tuple((place, order.setdefault(v, len(order))) for place, v in sorted(self.values[r].items()))
-            kinds = canon.kind[int(canon.of[r]) : int(canon.of[r + 1])].tobytes()
-            key = (np.where(inside[a:b], np.uint64(0), canon.word[a:b]).tobytes(), kinds, pattern)
-            out[r] = known.setdefault(key, r)
-        return out
+        return np.array([known.setdefault(class_key(canon, inside, r, self.values[r]), r) for r in range(len(self.ids))], np.int64)
 
     def matches(self, column, coverage: float):
         """(row, item, class, items of the class, windows found, coverage, slots, changed slots) of one string column: one a row and class."""
@@ -354,12 +374,16 @@ def _scan(index, coverage: float):
 
 
 def _blocks(benchmark: DataFrame, id: str, text: str):
-    """Lists of (item id, text), each of at most about BLOCK tokens."""
+    """Lists of (item id, text), each of about BLOCK tokens. All items of a class are in one block, so that results do not depend on the blocks."""
     items = benchmark.select(F.col(id).cast("long").alias("item_id"), F.col(text).alias("text")).where("item_id is not null").distinct()
     n = items.agg(F.sum(F.length(F.coalesce("text", F.lit(""))))).first()[0] or 0
     parts = max(1, -(-n // (BLOCK * 4)))
+    if parts > 1:
+        items = materialise(ready(items).mapInArrow(_class_codes, "item_id long, text string, code string"), "benchmark-classes")
+        items = items.withColumn("part", F.pmod(F.xxhash64("code"), F.lit(parts)))
     for p in range(parts):
-        yield [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p).sort("item_id", "text").collect()]
+        own = items if parts == 1 else items.where(F.col("part") == p).select("item_id", "text")
+        yield [tuple(r) for r in own.sort("item_id", "text").collect()]
 
 
 def leaks(
@@ -367,8 +391,7 @@ def leaks(
 ) -> DataFrame:
     """doc_id, item_id, class_id, n_items, n_windows, coverage, n_slots, n_changed: a row for each document and class of items that it holds.
 
-    item_id is the item of the class that fits best (the smallest of equals), class_id its smallest, n_items their number. Classes
-    are those within a block of the benchmark."""
+    item_id is the item of the class that fits best (the smallest of equals), class_id its smallest, n_items their number."""
     pick = ready(docs).select(F.col(id).alias("doc_id"), F.col(text).alias("text"))
     kind = pick.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, " + ", ".join(f"{k} {t}" for k, t in _LEAK.items())
