@@ -84,3 +84,25 @@ def test_stop_words_keep_the_places_of_others(spark, tmp_path):
 def test_vocabulary_counts_rows_and_places(spark):
     docs = spark.createDataFrame([("b a b",), ("a",), ("",), (None,), ("A b",)], "text string")
     assert sorted(map(tuple, fts.vocabulary(docs).collect())) == [("a", 3, 3), ("b", 2, 3)]
+
+
+def test_answers_and_reranking_hooks(spark):
+    rows = [(1, "red fox", [1.0, 0.0]), (2, "red red fox den and more words", [0.9, 0.1]), (3, "blue whale", [0.0, 1.0])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, embedding array<double>")
+    longest = search.Reranker(lambda terms: F.length("text").cast("double"))
+    engine = search.Engine(docs.drop("embedding"), ["doc_id"], text_vectors=docs.drop("text"), reranker=longest)
+    ids = lambda got: [r.doc_id for r in got.collect()]
+    near = {"text_vector": [0.0, 1.0], "n": 2, "rerank": True}
+    assert ids(engine.search(search.Spec(q="fox", rerank=True))) == [2, 1]
+    assert ids(engine.search(search.Spec(q="fox", mode="semantic", **near))) == [2, 3]
+    assert ids(engine.search(search.Spec(q="fox", mode="hybrid", **near))) == [2, 3] and engine.search(search.Spec(q="fox", mode="hybrid", **{**near, "n": 5})).count() == 3
+    for asked, want in (({"q": "fox"}, 200), ({"q": "fox", "mode": "no"}, 400), ({"q": "x", "mode": "visual", "image_vector": [1.0]}, 503), ({"q": "x", "mode": "semantic"}, 503), ({"mode": "hybrid", "text_vector": [1.0, 0.0]}, 400), ({"q": "fox", "filter": F.col("nothing") == 1}, 400)):
+        assert engine.answer(asked)[0] == want, asked
+    assert search.LIMITS["shell"] == 10 and search.Spec(q="x", n=search.LIMITS["viewer"]).n == 30
+    from tidewater.operators import hits
+
+    docs = spark.createDataFrame([("0123456789abcdef", 1)], "doc_id string, n int")
+    assert hits.one_document(docs, "0123456789abcdef").count() == 1 and hits.one_document(docs, "0" * 16).count() == 0
+    for bad in ("", None, "0123", "0123456789ABCDEF", "x' or '1'='1"):
+        with pytest.raises(ValueError, match="invalid"):
+            hits.one_document(docs, bad)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -50,6 +51,13 @@ def _window():
     return Window.partitionBy(F.lit(0)).orderBy("o")
 
 
+def one_document(documents: DataFrame, doc_id: str) -> DataFrame:
+    """The row of a document, if there is one. An id that is no id of documents is an error before anything is read."""
+    if not re.fullmatch(r"[a-f0-9]{16}", doc_id or ""):
+        raise ValueError("invalid doc_id")
+    return documents.where(F.col("doc_id") == doc_id)
+
+
 def lookup(hits: DataFrame, documents: DataFrame, frames: DataFrame | None = None, keys: tuple[str, ...] = ("doc_id", "speech_id", "chunk_id")) -> DataFrame:
     """Hits with `document` and `frame`, structs of the other tables' rows (null where there is none): one join each."""
     whole = documents.select("doc_id", F.struct(*(c for c in documents.columns if c != "doc_id")).alias("document"))

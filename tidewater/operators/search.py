@@ -12,6 +12,8 @@ from tidewater.functions import text as T
 from tidewater.operators import fts, fusion, vector
 
 MODES = ("fts", "semantic", "visual", "hybrid", "all")
+#: Hits that each kind of caller gets if it does not say.
+LIMITS = {"shell": 10, "get": 20, "post": 20, "viewer": 30, "gallery": 24}
 
 
 def where(language: str | None = None, namn: str | None = None, referenskod: str | None = None, extraid: str | None = None) -> Column | None:
@@ -55,18 +57,49 @@ def mode_of(keyword: bool, meaning: bool, image: bool) -> str:
     return "fts"
 
 
+class Unavailable(RuntimeError):
+    """A service or a table that a search needs is not there."""
+
+
+class Reranker:
+    """Scores again what a search has found, by a column expression or a vectorised function of the frame (query's words -> scorer).
+
+    The three hooks get the hits of their kind of search in rank order; a subclass may treat each kind in its own way."""
+
+    def __init__(self, scorer=None, cap: int = 100):
+        self.make, self.cap = scorer or (lambda terms: fusion.overlap_score(F.col("text"), terms)), cap
+
+    def score(self, query: str, hits: DataFrame, prior: list) -> DataFrame:
+        """The best `cap` hits by prior order, with `_relevance_score`, best first."""
+        kept = hits.drop("_relevance_score") if "_relevance_score" in hits.columns else hits
+        return fusion.rerank(kept, self.make(T.query_terms(query)), prior, self.cap)
+
+    def rerank_fts(self, query: str, hits: DataFrame, keys: list[str]) -> DataFrame:
+        return self.score(query, hits, [F.desc("_score"), *keys])
+
+    def rerank_vector(self, query: str, hits: DataFrame, keys: list[str]) -> DataFrame:
+        return self.score(query, hits, [F.col("_distance"), *keys])
+
+    def rerank_hybrid(self, query: str, vector_hits: DataFrame, text_hits: DataFrame, keys: list[str]) -> DataFrame:
+        """Each hit of either search once, vector hits before text hits."""
+        both = vector_hits.drop("_distance").unionByName(text_hits.drop("_score")).dropDuplicates(keys)
+        near, found = (fusion.ranked(h, n, [*o, *map(F.col, keys)]).select(*keys, "__list", "__rank") for h, n, o in ((vector_hits, 0, [F.col("_distance")]), (text_hits, 1, [F.desc("_score")])))
+        first = near.unionByName(found).groupBy(*keys).agg(F.min(F.struct("__list", "__rank")).alias("__first"))
+        return self.score(query, both.join(F.broadcast(first), keys), [F.col("__first"), *keys]).drop("__first")  # two top-k lists
+
+
 class Engine:
     """Searches over chunks with text, and vectors of text and frames on the same keys."""
 
     def __init__(
         self, chunks: DataFrame, keys: list[str], text_vectors: DataFrame | None = None, frame_vectors: DataFrame | None = None,
-        fusion_keys: list[str] | None = None, scorer=None, index: fts.Index | None = None,
+        fusion_keys: list[str] | None = None, scorer=None, index: fts.Index | None = None, reranker: Reranker | None = None,
     ):
         """index: a stored index of the chunks by the same keys; with it no search reads all texts, and its analyzer decides on folding, stems and stop words."""
         self.chunks, self.keys, self.text_vectors, self.frame_vectors, self.index = chunks, keys, text_vectors, frame_vectors, index
         #: Keys that hits are fused by; the default leaves out speech_id, so that equal chunk numbers of a document's speeches meet.
         self.fusion_keys = fusion_keys or [k for k in keys if k != "speech_id"]
-        self.scorer = scorer
+        self.scorer, self.reranker = scorer, reranker
 
     def _terms(self, spec: Spec, phrase: bool, fuzzy: bool) -> fts.Query:
         terms = T.query_terms(spec.q)
@@ -93,11 +126,44 @@ class Engine:
         out = self.chunks.join(F.broadcast(near), self.keys)  # at most k rows
         return out if condition is None else out.where(condition)
 
+    def _reranked(self, spec: Spec, vector_q) -> DataFrame:
+        """The n best after the reranker's hook for the mode."""
+        text = None if spec.mode == "semantic" else self._fts(spec, spec.n, spec.mode == "fts", spec.mode == "fts")
+        near = None if spec.mode == "fts" else self._near(self.text_vectors, vector_q, spec.n, spec.filter)
+        if spec.mode == "fts":
+            out = self.reranker.rerank_fts(spec.q, text, self.keys)
+        elif spec.mode == "semantic":
+            out = self.reranker.rerank_vector(spec.q, near, self.keys)
+        else:
+            out = self.reranker.rerank_hybrid(spec.q, near, text, self.keys)
+        return out.orderBy(F.desc("_relevance_score"), *self.keys).limit(spec.n)
+
+    def answer(self, spec: Spec | dict) -> tuple[int, DataFrame | str]:
+        """(200, hits), (400, what is wrong with the request) or (503, what is missing): the search as a service gives it. Hits are checked to be computable."""
+        try:
+            spec = spec if isinstance(spec, Spec) else Spec(**spec)
+            if spec.mode == "hybrid" and not spec.q:
+                return 400, "hybrid needs a text query"
+            asked = spec.text_vector or spec.image_vector
+            if spec.mode != "fts" and (spec.q or asked):
+                need = {"semantic": [self.text_vectors], "visual": [self.frame_vectors], "hybrid": [self.text_vectors], "all": []}[spec.mode]
+                if any(v is None for v in need) or (need and asked is None):
+                    return 503, f"{spec.mode} needs vectors and an embedded query"
+            hits = self.search(spec)
+            hits.schema  # noqa: B018  a wrong filter shows here
+            return 200, hits
+        except Unavailable as e:
+            return 503, str(e)
+        except Exception as e:
+            return 400, f"search failed: {e}"
+
     def search(self, spec: Spec) -> DataFrame:
         """Hits in rank order (orderBy is part of the plan)."""
         text_q, any_q = spec.text_vector, spec.text_vector or spec.image_vector
         if not spec.q and not any_q:
             return self.chunks.limit(0)
+        if spec.rerank and self.reranker and spec.mode in ("fts", "semantic", "hybrid"):
+            return self._reranked(spec, any_q)
         if spec.mode == "fts":
             return self._fts(spec, spec.n).orderBy(F.desc("_score"), *self.keys)
         if spec.mode == "semantic":
