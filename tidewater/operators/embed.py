@@ -28,8 +28,8 @@ class Hashing:
         for t in texts:
             v = [0.0] * self.dims
             for w in t.lower().split():
-                h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
-                v[h % self.dims] += 1.0 if h >> 63 else -1.0
+                h = hashlib.md5(w.encode(), usedforsecurity=False).hexdigest()
+                v[int(h[:15], 16) % self.dims] += 1.0 if h[15] >= "8" else -1.0
             n = sum(x * x for x in v) ** 0.5 or 1.0
             out.append([x / n for x in v])
         return out

@@ -105,6 +105,56 @@ def stages_resumed(spark, sf_dir):
     return frames["sums"].withColumn("ran_again", F.lit(f"{ran[0]},{len(ran)}"))
 
 
+# --- transcripts to rows
+
+
+def _transcripts(spark, sf_dir):
+    """Conversations as transcripts: a file each, a speech, a chunk of thirty seconds a turn, an alignment within it and one across its end."""
+    from tidewater.sources import transcripts
+
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    spoken = lambda x, a, b, text: F.struct((x.turn * 30 + a).alias("start"), (x.turn * 30 + b).alias("end"), text.alias("text"))
+    chunks = F.transform("t", lambda x: spoken(x, 0, 30, x.text))
+    aligned = F.flatten(F.transform("t", lambda x: F.array(spoken(x, 0, 15, F.lit("in")), spoken(x, 20, 40, F.lit("across")))))
+    speech = F.to_json(F.struct(F.array(F.struct(F.lit("7").alias("speech_id"), chunks.alias("chunks"), aligned.alias("alignments"))).alias("speeches")))
+    speeches = F.from_json(speech, f"speeches array<{transcripts.SPEECH}>").speeches
+    path = F.concat(F.lit("conv/"), F.col("conv_id").cast("string"), F.lit(".mp4"))
+    return c.select(path.alias("audio_path"), F.lit(16000).alias("sample_rate"), (F.size("t") * 30.0).alias("duration"), F.lit(None).cast("string").alias("metadata"), speeches.alias("speeches"))
+
+
+def _metadata(spark, sf_dir):
+    text = lambda c: F.col(c).cast("string")
+    return table(spark, sf_dir, "labels").select(text("doc_id").alias("bildid"), text("quality").alias("namn"), text("toxic").alias("extraid"), F.lit(None).cast("string").alias("referenskod"))
+
+
+@_query(
+    "ingest_chunks",
+    """select substr(sha1('conv/' || conv_id || '.mp4'), 1, 16) as doc_id, 7 as speech_id, (row_number() over (partition by conv_id order by turn) - 1)::int as chunk_id, (turn * 30)::double as start,
+(turn * 30 + 30)::double as "end", 'sv' as language, md5(text) as text_md5, 1 as n_alignments, quality::varchar as namn, 26 as columns from conversations left join labels on doc_id = conv_id""",
+)
+def ingest_chunks(spark, sf_dir):
+    """The 26 columns of a stored chunk; the alignment across a chunk's end belongs to none."""
+    from tidewater.operators import ingest
+    from tidewater.sources import transcripts
+
+    rows = ingest.chunks(_transcripts(spark, sf_dir), _metadata(spark, sf_dir), "sv")
+    found = F.size(ingest.parse_alignments(F.col("alignments_json"), transcripts.ALIGNMENT))
+    number = lambda c: F.col(c).cast("double").alias(c)
+    return rows.select("doc_id", "speech_id", "chunk_id", number("start"), number("end"), "language", F.md5("text").alias("text_md5"), found.alias("n_alignments"), "namn", F.lit(len(rows.columns)).alias("columns"))
+
+
+@_query(
+    "ingest_documents",
+    """select substr(sha1('conv/' || conv_id || '.mp4'), 1, 16) as doc_id, 'video/mp4' as media_mime, 's3://m/' || conv_id || '.mp4' as media_blob, 1 as num_speeches, count(*) * 30.0::double as duration, any_value(quality)::varchar as namn, '{}' as metadata
+from conversations left join labels on doc_id = conv_id group by conv_id""",
+)
+def ingest_documents(spark, sf_dir):
+    from tidewater.operators import ingest
+
+    rows = ingest.documents(_transcripts(spark, sf_dir), _metadata(spark, sf_dir), base_uri="s3://m/")
+    return rows.select("doc_id", "media_mime", "media_blob", "num_speeches", "duration", "namn", "metadata")
+
+
 # --- byte ranges
 
 
