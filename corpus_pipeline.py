@@ -21,7 +21,8 @@ NEAR = 80
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep. Each row is judged by itself: rows that share an id may differ in their verdicts.
 
-    Null and empty texts have no words and go; a null language or source is a value of its own; repeated rows fare alike. An
+    Null and empty texts have no words and go; a null language or source is a value of its own; repeated rows fare alike, and so
+    do rows with equal statistics. Texts are judged whole, whatever their length. Other columns stay, whatever their names. An
     empty table stays empty."""
     return quality.clean(docs)
 
@@ -29,19 +30,24 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies: that with the smallest id, null ids last; of repeated rows and of rows that share this id, one.
 
-    Texts without words, null ones too, are linked with nothing and stay. An empty table stays empty."""
+    Texts without words, null ones too, are linked with nothing and stay. Shingles are those of whole texts, whatever their length.
+    Other columns stay, whatever their names. An empty table stays empty."""
     return minhash.deduplicate(docs, percent=NEAR)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item. Each row is judged by its text alone: null and empty texts stay, repeated rows fare alike.
 
-    An empty table stays empty, and an empty benchmark drops nothing."""
+    Texts are searched whole, whatever their length. Other columns stay, whatever their names. An empty table stays empty, and an
+    empty benchmark drops nothing."""
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data replaced by its kind in brackets; n_chars follows. Null texts stay null; overlapping spans are one."""
+    """All documents, with personal data replaced by its kind in brackets; n_chars follows. Null texts stay null; overlapping spans are one.
+
+    Texts are searched whole, whatever their length; of spans that begin at one place the one that ends first gives the kind. Repeated
+    rows fare alike, other columns stay, whatever their names. An empty table stays empty."""
     out = pii.redact(docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
@@ -49,7 +55,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_crc32, lossless of each row, encoded with merge-dropout and decoded again. Null texts are empty: no tokens.
 
-    Rows with equal ids and texts are encoded alike."""
+    Rows with equal ids and texts are encoded alike. Texts are encoded whole, whatever their length; columns other than id and text
+    play no part. An empty table gives no row."""
     return tokens.encode(docs, vocabulary("piece_bpe_32k.model"), 0.1, seed=7, keep=("n_tokens", "ids_crc32", "lossless"))
 
 
