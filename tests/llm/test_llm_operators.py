@@ -377,6 +377,26 @@ def test_leaks_do_not_depend_on_blocks(spark, monkeypatch):
     assert decontaminate.classes(none).count() == 0 == decontaminate.leaks(docs, none).count() and decontaminate.clean(docs, none).count() == docs.count()
 
 
+def test_token_shards_follow_bytes_and_are_read_in_slices(spark, tmp_path, monkeypatch):
+    rows = [(5, "the same words") for _ in range(3000)] + [(i, f"text {i} " * (i % 9)) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    monkeypatch.setattr(flatids, "SHARD", 4000)
+    folder = f"file://{tmp_path}/ids"
+    manifest = flatids.write(docs, folder, BYTES)
+    assert len(manifest["shards"]) > 8 and max(s["docs"] for s in manifest["shards"]) < 1500 and sum(s["docs"] for s in manifest["shards"]) == 3400
+    got = sorted(flatids.read(spark, folder).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == sorted(i for i, _ in rows)
+    at = 0
+    for r in got:
+        assert r.start == at
+        at += r.n_tokens
+    for s in manifest["shards"]:
+        a, b = flatids.Shard(folder, s["name"], manifest["width"]), flatids.Shard(folder, s["name"], manifest["width"], ranged=True)
+        assert isinstance(b.ids, flatids.Ranged) and len(b.ids) == len(a.ids) == s["tokens"] and len(b.doc_ids) == s["docs"]
+        for x, y in ((a.ids, b.ids), (a.of, b.of), (a.doc_ids, b.doc_ids)):
+            assert x[2:7].tolist() == y[2:7].tolist() and x[0 : len(x)].tolist() == y[0 : len(y)].tolist()
+
+
 def _contained(text, percent=80, templates=None):
     """Labels and best score by blocks of the whole text and of each line."""
     best, labels = 0.0, set()

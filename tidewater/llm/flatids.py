@@ -10,13 +10,15 @@ The ids are those of the tokenizers library for the whole text. A text is cut at
 characters, and between Latin letters and plain punctuation, where this byte-level scheme always begins a new token; each
 distinct part is encoded by the library once and kept in a bounded store.
 
-Defined results: a null text is an empty text (only the end id); rows are ordered by id (nulls first), then text; equal ids
-stay neighbours; an empty table gives an empty folder and result.
+Defined results: a null text is an empty text (only the end id); rows are ordered by id (nulls first); rows of one id follow
+one another, those of equal texts too, in any order else, and may lie in several shards; the id -2**63 stands for null and is
+read as null; an empty table gives an empty folder and result.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import re
 import uuid
 import zlib
@@ -31,6 +33,8 @@ from tidewater.llm.common import filesystem, within, write_committed
 from tidewater.session import ready
 
 SLICE = 4 << 20
+#: Bytes of text that a shard holds on average, at most.
+SHARD = 512 << 20
 #: Distinct parts that a worker process keeps.
 STORE = 1_500_000
 _SIMPLE = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+|[.,;:!?*%&#$]+")
@@ -134,31 +138,47 @@ def _write(folder: str, tokenizer_path: str, end: int):
         task = TaskContext.get()
         shard, attempt = task.partitionId(), f"{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}"
         encoder = load(tokenizer_path)
-        sizes, ids = [], []
+        sizes, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]  # 16 bytes a document
 
         def chunks():
             for whole in batches:
                 for batch in within(whole, SLICE):
                     flat, of = encoder.encode(batch.column(1), end)
                     sizes.append(np.diff(of))
-                    ids.extend(batch.column(0).to_pylist())
+                    ids.append(batch.column(0).fill_null(-1 << 63).to_numpy(zero_copy_only=False))
                     yield flat.tobytes()
 
+        def places():
+            docs, at = sum(map(len, sizes)), 0
+            yield np.array([docs, 0], "<i8").tobytes()
+            for part in sizes:
+                if len(part):
+                    yield (np.cumsum(part) + at).astype("<i8").tobytes()
+                    at += int(part.sum())
+            for part in ids:
+                yield part.astype("<i8").tobytes()
+
         write_committed(f"{folder}/shard-{shard:05d}.bin", attempt, chunks())
-        of = np.concatenate([[0], np.cumsum(np.concatenate(sizes) if sizes else [])]).astype("<i8")
-        body = [np.array([len(ids)], "<i8").tobytes(), of.tobytes(), np.array([-1 << 63 if i is None else i for i in ids], "<i8").tobytes()]
-        write_committed(f"{folder}/shard-{shard:05d}.off", attempt, body)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([shard], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([int(of[-1])], pa.int64()), pa.array([encoder.width.itemsize], pa.int32())], names=["shard", "docs", "tokens", "width"]
-        )
+        write_committed(f"{folder}/shard-{shard:05d}.off", attempt, places())
+        counts = (shard, sum(map(len, sizes)), sum(int(p.sum()) for p in sizes), encoder.width.itemsize)
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(counts, kinds, strict=True)], names=["shard", "docs", "tokens", "width"])
 
     return run
 
 
 def write(docs: DataFrame, folder: str, tokenizer_path: str, end: int = 2, id: str = "doc_id", text: str = "text") -> dict:
-    """Write the folder and return its manifest. Integer ids."""
+    """Write the folder and return its manifest. Integer ids.
+
+    Shards are ranges of ids, as many as Spark's shuffles have partitions, or more where these would exceed SHARD bytes of text.
+    Rows of one id may lie in several shards, in any order."""
     pick = ready(docs).select(F.col(id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    ordered = pick.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    total = pick.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    many = -(-total // SHARD) if total > SHARD * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
+    keys = ("doc_id", "hash", "row")  # the last two cut an id that very many rows share
+    ranged = pick.withColumns({"hash": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    ranged = ranged.repartitionByRange(many, *keys) if many else ranged.repartitionByRange(*keys)
+    ordered = ranged.sortWithinPartitions(*keys).select("doc_id", "text")
     # one row a shard
     shards = sorted(ordered.mapInArrow(_write(folder, tokenizer_path, end), "shard int, docs long, tokens long, width int").collect())
     tokens = docs_before = 0
@@ -171,20 +191,38 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end: int = 2, id: s
     return out
 
 
+class Ranged:
+    """Numbers in a file of any store; slices of them are read when they are asked for."""
+
+    def __init__(self, system, path: str, kind: np.dtype, first: int = 0, n: int | None = None):
+        self.file, self.kind, self.first = system.open_input_file(path), np.dtype(kind), first
+        self.n = self.file.size() // self.kind.itemsize - first if n is None else n
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __getitem__(self, which: slice) -> np.ndarray:
+        a, b, _ = which.indices(self.n)
+        size = self.kind.itemsize
+        return np.frombuffer(self.file.read_at(max(0, b - a) * size, (self.first + a) * size), self.kind)
+
+
 class Shard:
-    """A shard's ids, offsets and document ids, memory-mapped where the folder is a local path."""
+    """A shard's ids, offsets and document ids: memory-mapped where the folder is a local path, read in slices elsewhere."""
 
-    def __init__(self, folder: str, name: str, width: int):
+    def __init__(self, folder: str, name: str, width: int, ranged: bool = False):
         system, path = filesystem(f"{folder}/{name}")
         kind = np.dtype(f"<u{width}")
-        if system.type_name == "local":
+        if system.type_name == "local" and not ranged:
             head = np.memmap(f"{path}.off", "<i8", "r")
-            self.ids = np.memmap(f"{path}.bin", kind, "r")
+            n = int(head[0])
+            empty = not os.path.getsize(f"{path}.bin")
+            self.ids = np.zeros(0, kind) if empty else np.memmap(f"{path}.bin", kind, "r")
+            self.of, self.doc_ids = head[1 : n + 2], head[n + 2 : 2 * n + 2]
         else:
-            head = np.frombuffer(system.open_input_file(f"{path}.off").read(), "<i8")
-            self.ids = np.frombuffer(system.open_input_file(f"{path}.bin").read(), kind)
-        n = int(head[0])
-        self.of, self.doc_ids = head[1 : n + 2], head[n + 2 : 2 * n + 2]
+            n = int(Ranged(system, f"{path}.off", "<i8")[0:1][0])
+            self.ids = Ranged(system, f"{path}.bin", kind)
+            self.of, self.doc_ids = Ranged(system, f"{path}.off", "<i8", 1, n + 1), Ranged(system, f"{path}.off", "<i8", n + 2, n)
 
 
 def _read(folder: str, width: int):
