@@ -140,12 +140,10 @@ def search(docs: DataFrame, query: Query | list[str], k: int, keys: list[str], t
 
 def vocabulary(docs: DataFrame, text: str = "text") -> DataFrame:
     """term, df, cf."""
-    # a row's tokens are sorted, so that each term is counted where its run begins: the shuffle is by term alone
-    rows = docs.select(F.array_sort(T.tokens(F.col(text))).alias("t")).where(F.size("t") > 0)
-    starts = F.filter(F.sequence(F.lit(1), F.size("t")), lambda i: (i == 1) | (F.col("t")[i - 1] != F.col("t")[F.greatest(i - 2, F.lit(0))]))
-    runs = rows.select("t", starts.alias("s"))
-    each = F.transform("s", lambda i, k: F.struct(F.col("t")[i - 1].alias("term"), (F.coalesce(F.try_element_at("s", k + 2), F.size("t") + 1) - i).alias("c")))
-    return runs.select(F.inline(each)).groupBy("term").agg(F.count("*").alias("df"), F.sum("c").alias("cf"))
+    # a row's distinct terms, then all its terms: both counts are made by term alone, before the shuffle
+    rows = docs.select(T.tokens(F.col(text)).alias("t")).select("t", F.array_distinct("t").alias("d"))
+    words = rows.select(F.size("d").alias("n"), F.posexplode(F.concat("d", "t")).alias("pos", "term"))
+    return words.groupBy("term").agg(F.count_if(F.col("pos") < F.col("n")).alias("df"), F.count_if(F.col("pos") >= F.col("n")).alias("cf"))
 
 
 def expand(vocab: DataFrame, terms: list[str], distance: int) -> list[str]:
