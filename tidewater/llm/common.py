@@ -94,6 +94,27 @@ def write_committed(uri: str, attempt: str, chunks) -> int:
     return size
 
 
+def lean(run):
+    """A function of batches that gives memory back to the machine when a task ends: Python workers live on, stage after stage."""
+
+    def whole(batches):
+        yield from run(batches)
+        release()
+
+    return whole
+
+
+def release() -> None:
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def within(batch, limit: int = 1 << 21, column: int = 1):
     """Slices of an Arrow batch whose strings in a column hold about `limit` bytes at most (one row at least)."""
     import numpy as np

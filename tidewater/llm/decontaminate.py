@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm import kernel
-from tidewater.llm.common import fresh, materialise, within
+from tidewater.llm.common import fresh, lean, materialise, within
 from tidewater.session import ready
 
 WINDOW, MIN_TOKENS, LITERAL, DRIFT, NAME_WORDS = 8, 5, 4, 4, 3
@@ -398,7 +398,7 @@ def leaks(
     out = None
     for items in _blocks(benchmark, item_id, item_text):
         index = docs.sparkSession.sparkContext.broadcast(Index(items))
-        part = pick.mapInArrow(_scan(index, coverage), schema)
+        part = pick.mapInArrow(lean(_scan(index, coverage)), schema)
         out = part if out is None else out.unionAll(part)
     return out
 
@@ -434,5 +434,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.4, text: st
     (whole,) = fresh(docs.columns, "whole_text")
     for items in _blocks(benchmark, item_id, item_text):
         index = docs.sparkSession.sparkContext.broadcast(Index(items))
-        out = out.select("*", F.col(text).alias(whole)).mapInArrow(_filter(index, coverage), docs.schema)
+        out = out.select("*", F.col(text).alias(whole)).mapInArrow(lean(_filter(index, coverage)), docs.schema)
     return out

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm import kernel
-from tidewater.llm.common import discard, materialise, numbered, within
+from tidewater.llm.common import discard, lean, materialise, numbered, within
 from tidewater.session import ready
 
 ROWS, BATCH = 4, 25
@@ -373,7 +373,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", per
     """doc_id, n_shingles, component_id, kept: a row a document."""
     pick = ready(docs).select(F.col(id).alias("doc_id"), F.col(text).alias("text"))
     kind, bands = pick.schema["doc_id"].dataType.simpleString(), bands_of(percent)
-    sketch = materialise(pick.mapInArrow(_sketch(bands), f"doc_id {kind}, node binary, n_shingles long, bands array<long>"), "sketch")
+    sketch = materialise(pick.mapInArrow(lean(_sketch(bands)), f"doc_id {kind}, node binary, n_shingles long, bands array<long>"), "sketch")
     classes = sketch.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
     classes = materialise(classes, "classes")
     # a key is of one band only; counts by key alone tell the buckets with several members
@@ -383,13 +383,13 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", per
     wanted = materialise(members.select("node").distinct().join(classes.select("node", "rep"), "node"), "wanted")
     side = F.broadcast(wanted) if wanted.count() <= 500_000 else wanted
     sets = pick.join(side, pick.doc_id.eqNullSafe(side.rep)).select("doc_id", "text", "node")
-    sets = materialise(sets.mapInArrow(_sets, "node binary, shingles binary, sig binary"), "sets")
+    sets = materialise(sets.mapInArrow(lean(_sets), "node binary, shingles binary, sig binary"), "sets")
     unit, spent = ["band", "key", "lo", "hi"], [members, wanted, sets]
 
     def worked(dealt: DataFrame, run, schema: str, *columns: str) -> DataFrame:
         rows = dealt.join(sets.select("node", *columns), "node").select(*unit, "node", "blk", *columns, "label")
         rows = rows.repartition(*unit).sortWithinPartitions(*unit)
-        spent.append(materialise(rows.mapInArrow(run, schema), "links"))
+        spent.append(materialise(rows.mapInArrow(lean(run), schema), "links"))
         return spent[-1]
 
     def links_of(dealt: DataFrame) -> DataFrame:

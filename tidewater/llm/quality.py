@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.llm import kernel
-from tidewater.llm.common import discard, fresh, materialise, packed, within
+from tidewater.llm.common import discard, fresh, lean, materialise, packed, within
 from tidewater.session import ready
 
 SYMBOLS = kernel.table(b"#*$%&|<>")
@@ -87,7 +87,7 @@ def statistics(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: st
     """One row a document: its id, language and source under the names doc_id, lang, source, and the counts of BASE."""
     pick = ready(docs).select(F.col(id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), F.col(source).cast("string").alias("source"))
     kind = pick.schema["doc_id"].dataType.simpleString()
-    return pick.mapInArrow(_counted("doc_id", lambda b: b.column("text")), f"doc_id {kind}, lang string, source string, {BASE}")
+    return pick.mapInArrow(lean(_counted("doc_id", lambda b: b.column("text"))), f"doc_id {kind}, lang string, source string, {BASE}")
 
 
 def base_failed() -> Column:
@@ -370,6 +370,6 @@ def clean(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     pick = ready(docs).select(row, F.col(lang).cast("string").alias("lang"), F.col(source).cast("string").alias("source"))
     kind = pick.schema["row"].dataType.simpleString()
     at = f"c{docs.columns.index(text)}"
-    stats = materialise(pick.mapInArrow(_counted("row", lambda b: b.column("row").field(at)), f"row {kind}, lang string, source string, {BASE}"), "quality-stats")
+    stats = materialise(pick.mapInArrow(lean(_counted("row", lambda b: b.column("row").field(at))), f"row {kind}, lang string, source string, {BASE}"), "quality-stats")
     out = judged(stats, tail, **options).where("kept")
     return out.select(*back)

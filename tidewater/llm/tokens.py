@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm import bpe, kernel
-from tidewater.llm.common import within
+from tidewater.llm.common import lean, within
 from tidewater.session import ready
 
 SLICE = 1 << 20
@@ -42,7 +42,7 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, id: str =
     """doc_id, n_bytes, n_tokens, over_limit: a row a document."""
     pick = ready(docs).select(F.col(id).alias("doc_id"), F.col(text).alias("text"))
     kind = pick.schema["doc_id"].dataType.simpleString()
-    return pick.mapInArrow(_counts(model_path, limit), f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return pick.mapInArrow(lean(_counts(model_path, limit)), f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def text_keys(ids: list, seed: int) -> np.ndarray:
@@ -92,7 +92,7 @@ def encode(
     """doc_id and the columns `keep` of n_tokens, ids, ids_crc32 (ids as little-endian 32-bit integers), decoded (UTF-8), lossless."""
     pick = ready(docs).select(F.col(id).alias("__id"), F.col(text).alias("__text"))
     kind = pick.schema["__id"].dataType.simpleString()
-    return pick.mapInArrow(_encode(model_path, dropout, seed, list(keep)), ", ".join([f"doc_id {kind}", *(f"{k} {_KINDS[k]}" for k in keep)]))
+    return pick.mapInArrow(lean(_encode(model_path, dropout, seed, list(keep))), ", ".join([f"doc_id {kind}", *(f"{k} {_KINDS[k]}" for k in keep)]))
 
 
 def _decode(path: str):
