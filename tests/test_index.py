@@ -62,10 +62,9 @@ def test_deletions_find_what_distances_find(spark, tmp_path):
     words = sorted({"".join(r.choice("abcé") for _ in range(r.randrange(1, 13))) for _ in range(900)} | {"a" * 5000, "b", "ab"})
     docs = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "doc_id long, text string")
     index = fts.Index(f"{tmp_path}/i").build(docs)
-    for q in ("abc", "a", "abcabcabca", "cécéb", "zzzz", "a" * 5000, "aab"):
-        for d in (0, 1, 2):
-            want = sorted((_distance(q, w), w) for w in words if abs(len(q) - len(w)) <= d and (len(w) < 50 or q == w) and _distance(q[:50], w[:50]) <= d)
-            assert index.expand(spark, [q], d) == [w for _, w in want[: fts.EXPANSIONS]], (q, d)
+    for q, d in (("abc", 2), ("a", 1), ("a", 2), ("abcabcabca", 2), ("cécéb", 0), ("cécéb", 2), ("zzzz", 2), ("a" * 5000, 1), ("aab", 1)):
+        want = sorted((_distance(q, w), w) for w in words if abs(len(q) - len(w)) <= d and (len(w) < 50 or q == w) and _distance(q[:50], w[:50]) <= d)
+        assert index.expand(spark, [q], d) == [w for _, w in want[: fts.EXPANSIONS]], (q, d)
     assert index.expand(spark, [], 2) == [] and set(index.expand(spark, ["abc", "ABC"], 0)) <= {"abc"}
 
 
