@@ -32,6 +32,17 @@ def test_clocks(spark, seconds, code, ms, brief, srt):
     assert [_one(spark, f, seconds) for f in (T.timecode, T.timecode_ms, T.fmt_time, T.srt_time)] == [code, ms, brief, srt]
 
 
+@pytest.mark.parametrize(("seconds", "want"), [(35999.4, "9:59:59"), (35999.5, "10:00:00"), (359999.0, "99:59:59"), (360000.0, "100:00:00"), (4e6, "1111:06:40")])
+def test_short_clock_of_many_hours(spark, seconds, want):
+    assert _one(spark, T.fmt_time, seconds) == want
+
+
+def test_clocks_of_nothing(spark):
+    """No time, no clock, as SQL's printf has it."""
+    row = spark.sql("select cast(null as double) as s").select(*(f(F.col("s")) for f in (T.timecode, T.timecode_ms, T.fmt_time, T.duration, T.srt_time))).first()
+    assert list(row) == [None] * 5
+
+
 @pytest.mark.parametrize(
     ("header", "total", "want"),
     [("bytes=0-", 10, (0, 9)), ("bytes=-5", 10, (5, 9)), ("bytes=-0", 10, None), ("bytes=5-3", 10, None), ("bytes=10-99999", 10, None), ("bytes=2-99999", 10, (2, 9)), ("bytes=-", 10, None), ("items=0-1", 10, None), ("bytes=0-", 0, None), ("bytes=-99", 10, (0, 9))],

@@ -67,9 +67,9 @@ def _two(x: Column) -> Column:
 
 def _clock(total: Column, hours_always: bool = False, short: bool = False) -> Column:
     h, m, s = F.floor(total / 3600), F.floor(total / 60) % 60, total % 60
-    hour = F.when(h < 100, F.lpad(h.cast("string"), 1 if short else 2, "0")).otherwise(h.cast("string"))
-    long = F.concat_ws(":", hour, _two(m), _two(s))
-    brief = F.concat_ws(":", m.cast("string") if short else _two(m), _two(s))
+    hour = h.cast("string") if short else F.when(h < 100, _two(h)).otherwise(h.cast("string"))  # lpad cuts what is longer
+    long = F.concat(hour, F.lit(":"), _two(m), F.lit(":"), _two(s))
+    brief = F.concat(m.cast("string") if short else _two(m), F.lit(":"), _two(s))
     return long if hours_always else F.when(h > 0, long).otherwise(brief)
 
 
