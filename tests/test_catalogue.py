@@ -53,3 +53,8 @@ def test_formats_of_more_values(name, spark):
     data = "/root/testdata/sf0.01"
     got = catalogue.queries()[name](spark, data).toPandas()
     assert _rows(got) == _rows(_views(data).sql(catalogue.oracle_sql()[name]).df())
+
+
+def test_compact_report_counts_the_files_there(spark, tmp_path):
+    spark.range(90).withColumnRenamed("id", "doc_id").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    assert [tuple(r) for r in catalogue.queries()["compact_report"](spark, str(tmp_path)).collect()] == [(3, 90, 1)]
