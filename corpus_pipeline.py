@@ -6,6 +6,8 @@ folder and reads it again for the next one.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ from tidewater.llm.queries import vocabulary
 
 #: Percent of their windows of five words that near copies share.
 NEAR = 80
+#: Rows of an Arrow batch, at most: by Spark's default 10,000 texts of any length lie in the JVM's and Python's memory at once, in each task.
+BATCH_ROWS = 2000
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,6 +75,22 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def _small_batches(stage):
+    """The stage with batches of BATCH_ROWS, which decide memory only. Its result is computed later, so the session keeps the setting."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+            spark.conf.set(rows, BATCH_ROWS)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+STAGES = [(name, _small_batches(stage)) for name, stage in STAGES]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:

@@ -61,3 +61,20 @@ def test_stages_take_empty_tables(spark, tmp_path):
     for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
         out = stage(spark, docs, str(tmp_path))
         assert out.count() == 0 and (i == 4 or out.columns == docs.columns)
+
+
+def test_stages_take_small_batches(spark):
+    """No task holds ten thousand whole texts at once; a smaller batch that the session asks for stays."""
+    import corpus_pipeline
+
+    rows, docs = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    before = spark.conf.get(rows)
+    try:
+        for given, want in (("10000", 2000), ("0", 2000), ("50", 50)):
+            spark.conf.set(rows, given)
+            for name, stage in corpus_pipeline.STAGES:
+                if name == "PII":
+                    stage(spark, docs, "")
+            assert int(spark.conf.get(rows)) == want
+    finally:
+        spark.conf.set(rows, before)

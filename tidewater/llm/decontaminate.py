@@ -420,7 +420,7 @@ def _filter(index, coverage: float):
 
         for whole in batches:
             at = whole.num_columns - 1
-            for batch in within(whole, column=at):
+            for batch in within(whole, 1 << 19, column=at):
                 bad = {r[0] for r in index.value.matches(batch.column(at), coverage)}
                 keep = pa.array([i not in bad for i in range(batch.num_rows)], pa.bool_())
                 yield batch.filter(keep).select(range(at))
